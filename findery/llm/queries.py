@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, simhash, tokenfile
+from findery.llm import bpe, decontaminate, language, licenses, quality_net, simhash, tokenfile
 from findery.llm.common import scratch
 
 
@@ -29,6 +29,71 @@ def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile)}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = decontaminate.contamination(docs, decontaminate.build_indexes(docs, _table(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumns({k: F.array_join(k, ",") for k in ("base_labels", "labels")})
+
+
+def _remainder(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_net.QualityModel:
+    """The classifier of op8 and of the pipeline: learnt from rows outside the held-out fold only."""
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality_net.train(docs, labels)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality_net.classify(docs, quality_model(spark, docs, sf_dir))
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, _remainder(4) != 2))
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op6_decontaminate, op7_licenses, op8_quality, op9_language)}
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (
+    SELECT DISTINCT item, least(10, len(w)) AS size, list_slice(w, k, k + least(10, len(w)) - 1) AS win
+    FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)
+),
+dw AS (
+    SELECT doc_id, size, k, list_slice(w, k, k + size - 1) AS win
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k
+          FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)
+),
+hits AS (SELECT doc_id, item, k, dw.size FROM dw JOIN bw USING (size, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
