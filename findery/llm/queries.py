@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, quality_net, simhash, tokenfile
+from findery.llm import bpe, decontaminate, language, licenses, outliers, quality_net, simhash, tokenfile
 from findery.llm.common import scratch
 
 
@@ -69,7 +69,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op6_decontaminate, op7_licenses, op8_quality, op9_language)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(_table(spark, sf_dir, "documents")).drop("d2")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
