@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, outliers, quality_net, simhash, tokenfile
+from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, simhash, tokenfile
 from findery.llm.common import scratch
 
 
@@ -73,7 +73,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_table(spark, sf_dir, "documents")).drop("d2")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, pii.KINDS)
+    digest = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, digest, pii.listed(F.concat("base", "added")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
