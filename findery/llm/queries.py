@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, simhash, tokenfile
+from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile
 from findery.llm.common import scratch
 
 
@@ -84,7 +84,25 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, digest, pii.listed(F.concat("base", "added")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
+OLD_SHARDS, NEW_SHARDS = 20, 24
+
+
+def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = reshard.reshard(docs, old, OLD_SHARDS, NEW_SHARDS, scratch(spark, "shards"))
+    return found.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
