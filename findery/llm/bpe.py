@@ -430,8 +430,8 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
     return tokens.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass over the texts.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids binary]): encode and decode in one pass over the texts.
 
     Both directions run in the same task, so neither ids nor decoded texts are ever shuffled or kept.
     Nulls, empty texts and repeated rows as in encode().
@@ -443,13 +443,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             for k in range(0, batch.num_rows, GROUP):
                 for ids in c.encode_batch(batch.column(1).slice(k, GROUP).to_pylist()):
-                    rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(c.decode(ids).encode()).hexdigest()))
-            counts, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                    row = (len(ids) // 4, sha(ids).hexdigest(), sha(c.decode(ids).encode()).hexdigest(), ids)
+                    rows.append(row[: len(kinds)])
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *kinds])
+
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )

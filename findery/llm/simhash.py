@@ -69,7 +69,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links, its own included.
+    """(doc_id, fp, component_id, root): component_id is the smallest doc_id reachable by links, its own
+    included; root is the smallest fingerprint there.
 
     Copies share a fingerprint and are joined before any link is sought, so groups of copies of any size
     cost no pairs.  Texts without words (null, empty, white space) have fingerprint 0 and are linked like
@@ -83,5 +84,29 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, scratch(spark, "grouped"))
     ids = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), scratch(spark, "ids"))
-    by_fp = written(grouped.join(ids, "root").select("fp", "component_id"), scratch(spark, "by_fp"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = written(grouped.join(ids, "root").select("fp", "component_id", "root"), scratch(spark, "by_fp"))
+    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
+    """All columns of one row of each group of near-duplicates: the one with the smallest doc_id.
+
+    Where no row of a group has a doc_id one with the smallest fingerprint stays, and of rows alike in
+    doc_id and fingerprint one stays.  The table is shuffled once, by (doc_id, fingerprint).
+    """
+    near = near_duplicates(docs, size, distance)
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root"))))
+    counted = written(first.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")), scratch(docs.sparkSession, "first"))
+    repeated = counted.where("n > 1").limit(1).count()
+
+    @F.arrow_udf("long")
+    def fp_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, size) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    own = docs.withColumn("__own", fp_of(F.col("text").cast("binary")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
+    kept = own.join(counted, same, "left_semi")
+    if repeated:
+        k = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64("text")))
+        kept = kept.withColumn("__k", k).where("__k = 1").drop("__k")
+    return kept.drop("__own")
