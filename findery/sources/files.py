@@ -202,7 +202,7 @@ def extract(files: DataFrame, key: str = "path") -> DataFrame:
                 except Exception as e:  # a broken file is a row of its own, not the end of the job
                     blocks, error = None, f"{type(e).__name__}: {e}"
                 rows += [{key: k, "extraction_status": "succeeded"} | b for b in blocks or []] or [{key: k, "extraction_status": "failed" if error else "empty", "error": error}]
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
             for c in ("block_seq", "level", "parent_seq", "start_line", "end_line"):
                 out[c] = out[c].astype("Int64")
             yield out

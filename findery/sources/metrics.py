@@ -16,13 +16,14 @@ def prometheus_samples(lines: DataFrame, line: str = "value") -> DataFrame:
     text = F.trim(F.col(line))
     own = lines.where((text != "") & ~text.startswith("#"))
     name = F.regexp_extract(text, _SAMPLE, 1)
-    checked = F.when(name == "", F.raise_error(F.concat(F.lit("not a metric sample: "), text)).cast("string")).otherwise(name)
     number = F.regexp_extract(text, _SAMPLE, 3)
-    value = F.when(F.lower(number).isin("nan", "+inf", "-inf", "inf"), None).otherwise(number.try_cast("double"))
+    finite, endless = number.try_cast("double"), F.lower(number).isin("nan", "+inf", "-inf", "inf")
+    broken = F.raise_error(F.concat(F.lit("not a metric sample: "), text)).cast("double")
+    value = F.when(endless, None).when(finite.isNull(), broken).otherwise(finite)
     pairs = F.regexp_extract_all(F.regexp_extract(text, _SAMPLE, 2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*="(?:[^"\\]|\\.)*")'), 1)
     labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]+)=", 1), F.regexp_extract(p, '="(.*)"$', 1))))
     others = [c for c in lines.columns if c != line]
-    return own.select(*others, checked.alias("name"), labels.alias("labels"), value.alias("value")).where("value IS NOT NULL")
+    return own.select(*others, name.alias("name"), labels.alias("labels"), value.alias("value")).where("value IS NOT NULL")
 
 
 def processes(lines: DataFrame, line: str = "value") -> DataFrame:
