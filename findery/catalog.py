@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from findery.functions import text as tx
 from findery.functions.vectors import stand_in_embeddings
+from findery.operators import history as answers_history
 from findery.operators import answers, chunking, coverage, evaluate, fuse, keyword, logs, ops, permission, vector
 from findery.plans import search
 from findery.sources import files, metrics, tables
@@ -931,3 +932,121 @@ def question_exchange(read):
 def windowed_counts(read):
     found = job_stream.windowed_counts(read("events").withColumnRenamed("ts", "at"), "1 day")
     return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# --- histories and audits ---
+
+
+def _runs(read) -> DataFrame:
+    e = read("events")
+    number = (F.col("event_id") % 700).cast("string")
+    meta = F.concat(F.lit('{"document_id": "'), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("-"), number)).otherwise(number), F.lit('"}'))
+    return e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("mode"), F.col("ts").alias("created_at"), F.col("value").alias("elapsed_ms"), F.get_json_object("props", "$.k").cast("double").alias("tokens"), "props", meta.alias("metadata"))
+
+
+def _status():
+    return answers_history.json_status(F.col("props"), "$.status", "$.k")
+
+
+@query("SELECT event_id AS run_id, event_type AS mode, coalesce(json_extract_string(props, '$.status'), json_extract_string(props, '$.k'), 'unknown') AS run_status FROM events WHERE event_type = 'click'")
+def generation_history(read):
+    return answers_history.run_history(_runs(read), _status(), mode="click").select("run_id", "mode", "run_status")
+
+
+@query(
+    """WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000) SELECT event_type AS mode, count(*) AS run_count, count(*) FILTER (WHERE value > 5) AS succeeded_count, round(avg(value), 6) AS mean_elapsed_ms, round(avg(json_extract_string(props, '$.k')::DOUBLE), 6) AS mean_tokens FROM r GROUP BY 1"""
+)
+def provider_metrics(read):
+    return answers_history.provider_metrics(_runs(read).withColumn("run_status", F.when(F.col("elapsed_ms") > 5, "succeeded").otherwise("failed")), 2000)
+
+
+@query("SELECT count(*) AS document_count, count(*) FILTER (WHERE doc_id IN (SELECT event_id % 700 FROM events WHERE event_id % 5 <> 0 AND value > 5)) AS summarized_count FROM documents WHERE length(trim(text)) > 0")
+def summary_readiness(read):
+    runs = _runs(read).withColumn("run_status", F.when(F.col("elapsed_ms") > 5, "succeeded").otherwise("failed"))
+    return answers_history.summary_readiness(read("documents").select(F.col("doc_id").alias("document_id"), "text"), runs)
+
+
+@query(
+    f"""WITH RECURSIVE {_VISIBLE_CTE}, res AS (SELECT c_custkey AS user_id, c_custkey % 7 AS question_id, 1::BIGINT AS rank, c_custkey % 100 + 1 AS chunk_id FROM customer)
+SELECT user_id, question_id, rank, chunk_id, chunk_id AS document_id, EXISTS (SELECT 1 FROM vis WHERE vis.user_id = res.user_id AND vis.document_id = chunk_id) AS is_visible FROM res WHERE chunk_id IN (SELECT s_suppkey FROM supplier)"""
+)
+def permission_audit(read):
+    inputs = _permission_inputs(read)
+    results = read("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 7).alias("question_id"), F.lit(1).cast("long").alias("rank"), (F.col("c_custkey") % 100 + 1).alias("chunk_id"))
+    chunks = read("supplier").select(F.col("s_suppkey").alias("chunk_id"), F.col("s_suppkey").alias("document_id"))
+    return answers_history.permission_audit(results, chunks, permission.visible_documents(*inputs))
+
+
+@query("SELECT user_id, CASE WHEN count(*) <> count(*) FILTER (WHERE event_type = 'view') + count(*) FILTER (WHERE event_type = 'click') THEN 'sum_differs' END AS violation FROM events GROUP BY 1 HAVING violation IS NOT NULL")
+def count_violations(read):
+    runs = read("events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
+    return answers_history.count_violations(runs, "total", ["a", "b"]).select("user_id", "violation")
+
+
+@query("SELECT DISTINCT user_id AS result_id, CASE WHEN user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 3) THEN 'missing' WHEN user_id IN (SELECT s_suppkey FROM supplier) THEN 'already_promoted' ELSE 'promoted' END AS outcome FROM events")
+def promotions(read):
+    chosen = read("events").select(F.col("user_id").alias("result_id"))
+    return answers_history.promoted(chosen, read("customer").where("c_nationkey > 3").select(F.col("c_custkey").alias("result_id")), read("supplier").select(F.col("s_suppkey").alias("result_id")))
+
+
+@query(
+    """WITH p AS (SELECT unnest(['a', 'b']) AS profile), e AS (SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'a' ELSE 'b' END AS profile FROM labels)
+SELECT lang AS policy, p.profile AS profile, count(*) AS chunk_count, count(e.doc_id) AS embedded_count, count(*) = count(e.doc_id) AS is_ready FROM documents d CROSS JOIN p LEFT JOIN e ON e.doc_id = d.doc_id AND e.profile = p.profile GROUP BY 1, 2"""
+)
+def search_readiness(read):
+    chunks = read("documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("policy"))
+    embedded = read("labels").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("quality") == 1, "a").otherwise("b").alias("profile"))
+    return answers_history.search_readiness(chunks, embedded, chunks.sparkSession.sql("SELECT explode(array('a', 'b')) AS profile"))
+
+
+@query("SELECT conv_id AS session_id, turn AS seq, text AS content FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def last_user_turn(read):
+    m = read("conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    return answers_history.last_turn(m, "user").select("session_id", "seq", "content")
+
+
+@query("SELECT conv_id AS session_id, count(*) AS n, string_agg(role || ':' || turn, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1")
+def chat_threads(read):
+    m = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    links = m.select("message_id", F.lit("source").alias("link_type"), F.col("seq").alias("target_id"))
+    found = answers_history.threads(m, links)
+    return found.select("session_id", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["seq"].cast("string"))), ",").alias("turns"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM benchmark) AS questions, (SELECT count(*) FROM events WHERE event_type = 'error') AS failures")
+def dashboard_counts(read):
+    return answers_history.dashboard({"documents": read("documents"), "embeddings": read("embeddings"), "questions": read("benchmark"), "failures": read("events").where("event_type = 'error'")})
+
+
+@query(
+    """WITH j AS (SELECT l_orderkey AS chunk_id, l_returnflag AS profile, max(l_linenumber) AS job_id FROM lineitem GROUP BY ALL), e AS (SELECT DISTINCT l_orderkey AS chunk_id, l_returnflag AS profile FROM lineitem WHERE l_linestatus = 'F')
+SELECT o_orderkey AS chunk_id, j.profile AS profile, job_id, e.chunk_id IS NOT NULL AS is_embedded FROM orders LEFT JOIN j ON j.chunk_id = o_orderkey LEFT JOIN e ON e.chunk_id = j.chunk_id AND e.profile = j.profile"""
+)
+def coverage_detail(read):
+    li = read("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("profile"), F.col("l_linenumber").alias("job_id"), F.col("l_linestatus").alias("status"))
+    found = answers_history.coverage_detail(read("orders").select(F.col("o_orderkey").alias("chunk_id")), li, li.where("status = 'F'"))
+    return found.select("chunk_id", "profile", "job_id", "is_embedded")
+
+
+@query("SELECT event_id AS log_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7' AND ts >= TIMESTAMP '2024-01-10 00:00:00'")
+def change_history(read):
+    e = read("events").select(F.col("event_id").alias("log_id"), "user_id", F.col("ts").alias("created_at"), F.to_json(F.struct(F.get_json_object("props", "$.k").alias("change"))).alias("detail"))
+    return answers_history.change_history(e, "7", F.lit("2024-01-10").cast("timestamp")).select("log_id", "user_id")
+
+
+@query(
+    f"""WITH {_FUSED_CTE},
+tg AS (SELECT DISTINCT b.item_id AS query_id, l.doc_id AS chunk_id FROM benchmark b JOIN embeddings e ON e.label = b.item_id % 10 JOIN labels l ON l.doc_id = e.vec_id WHERE quality = 1),
+r AS (SELECT query_id, 'vector_cosine' AS profile_name, chunk_id FROM vr WHERE rank <= 10 UNION ALL SELECT kw.query_id, 'bm25_keyword', chunk_id FROM kw JOIN embeddings ON vec_id = kw.query_id WHERE rank <= 10 UNION ALL SELECT query_id, 'hybrid_keyword_vector', chunk_id FROM rrf WHERE rank <= 10),
+v AS (SELECT query_id, count(*) AS n FROM tg GROUP BY 1),
+m AS (SELECT query_id, profile_name, count(*) AS k FROM r JOIN tg USING (query_id, chunk_id) GROUP BY ALL)
+SELECT profile_name, count(*) AS question_count, count(n) AS evaluated_count, round(avg(CASE WHEN n > 0 THEN round(coalesce(k, 0) / n::DOUBLE, 6) END), 6) AS mean_recall_at_k
+FROM benchmark CROSS JOIN (SELECT DISTINCT profile_name FROM r) LEFT JOIN v ON v.query_id = item_id LEFT JOIN m USING (query_id, profile_name) GROUP BY 1"""
+)
+def batch_metrics(read):
+    _, results = _compared(read)
+    questions = read("benchmark").select(F.col("item_id").alias("question_id"))
+    like = questions.join(read("embeddings"), F.col("label") == F.col("question_id") % 10).join(read("labels"), F.col("doc_id") == F.col("vec_id"))
+    targets = like.select("question_id", F.col("doc_id").alias("chunk_id"), F.col("quality").alias("grade"), F.lit("visible").alias("expectation"))
+    found = evaluate.question_metrics(questions, results.withColumnRenamed("log_id", "question_id"), targets, 10, by=["profile_name"])
+    return evaluate.metric_summary(found, ["profile_name"]).select("profile_name", "question_count", "evaluated_count", "mean_recall_at_k")

@@ -123,3 +123,32 @@ def test_ingestion_writes_all_tables(spark, tmp_path):
     assert chunks.groupBy("policy").count().count() == 3
     assert spark.read.parquet(f"{tmp_path}/out/embeddings").count() == chunks.count()
     assert spark.read.parquet(f"{tmp_path}/out/index/statistics").where("term = 'guide'").count() == 3
+
+
+def test_docx_export():
+    from xml.etree import ElementTree
+
+    from findery.sources.docx import markdown_to_docx
+
+    with zipfile.ZipFile(io.BytesIO(markdown_to_docx(SAMPLE, "Title & more"))) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    texts = [e.text for e in root.iter() if e.tag.endswith("}t")]
+    assert texts[:3] == ["Title & more", "Guide", "First line second line."] and "pip install x" in texts and texts[-1] == "open fence"
+
+
+def test_models_fail_over(spark):
+    from findery.plans import models
+
+    def broken(texts):
+        raise OSError("down")
+
+    def lengths(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    call = models.first_working([("a", broken), ("b", lengths)])
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "k long, text string")
+    assert {r.k: r.embedding for r in models.embedded(df, call, "text", 2).collect()} == {1: [3.0, 1.0], 2: None}
+    with pytest.raises(models.NoRouteAnswered, match="a: OSError: down"):
+        models.first_working([("a", broken)])(["x"])
+    with pytest.raises(Exception, match="python-mecab-ko"):
+        df.select(models.morphs(F.col("text"))).collect()
