@@ -5,23 +5,24 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import scratch, written
+from findery.llm.common import scratch, small_batches, written
 
 #: Documents of each language that training reads at most, the first by a hash of doc_id.
 SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PARTS = 20
 #: Words, and n-grams of each length, that are kept of each language, the most frequent.
 WORDS = 8000
 GRAMS = 4000
 LONGEST = 4
-#: Words in a worker's cache before it starts afresh; changes no result.
-CACHE_WORDS = 300_000
+#: Texts whose words are scored together.
+GROUP = 250
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -40,45 +41,56 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by table (0: words, n: n-grams) and term, an entry for each language."""
+    """Rows of log frequencies, an entry for each language; by table (0: words, n: n-grams) the row of each term."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
-    _cache: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
-
-    def __getstate__(self):
-        return {"languages": self.languages, "tables": self.tables, "_cache": {}, "_rows": []}
+    tables: list[dict[str, int]]
+    logs: np.ndarray
 
     def word_score(self, word: str) -> np.ndarray:
         """Log frequencies of a known word, else the mean over its longest n-grams of which any is known."""
-        if (own := self.tables[0].get(word)) is not None:
-            return own
-        for n in range(LONGEST, 0, -1):
-            if found := [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def _row(self, word: str) -> int:
-        at = self._cache[word] = len(self._rows)
-        self._rows.append(self.word_score(word))
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its share of the likelihood); ``und`` and 0 without a letter."""
-        words = letter_words(text)
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-            self._rows.clear()
-        get, total = self._cache.get, np.zeros(len(self.languages))
-        rows = [r if (r := get(w)) is not None else self._row(w) for w in words]
-        for k, n in Counter(rows).items():
-            total += n * self._rows[k]
-        share = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.languages[best], float(share[best] / share.sum())
+        return self.scores([word])[0]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word; the n-grams of unknown words are looked up word by word and averaged all at once."""
+        rows: list[int] = []
+        sizes = np.zeros(len(words), np.int64)
+        known, tables = self.tables[0].get, [(n, self.tables[n].get) for n in range(LONGEST, 0, -1)]
+        for k, word in enumerate(words):
+            if (own := known(word)) is not None:
+                rows.append(own)
+                sizes[k] = 1
+                continue
+            marked = f"_{word}_"
+            for n, get in tables:
+                if found := [r for i in range(len(marked) - n + 1) if (r := get(marked[i : i + n])) is not None]:
+                    rows += found
+                    sizes[k] = len(found)
+                    break
+        out = np.zeros((len(words), len(self.languages)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            out[some] = np.add.reduceat(self.logs[rows], starts, axis=0) / sizes[some, None]
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its share of the likelihood) of each text; ``und`` and 0 without a letter."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        split = [letter_words(t) for t in texts]
+        own = list(set().union(*split))
+        at = dict(zip(own, range(len(own)), strict=True))
+        scores, out = self.scores(own), []
+        for words in split:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = scores[list(map(at.__getitem__, words))].sum(0)
+            share = np.exp(total - total.max())
+            best = int(np.argmax(total))
+            out.append((self.languages[best], float(share[best] / share.sum())))
+        return out
 
 
 def train(docs: DataFrame, learn: Column) -> LanguageModel:
@@ -88,11 +100,12 @@ def train(docs: DataFrame, learn: Column) -> LanguageModel:
     frequent terms only, a bounded number for each language.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lang = F.col("lang").cast("string")
     ids = docs.where(learn & lang.isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("doc_id").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # the first by hash: Spark keeps the first few of each task before it deals rows out by language
-    chosen = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang")
+    # the first by hash in each of some parts of a language, so that no task sorts a whole language
+    w = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy("h", "doc_id")
+    chosen = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_PER_LANGUAGE // SAMPLE_PARTS).select("doc_id", "lang")
     chosen = written(chosen.dropDuplicates(["doc_id"]), scratch(spark, "chosen"))
     wanted = chosen.withColumnRenamed("doc_id", "wanted").select("wanted")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").where(lang.isNotNull()).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
@@ -120,15 +133,16 @@ def train(docs: DataFrame, learn: Column) -> LanguageModel:
     kept = counted.withColumn("k", rank).where(F.col("k") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS))
     languages = sorted({k[0] for k in totals})
     at = {x: k for k, x in enumerate(languages)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for r in kept.select("lang", "size", "term", "n").collect():
-        row = tables[r["size"]].setdefault(r.term, np.full(len(languages), 0.0))
-        row[at[r.lang]] = r.n
+    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    found = kept.select("lang", "size", "term", "n").collect()
+    for r in found:
+        tables[r["size"]].setdefault(r.term, sum(map(len, tables)))
+    counts, all_of = np.zeros((sum(map(len, tables)), len(languages))), np.zeros((sum(map(len, tables)), len(languages)))
+    for r in found:
+        counts[tables[r["size"]][r.term], at[r.lang]] = r.n
     for size, table in enumerate(tables):
-        all_of = np.array([totals.get((x, size), 0) for x in languages], float) + 1
-        for term, n in table.items():
-            table[term] = np.log((n + 0.1) / all_of)
-    return LanguageModel(languages, tables)
+        all_of[list(table.values())] = [totals.get((x, size), 0) + 1 for x in languages]
+    return LanguageModel(languages, tables, np.log((counts + 0.1) / np.maximum(all_of, 1)))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -141,7 +155,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [x for k in range(0, len(texts), GROUP) for x in own.predict(texts[k : k + GROUP])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -41,8 +41,8 @@ def test_language_of_odd_rows(spark, odd, empty):
 
 
 def test_unknown_words_fall_back_to_shorter_grams():
-    row = lambda *x: np.array(x)
-    m = language.LanguageModel(["a", "b"], [{"haus": row(-1.0, -9.0)}, {"z": row(-7.0, -6.0)}, {"_z": row(-2.0, -3.0)}, {}, {"haus": row(-5.0, -4.0)}])
+    logs = np.array([[-1.0, -9.0], [-7.0, -6.0], [-2.0, -3.0], [-5.0, -4.0]])
+    m = language.LanguageModel(["a", "b"], [{"haus": 0}, {"z": 1}, {"_z": 2}, {}, {"haus": 3}], logs)
     assert m.word_score("haus").tolist() == [-1.0, -9.0]
     assert m.word_score("xhausx").tolist() == [-5.0, -4.0]
     assert m.word_score("zq").tolist() == [-2.0, -3.0]
