@@ -24,6 +24,8 @@ STEPS = 3
 SMALLEST = 200
 #: Squared Mahalanobis distance beyond which a row is rejected: about 1 in 1e7 of normal rows of 5 dimensions.
 CUTOFF = 40.0
+#: Tables by group of up to so many rows (a few MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
 #: The transformed statistics, and the least standard deviation assumed of each (statistics that hardly vary).
 FLOORS = {"x_length": 0.6, "x_chars": 0.06, "x_symbols": 0.08, "x_lines": 0.14, "x_repeats": 0.09}
 X = list(FLOORS)
@@ -92,6 +94,11 @@ def _transformed(stats: DataFrame) -> DataFrame:
     )
 
 
+def _side(by_group: DataFrame, groups: int) -> DataFrame:
+    """A table with a row for each group, broadcast if there are few, so that a group's rows stay where they are."""
+    return F.broadcast(by_group) if groups <= BROADCAST_GROUPS else by_group
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """With the key of each row's group: its language and source, or what that is pooled into."""
     pair = F.to_json(F.struct("lang", "source"))
@@ -103,7 +110,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
     keys = written(keys, scratch(rows.sparkSession, "keys"))
     same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
-    return rows.join(keys, same, "left").drop("k_lang", "k_source")
+    return rows.join(_side(keys, keys.count()), same, "left").drop("k_lang", "k_source")
 
 
 def _cholesky(moments: DataFrame) -> DataFrame:
@@ -121,17 +128,17 @@ def _cholesky(moments: DataFrame) -> DataFrame:
     return moments.select("g", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
     """With d2, the squared Mahalanobis distance of each row from its group, by forward substitution."""
-    out = rows.join(fit, F.col("key") == F.col("g"), "left")
+    out = rows.join(_side(fit, groups), F.col("key") == F.col("g"), "left")
     for i, x in enumerate(X):
         inner = sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"z_{i}", (F.col(x) - F.col(f"m_{i}") - inner) / F.col(f"l_{i}_{i}"))
     return out.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(X))), F.lit(0.0)))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Robust location m_i and scatter l_i_j of each group g, a row for each group.
+def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Robust location m_i and scatter l_i_j of each group g, a row for each group; and how many groups there are.
 
     All aggregates are combined before they are shuffled, and every fit is a table in the shared folder,
     small enough to be broadcast by its measured size or else joined by a shuffle that Spark can split.
@@ -144,10 +151,11 @@ def estimates(rows: DataFrame) -> DataFrame:
         *[(F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)],
     )
     fit = written(start, scratch(spark, "fit"))
+    groups = fit.count()
     for _ in range(STEPS):
-        near = _distance(rows, fit)
+        near = _distance(rows, fit, groups)
         edge = written(near.groupBy("g").agg(F.percentile_approx("d2", CORE, 1000).alias("edge")), scratch(spark, "edge")).withColumnRenamed("g", "e")
-        core = near.join(edge, F.col("g") == F.col("e")).where("d2 <= edge")
+        core = near.join(_side(edge, groups), F.col("g") == F.col("e")).where("d2 <= edge")
         sums = core.groupBy("g").agg(
             *[F.avg(F.col(x) - F.col(f"m_{i}")).alias(f"s_{i}") for i, x in enumerate(X)],
             *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)],
@@ -159,7 +167,7 @@ def estimates(rows: DataFrame) -> DataFrame:
             *[(CONSISTENCY * (F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}")) + (FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)],
         )
         fit = written(_cholesky(moments), scratch(spark, "fit"))
-    return fit
+    return fit, groups
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -175,5 +183,5 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = written(_transformed(statistics(docs)).withColumn("base_failed", failed), scratch(spark, "statistics"))
     sound = written(_grouped(rows.where(~F.col("base_failed"))), scratch(spark, "sound"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = _distance(sound, estimates(sound)).select(*columns, "d2", (F.coalesce("d2", F.lit(0.0)) <= CUTOFF).alias("kept"))
+    judged = _distance(sound, *estimates(sound)).select(*columns, "d2", (F.coalesce("d2", F.lit(0.0)) <= CUTOFF).alias("kept"))
     return judged.union(rows.where("base_failed").select(*columns, F.lit(None).cast("double"), F.lit(False)))
