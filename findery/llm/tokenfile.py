@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm.bpe import codec
-from findery.llm.common import scratch, written
+from findery.llm.common import written
 
 MAGIC = b"FTOK"
 BLOCK_IDS = 1 << 16
@@ -126,31 +126,45 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _range_bounds(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """(parts, upper bounds of all but the last): ranges of doc_ids with about the same number of rows."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)])
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 20 * parts).alias("q")).first().q if parts > 1 else None
+    bounds = np.unique(np.array(found or [], np.int64))
+    return len(bounds) + 1, bounds
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write all documents' ids, each with ``end_id`` after it, to files below ``out`` in ascending doc_id order.
 
     Returns the manifest (file, part, n_docs, n_ids), a row for each file.  A null text counts as
     empty (its end id alone is written), null doc_ids come first, rows with one doc_id follow the order
-    of their ids; an empty table gives an empty manifest.  Encoded texts are written to the shared
-    folder first, so the range partitioner samples those and no text is encoded twice; every attempt of
-    a task writes a file of its own name and only the manifest's files count.
+    of their ids; an empty table gives an empty manifest.  Ranges of doc_ids come from quantiles of the
+    ids alone, so each text is read and encoded once and its ids are shuffled once; every attempt of a
+    task writes a file of its own name and only the manifest's files count.
     """
     spark = docs.sparkSession
     bits = bits_for(max(codec(tokenizer, 2, False).table.size, end_id + 1))
     tail = np.array([end_id], "<u4")
     width = 2 if bits <= 16 else 4
 
+    parts, bounds = _range_bounds(docs)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, width, False)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.encode_batch(batch.column(1).to_pylist()), pa.binary())], names=["doc_id", "ids"])
+            keys = batch.column(0)
+            part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+            ids = pa.array(c.encode_batch(batch.column(1).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part), keys, ids], names=["part", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(out)
         task, writer, total = TaskContext.get(), None, 0
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     writer = TokenFileWriter(files.open_output_stream(f"{root}/{name}"), bits)
@@ -160,8 +174,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
             total = sum(writer.counts)
             yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([task.partitionId()], pa.int64()), "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
-    encoded = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary"), scratch(spark, "encoded"))
-    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return written(ordered.mapInArrow(write, "file string, part long, n_docs long, n_ids long"), f"{out}/manifest")
 
 
