@@ -282,6 +282,7 @@ class Codec:
     def __init__(self, path: str, width: int = 4, speculate: bool = True) -> None:
         from tokenizers import Tokenizer
 
+
         self.table, self.dtype = MergeTable(path), np.dtype(f"<u{width}")
         self._encode_words = self.table.encode_words if speculate else self.table.merge_words
         self._library = Tokenizer.from_file(path)
@@ -300,7 +301,7 @@ class Codec:
 
     def _cut(self, text: str) -> list[str]:
         """Words of a text; the library cuts where a character is one that our regex classes otherwise."""
-        for c in set(self._exotic.findall(text)):
+        for c in () if text.isascii() else set(self._exotic.findall(text)):
             if c not in self._agrees:
                 probe = f"x{c}9{c}!{c} "
                 theirs = [span for _, span in self._library.pre_tokenizer.pre_tokenize_str(probe)]
@@ -342,16 +343,18 @@ class Codec:
             rows = [p.split() if self.bare and not self._separators.search(p) else p.split(" ") for p in map(self._normal, pieces)]
             split.append((specials, rows))
         known = self._chunks
-        chunks = {c for _, rows in split for row in rows for c in row}
-        unknown = chunks - known.keys()
+        chunks: set[str] = set()
+        for _, rows in split:
+            chunks.update(*rows)
+        unknown = chunks.difference(known)
         if len(known) + len(unknown) > CACHE_CHUNKS:
             known.clear()
             unknown = chunks
         lead = "" if self.bare else " "
         new = self._encode_all([lead + c for c in unknown if c])
         n = len(lead)
-        known.update((c[n:], ids) for c, ids in new.items() if not self._space.search(c, n))
         mixed = {c[n:]: ids for c, ids in new.items() if self._space.search(c, n)}
+        known.update((c[n:], ids) for c, ids in new.items() if c[n:] not in mixed)
         if not self.bare:
             self._firsts = self._encode_all({row[0] for _, rows in split for row in rows if row[0]})
         joined = [[self._joined(row, mixed) for row in rows] for _, rows in split]
@@ -366,26 +369,27 @@ class Codec:
 
     def _joined(self, row: list[str], mixed: dict[str, bytes]) -> bytes | None:
         """Ids of chunks that single spaces separate; None if a run of white space reaches over such a space."""
-        get = self._chunks.get
+        known = self._chunks
         if self.bare:
-            got = list(map(get, row))
-            return b"".join([mixed.get(c, b"") if x is None else x for c, x in zip(row, got, strict=True)] if None in got else got)
-        if not row[0] and len(row) == 1:
-            return b""
-        got = list(map(get, row[1:]))
-        if None in got:
-            for k, x in enumerate(got):
-                if x is None:
-                    c = row[k + 1]
+            try:
+                return b"".join(map(known.__getitem__, row))
+            except KeyError:
+                return b"".join([x if (x := known.get(c)) is not None else mixed.get(c, b"") for c in row])
+        first = row[0]
+        if first and (first[-1].isspace() or first[0].isspace()):
+            return None
+        lead = self._firsts[first] if first else b""
+        try:
+            return lead + b"".join(map(known.__getitem__, row[1:]))
+        except KeyError:
+            parts = []
+            for c in row[1:]:
+                if (x := known.get(c)) is None:
                     if not c or c[0].isspace() or c[-1].isspace():
                         return None
-                    got[k] = mixed[c]
-        first = row[0]
-        if first:
-            if first[-1].isspace() or first[0].isspace():
-                return None
-            return self._firsts[first] + b"".join(got)
-        return b"".join(got)
+                    x = mixed[c]
+                parts.append(x)
+            return lead + b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; byte sequences that are not UTF-8 become U+FFFD."""
