@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findery.llm.common import small_batches
+
 #: Chunks kept in a worker's cache before it starts afresh: a bound on memory that changes no result.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 #: Characters up to here are classed alike by every version of Unicode, and are their own normal form.
 PLAIN_LIMIT = "ɏ"
 #: Ends a word's last symbol where the vocabulary has word ends; the byte never occurs in UTF-8.
@@ -279,9 +281,10 @@ BARE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 class Codec:
     """Encodes and decodes whole texts as the tokenizers library does with the same file."""
 
-    def __init__(self, path: str, width: int = 4, speculate: bool = True) -> None:
+    def __init__(self, path: str, width: int = 4, speculate: bool = True, cache: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
+        self._most = cache
 
         self.table, self.dtype = MergeTable(path), np.dtype(f"<u{width}")
         self._encode_words = self.table.encode_words if speculate else self.table.merge_words
@@ -347,7 +350,7 @@ class Codec:
         for _, rows in split:
             chunks.update(*rows)
         unknown = chunks.difference(known)
-        if len(known) + len(unknown) > CACHE_CHUNKS:
+        if len(known) + len(unknown) > self._most:
             known.clear()
             unknown = chunks
         lead = "" if self.bare else " "
@@ -398,9 +401,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, width: int = 4, speculate: bool = True) -> Codec:
+def codec(path: str, width: int = 4, speculate: bool = True, cache: int = CACHE_CHUNKS) -> Codec:
     """One codec for each worker process and file; without speculation all unknown words are merged exactly."""
-    return Codec(path, width, speculate)
+    return Codec(path, width, speculate, cache)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -417,6 +420,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids binary")
 
@@ -455,6 +459,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )

@@ -40,6 +40,15 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python a thousand at a time instead of ten thousand: long documents must fit in a worker.
+
+    A setting that the user has changed stays.  It bounds memory and changes no result.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it again: lineage ends here, and later stages reread it after a lost executor."""
     df.write.mode("overwrite").parquet(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import alnum_words
+from findery.llm.common import alnum_words, small_batches
 
 WINDOW = 10
 SHINGLE = 3
@@ -139,6 +139,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     counting.  Counts of shingles come from all documents, one pass for each block.  A null item_id or
     text is no item; rows with one item_id are one item with several texts.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

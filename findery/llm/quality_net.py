@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import scratch, space_words, written
+from findery.llm.common import scratch, small_batches, space_words, written
 
 #: Labelled documents of each class that training uses at most, the first by a hash of doc_id.
 SAMPLE_PER_CLASS = 3000
@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     ids and labels without a document count for nothing; without both labels the model gives the prior.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
@@ -166,11 +167,10 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], names=["label", "x", "doc_id"])
 
     got = sample.mapInArrow(pooled, "label int, x binary, doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), -1)
-    y = np.array([r.label for r in got], np.float64)
-    if len(set(y.tolist())) < 2:
+    if len({r.label for r in got}) < 2:
         return empty
-    return _fit(rows, vectors, x, y, prior)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64)
+    return _fit(rows, vectors, x, np.array([r.label for r in got], np.float64), prior)
 
 
 def _fit(rows: dict[bytes, int], vectors: np.ndarray, x: np.ndarray, y: np.ndarray, prior: float) -> QualityModel:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import scratch, space_words, written
+from findery.llm.common import scratch, small_batches, space_words, written
 from findery.llm.components import components
 
 BITS = 64
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             own = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -105,7 +106,8 @@ def one_of_each(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
 
     own = docs.withColumn("__own", fp_of(F.col("text").cast("binary")))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
-    kept = own.join(counted, same, "left_semi")
+    # keys are hashed and texts stream by: sorting the texts of a partition would hold many of them in memory
+    kept = own.join(counted.hint("shuffle_hash"), same, "left_semi")
     if repeated:
         k = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64("text")))
         kept = kept.withColumn("__k", k).where("__k = 1").drop("__k")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm.bpe import codec
-from findery.llm.common import written
+from findery.llm.common import small_batches, written
 
 MAGIC = b"FTOK"
 BLOCK_IDS = 1 << 16
@@ -150,9 +150,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
     width = 2 if bits <= 16 else 4
 
     parts, bounds = _range_bounds(docs)
+    small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, width, False)
+        c = codec(tokenizer, width, False, 600_000)
         for batch in batches:
             keys = batch.column(0)
             part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
