@@ -81,11 +81,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     spark = docs.sparkSession
     own = written(fingerprints(docs, size), scratch(spark, "fingerprints"))
     first = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), scratch(spark, "first"))
-    roots = components(links(first.select("fp"), distance))
-    grouped = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = written(grouped, scratch(spark, "grouped"))
-    ids = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), scratch(spark, "ids"))
-    by_fp = written(grouped.join(ids, "root").select("fp", "component_id", "root"), scratch(spark, "by_fp"))
+    return grouped(own, first, links(first.select("fp"), distance))
+
+
+def grouped(own: DataFrame, first: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) of the rows ``own`` (doc_id, fp), by links (a, b) of their fingerprints.
+
+    ``first``: (fp, least), the smallest doc_id of each fingerprint.
+    """
+    spark = own.sparkSession
+    roots = components(linked)
+    by_root = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    by_root = written(by_root, scratch(spark, "grouped"))
+    ids = written(by_root.groupBy("root").agg(F.min("least").alias("component_id")), scratch(spark, "ids"))
+    by_fp = written(by_root.join(ids, "root").select("fp", "component_id", "root"), scratch(spark, "by_fp"))
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
@@ -95,16 +104,20 @@ def one_of_each(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     Where no row of a group has a doc_id one with the smallest fingerprint stays, and of rows alike in
     doc_id and fingerprint one stays.  The table is shuffled once, by (doc_id, fingerprint).
     """
-    near = near_duplicates(docs, size, distance)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root"))))
-    counted = written(first.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")), scratch(docs.sparkSession, "first"))
-    repeated = counted.where("n > 1").limit(1).count()
-
     @F.arrow_udf("long")
     def fp_of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, size) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
-    own = docs.withColumn("__own", fp_of(F.col("text").cast("binary")))
+    return first_rows(docs, near_duplicates(docs, size, distance), fp_of(F.col("text").cast("binary")))
+
+
+def first_rows(docs: DataFrame, near: DataFrame, fp: Column) -> DataFrame:
+    """All columns of the first row of each group in ``near``; ``fp`` gives a row's fingerprint again."""
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root"))))
+    counted = written(first.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")), scratch(docs.sparkSession, "first"))
+    repeated = counted.where("n > 1").limit(1).count()
+
+    own = docs.withColumn("__own", fp)
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
     # keys are hashed and texts stream by: sorting the texts of a partition would hold many of them in memory
     kept = own.join(counted.hint("shuffle_hash"), same, "left_semi")

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from findery.llm import components, decontaminate, licenses, outliers, pii, queries, reshard, simhash
+import corpus_pipeline
+from findery.llm import components, decontaminate, licenses, outliers, pii, queries, reshard, shingles, simhash
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +81,71 @@ def test_one_of_each_group_stays(odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def brute_similar_groups(texts):
+    """The least place of each text's group, by the similarity of all pairs of shingle sets."""
+    ws = [words(lower(t)) for t in texts]
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for w in ws]
+    group, pairs = list(range(len(sets))), 0
+    for a in range(len(sets)):
+        for b in range(a):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 5 * small >= 4 * large and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                pairs += sets[a] != sets[b]
+                if group[a] != group[b]:
+                    low, high = sorted((group[a], group[b]))
+                    group = [low if g == high else g for g in group]
+    return group, pairs
+
+
+def near_texts():
+    """Families of edited copies at similarities about 0.8, chains of them, and texts that share a long passage only."""
+    r = random.Random(9)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    found = []
+    for n in (6, 12, 40, 100, 300):
+        for _ in range(6):
+            base = text(n)
+            found.append(base)
+            for edits in (1, 1, 2, 3, n // 40, n // 25):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[r.randrange(n)] = "edited"
+                found.append(copy)
+                base = copy if r.random() < 0.3 else base
+    passage = text(60)
+    found += [passage + text(r.choice((4, 14, 20, 40))) for _ in range(60)]
+    return [" ".join(w).upper() if r.random() < 0.1 else " ".join(w) for w in found]
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_shingle_groups_equal_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(shingles, "ROUNDS", rounds)
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    group, pairs = brute_similar_groups(texts)
+    assert pairs > 100
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()} == dict(enumerate(group))
+
+
+def test_shingle_groups_of_odd_rows(odd, empty):
+    rows = odd.orderBy(F.col("doc_id").asc_nulls_last()).collect()
+    group, _ = brute_similar_groups([r.text for r in rows])
+    kept = corpus_pipeline.near_duplicates(odd.sparkSession, odd, None).collect()
+    assert set(kept[0].asDict()) == set(odd.columns) and len(kept) == len(set(group))
+    ids = [r.doc_id for r in rows]
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(ids[g]) for g in set(group))
+    assert shingles.one_of_each(empty).count() == 0
+
+
+def test_pipeline_leaves_no_edited_copy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    group, pairs = brute_similar_groups([r.text for r in rows])
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert pairs > 0 and sorted(r.doc_id for r in kept) == sorted(rows[g].doc_id for g in set(group))
+
+
 # --- personal data ---
 
 
