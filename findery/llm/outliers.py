@@ -22,12 +22,12 @@ CORE, CONSISTENCY = 0.75, 1.41
 STEPS = 3
 #: Groups of fewer rows are pooled by language, and if still too small, all together.
 SMALLEST = 200
-#: Squared Mahalanobis distance beyond which a row is rejected: about 1 in 1e7 of normal rows of 5 dimensions.
-CUTOFF = 40.0
+#: Squared Mahalanobis distance beyond which a row is rejected: about 1 in 7,000 of normal rows of 5 dimensions (chi-square 0.99986).
+CUTOFF = 25.0
 #: Tables by group of up to so many rows (a few MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 #: The transformed statistics, and the least standard deviation assumed of each (statistics that hardly vary).
-FLOORS = {"x_length": 0.6, "x_chars": 0.06, "x_symbols": 0.08, "x_lines": 0.14, "x_repeats": 0.09}
+FLOORS = {"x_length": 0.3, "x_chars": 0.03, "x_symbols": 0.04, "x_lines": 0.07, "x_repeats": 0.03}
 X = list(FLOORS)
 
 

@@ -312,6 +312,27 @@ def test_outliers_go_and_others_stay(spark):
     assert not any(got[k] for k in got if k >= 1000) and all(got[k] for k in got if k < 1000)
 
 
+def test_labelled_junk_goes_and_labelled_clean_documents_stay(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").where("NOT base_failed").join(labels, "doc_id").collect()
+    junk, clean = [r.kept for r in judged if r.quality == 0], [r.kept for r in judged if r.quality == 1]
+    assert len(junk) > 10 and len(clean) > 100
+    assert sum(junk) <= 0.1 * len(junk) and sum(clean) == len(clean)
+
+
+def test_repeats_alone_make_an_outlier(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6)))
+    text = lambda n: [word() for _ in range(n)]
+    rows = [(k, " ".join(text(400)), "en", "s") for k in range(400)]
+    for k in range(10):
+        own = text(360)
+        rows.append((1000 + k, " ".join(own + own[:38]), "en", "s"))  # 76 of 398 words: under a fifth
+    got = {x.doc_id: x for x in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[k].base_failed for k in got)
+    assert all(got[k].kept == (k < 1000) for k in got)
+
+
 def test_op10_equals_brute_force_on_a_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op10_quality_rules(spark, SF).collect():
