@@ -281,6 +281,17 @@ def snapshot_compare(read):
     return evaluate.compare_snapshots(_week(read, "2024-01-01", "2024-01-02"), _week(read, "2024-01-08", "2024-01-09"), ["user_id"], ["n", "mean"])
 
 
+@query(
+    f"""
+SELECT coalesce(b.user_id, t.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'added' WHEN t.user_id IS NULL THEN 'removed' ELSE 'common' END AS comparison_status,
+    t.n - b.n AS n_delta, round(t.mean - b.mean, 6) AS mean_delta
+FROM ({_WEEK.format("2024-01-01", "2024-01-08")}) b FULL JOIN ({_WEEK.format("2024-01-08", "2024-01-15")}) t ON b.user_id = t.user_id
+"""
+)
+def snapshot_compare_weeks(read):
+    return evaluate.compare_snapshots(_week(read, "2024-01-01", "2024-01-08"), _week(read, "2024-01-08", "2024-01-15"), ["user_id"], ["n", "mean"])
+
+
 @query(
     """
 WITH d AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)

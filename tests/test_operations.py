@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from findery import catalog
 from findery.operators import answers, coverage, logs, ops, permission
 from findery.sources import metrics, tables
 from findery.streaming import jobs
@@ -180,3 +181,11 @@ def test_job_state_from_a_stream_equals_the_batch(spark, tmp_path):
     want = jobs.job_state(df.dropDuplicates(["event_id"]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(rows(got, "job_id", "status", "attempts")) == [(1, "queued", 1), (2, "succeeded", 1)]
+
+
+def test_whole_weeks_are_compared(spark, tmp_path):
+    rows = [(1, 1.0, "2024-01-03 10:00:00"), (1, 2.0, "2024-01-12 10:00:00"), (2, 1.0, "2024-01-07 23:00:00"), (3, 1.0, "2024-01-14 23:00:00")]
+    events = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["snapshot_compare_weeks"](spark, str(tmp_path)).collect()
+    assert {r.user_id: r.comparison_status for r in got} == {1: "common", 2: "removed", 3: "added"}
