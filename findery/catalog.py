@@ -854,11 +854,11 @@ def _context_rows(read) -> DataFrame:
 
 @query()
 def context_package(read):
-    return answers.context_packages(_context_rows(read), 4000, 8)
+    return answers.context_packages(_context_rows(read))
 
 
 def _citations(read) -> DataFrame:
-    rows = answers.context_packages(_context_rows(read), 4000, 8)
+    rows = answers.context_packages(_context_rows(read))
     yes = F.lit(True)
     c = {"included": F.col("included"), "citation_key": F.col("citation_key"), "context_text": F.col("context_text"), "truncated": F.col("truncated"), "has_document": yes, "has_chunk": yes, "has_anchor": F.lit(False), "has_location": F.col("chunk_id") % 2 == 0, "has_lineage": F.col("chunk_id") % 3 == 0}
     issues = answers.citation_issues(c)

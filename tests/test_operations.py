@@ -189,3 +189,11 @@ def test_whole_weeks_are_compared(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.QUERIES["snapshot_compare_weeks"](spark, str(tmp_path)).collect()
     assert {r.user_id: r.comparison_status for r in got} == {1: "common", 2: "removed", 3: "added"}
+
+
+def test_context_queries_use_the_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(answers, "context_packages", lambda rows, *limits: seen.append(limits) or rows)
+    monkeypatch.setattr(catalog, "_context_rows", lambda read: None)
+    catalog.context_package(None)
+    assert seen == [()]
