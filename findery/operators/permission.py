@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 SCOPES = ("personal", "team", "managed_org", "company")
 MANAGER_ROLES = ("group_lead", "division_lead", "company_lead")
-#: Depth of an organisation at most; recursion ends there.
-MAX_DEPTH = 32
 
 
 def org_closure(units: DataFrame) -> DataFrame:
-    """(unit_id, ancestor_id, depth): every unit with itself at depth 0 and all units above it."""
+    """(unit_id, ancestor_id, depth): every unit with itself at depth 0 and all units above it.
+
+    A tree deeper than spark.sql.cteRecursionLevelLimit (100), or a circle, is an error, never a cut.
+    """
     spark: SparkSession = units.sparkSession
     units.select("unit_id", "parent_id").createOrReplaceTempView("findery_units")
     return spark.sql(
-        f"""
+        """
         WITH RECURSIVE up(unit_id, ancestor_id, depth) AS (
             SELECT unit_id, unit_id, 0 FROM findery_units
             UNION ALL
             SELECT up.unit_id, u.parent_id, depth + 1
             FROM up JOIN findery_units u ON up.ancestor_id = u.unit_id
-            WHERE u.parent_id IS NOT NULL AND depth < {MAX_DEPTH}
+            WHERE u.parent_id IS NOT NULL
         )
         SELECT unit_id, ancestor_id, CAST(depth AS BIGINT) AS depth FROM up
         """

@@ -197,3 +197,9 @@ def test_context_queries_use_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_context_rows", lambda read: None)
     catalog.context_package(None)
     assert seen == [()]
+
+
+def test_deep_organisations_are_whole(spark):
+    units = spark.createDataFrame([(k, k - 1 if k else None) for k in range(50)], "unit_id long, parent_id long")
+    top = permission.org_closure(units).where("unit_id = 49")
+    assert sorted((r.ancestor_id, r.depth) for r in top.collect()) == [(k, 49 - k) for k in range(50)]
