@@ -403,9 +403,12 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
 """
 )
 def log_detail(read):
-    rows = read("lineitem").groupBy(F.col("l_orderkey").alias("log_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("part")))).alias("r"))
-    out = read("orders").select(F.col("o_orderkey").alias("log_id")).join(rows, "log_id", "left")
-    return out.select("log_id", F.coalesce(F.to_json("r"), F.lit("[]")).alias("results"))
+    li = read("lineitem").withColumn("result_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    results = li.select(F.col("l_orderkey").alias("log_id"), F.col("l_linenumber").alias("rank"), "result_id", F.col("l_partkey").alias("chunk_id"), F.col("l_quantity").alias("score"))
+    feedback = li.select("result_id", F.col("l_suppkey").alias("feedback_id"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("comment"))
+    found = logs.log_detail(read("orders").select(F.col("o_orderkey").alias("log_id")), results, feedback)
+    parts = F.transform("results", lambda r: F.struct(r["rank"].alias("rank"), r["chunk_id"].alias("part")))  # the columns of the SQL
+    return found.select("log_id", F.coalesce(F.to_json(parts), F.lit("[]")).alias("results"))
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00'")

@@ -183,12 +183,10 @@ def test_job_state_from_a_stream_equals_the_batch(spark, tmp_path):
     assert sorted(rows(got, "job_id", "status", "attempts")) == [(1, "queued", 1), (2, "succeeded", 1)]
 
 
-def test_whole_weeks_are_compared(spark, tmp_path):
-    rows = [(1, 1.0, "2024-01-03 10:00:00"), (1, 2.0, "2024-01-12 10:00:00"), (2, 1.0, "2024-01-07 23:00:00"), (3, 1.0, "2024-01-14 23:00:00")]
-    events = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(f"{tmp_path}/events.parquet")
-    got = catalog.QUERIES["snapshot_compare_weeks"](spark, str(tmp_path)).collect()
-    assert {r.user_id: r.comparison_status for r in got} == {1: "common", 2: "removed", 3: "added"}
+def test_deep_organisations_are_whole(spark):
+    units = spark.createDataFrame([(k, k - 1 if k else None) for k in range(50)], "unit_id long, parent_id long")
+    top = permission.org_closure(units).where("unit_id = 49")
+    assert sorted((r.ancestor_id, r.depth) for r in top.collect()) == [(k, 49 - k) for k in range(50)]
 
 
 def test_context_queries_use_the_defaults(spark, monkeypatch):
@@ -199,7 +197,16 @@ def test_context_queries_use_the_defaults(spark, monkeypatch):
     assert seen == [()]
 
 
-def test_deep_organisations_are_whole(spark):
-    units = spark.createDataFrame([(k, k - 1 if k else None) for k in range(50)], "unit_id long, parent_id long")
-    top = permission.org_closure(units).where("unit_id = 49")
-    assert sorted((r.ancestor_id, r.depth) for r in top.collect()) == [(k, 49 - k) for k in range(50)]
+def test_whole_weeks_are_compared(spark, tmp_path):
+    rows = [(1, 1.0, "2024-01-03 10:00:00"), (1, 2.0, "2024-01-12 10:00:00"), (2, 1.0, "2024-01-07 23:00:00"), (3, 1.0, "2024-01-14 23:00:00")]
+    events = spark.createDataFrame(rows, "user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["snapshot_compare_weeks"](spark, str(tmp_path)).collect()
+    assert {r.user_id: r.comparison_status for r in got} == {1: "common", 2: "removed", 3: "added"}
+
+
+def test_log_detail_runs_its_operator(spark, monkeypatch):
+    calls, real = [], logs.log_detail
+    monkeypatch.setattr(logs, "log_detail", lambda *tables: calls.append(tables) or real(*tables))
+    catalog.QUERIES["log_detail"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
