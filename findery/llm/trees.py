@@ -20,12 +20,18 @@ class Boosted:
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        def walk(node, row):
-            while isinstance(node, tuple):
-                node = node[2] if row[node[0]] <= node[1] else node[3]
-            return node
+        def grown(node, rows: np.ndarray) -> None:
+            if isinstance(node, tuple):
+                low = x[rows, node[0]] <= node[1]
+                grown(node[2], rows[low])
+                grown(node[3], rows[~low])
+            else:
+                out[rows] += node
 
-        return np.array([self.base + sum(walk(t, row) for t in self.trees) for row in x])
+        out = np.full(len(x), self.base)
+        for t in self.trees:
+            grown(t, np.arange(len(x)))
+        return out
 
     def column(self, feature) -> Column:
         """The calibrated probability, where ``feature(name)`` gives a feature's column."""
@@ -41,9 +47,8 @@ class Boosted:
         return 1 / (1 + F.exp(-(total * self.slope + self.shift)))
 
 
-def boost(names: list[str], x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3) -> Boosted:
-    """Trees by second-order boosting of the logistic loss; every fourth row calibrates slope and shift instead."""
-    held = np.arange(len(y)) % 4 == 3
+def boost(names: list[str], x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3) -> Boosted:
+    """Trees by second-order boosting of the logistic loss; the rows ``held`` (a mask) calibrate slope and shift instead."""
     fit_x, fit_y = x[~held], y[~held]
     base = float(np.log((fit_y.sum() + 1) / ((1 - fit_y).sum() + 1)))
     model, total = Boosted(names, base, []), np.full(len(fit_y), base)
