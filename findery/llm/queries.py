@@ -90,8 +90,8 @@ OLD_SHARDS, NEW_SHARDS = 20, 24
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = reshard.reshard(docs, old, OLD_SHARDS, NEW_SHARDS, scratch(spark, "shards"))
-    return found.select(
+    found = reshard.reshard(reshard.lay_out(docs, old, OLD_SHARDS, scratch(spark, "shards")), NEW_SHARDS)
+    return found.rows().select(
         "doc_id",
         "size",
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
