@@ -1,12 +1,15 @@
 """Quality rules: counts of whole texts, fixed rules, and robust multivariate outliers by group.
 
 DataFrame functions only.  Groups are pairs of language and source; the location and scatter of each
-are minimum-covariance-determinant estimates: from medians and quartile ranges on, concentration steps
-refit mean and covariance to the three quarters of rows that are nearest by Mahalanobis distance.
+are minimum-covariance-determinant estimates: from several starts that follow from the rows alone,
+concentration steps refit mean and covariance to the three quarters of rows that are nearest by
+Mahalanobis distance, as long as the determinant falls; of the starts the least determinant counts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,11 @@ SYMBOLS = "#*$%&|<>"
 PRIOR_WORDS = 40
 #: The share of rows that estimates rest on, and the factor that makes them right for normal rows of 5 dimensions.
 CORE, CONSISTENCY = 0.75, 1.41
-STEPS = 3
-#: Groups of fewer rows are pooled by language, and if still too small, all together.
+#: A start is followed until its determinant falls by less than this share.
+FALL = 1e-4
+#: Rank error of quantiles is one part in so many; groups of fewer rows have exact ones.
+ACCURACY = 10_000
+#: Groups of fewer rows are pooled by language, and if still too small, all together: forty rows for each dimension.
 SMALLEST = 200
 #: Squared Mahalanobis distance beyond which a row is rejected: about 1 in 7,000 of normal rows of 5 dimensions (chi-square 0.99986).
 CUTOFF = 25.0
@@ -100,13 +106,17 @@ def _side(by_group: DataFrame, groups: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """With the key of each row's group: its language and source, or what that is pooled into."""
-    pair = F.to_json(F.struct("lang", "source"))
+    """With the key of each row's group: its language and source, or what that is pooled into.
+
+    Keys name their level and write nulls out, so null languages and sources are groups of their own and
+    no group shares a key with a pool.
+    """
+    named = lambda level, *columns: F.concat(F.lit(level), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
     counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = counts.where(F.col("n") < SMALLEST).groupBy(F.col("lang").alias("small_lang")).agg(F.sum("n").alias("n_lang"))
     keys = counts.join(small, F.col("lang").eqNullSafe(F.col("small_lang")), "left").select(
         F.col("lang").alias("k_lang"), F.col("source").alias("k_source"),
-        F.when(F.col("n") >= SMALLEST, pair).when(F.col("n_lang") >= SMALLEST, F.to_json(F.struct("lang"))).otherwise("").alias("key"),
+        F.when(F.col("n") >= SMALLEST, named("group", "lang", "source")).when(F.col("n_lang") >= SMALLEST, named("pool", "lang")).otherwise("rest").alias("key"),
     )
     keys = written(keys, scratch(rows.sparkSession, "keys"))
     same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
@@ -125,11 +135,12 @@ def _cholesky(moments: DataFrame) -> DataFrame:
             lower[f"l_{i}_{j}"] = (F.col(f"c_{i}_{j}") - inner) / F.col(f"l_{j}_{j}")
         if lower:
             moments = moments.withColumns(lower)
-    return moments.select("g", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    logs = sum((2 * F.log(f"l_{j}_{j}") for j in range(d)), F.lit(0.0))
+    return moments.select("g", "s", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)], logs.alias("log_det"))
 
 
 def _distance(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
-    """With d2, the squared Mahalanobis distance of each row from its group, by forward substitution."""
+    """With d2, the squared Mahalanobis distance of each row from the fits of its group, by forward substitution."""
     out = rows.join(_side(fit, groups), F.col("key") == F.col("g"), "left")
     for i, x in enumerate(X):
         inner = sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))
@@ -137,37 +148,73 @@ def _distance(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(X))), F.lit(0.0)))
 
 
+def _moments(near: DataFrame, value=lambda i: F.col(X[i]), factor: float = 1.0) -> DataFrame:
+    """Mean m_i and covariance c_i_j, times ``factor``, of the rows of each (g, s), about the fit's m_i so that little cancels."""
+    d = len(X)
+    off = lambda i: value(i) - F.col(f"m_{i}")
+    sums = near.groupBy("g", "s").agg(
+        *[F.avg(off(i)).alias(f"s_{i}") for i in range(d)],
+        *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)],
+        *[F.avg(off(i) * off(j)).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)],
+    )
+    return sums.select(
+        "g", "s",
+        *[(F.col(f"m_{i}") + F.col(f"s_{i}")).alias(f"m_{i}") for i in range(d)],
+        *[(factor * (F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}"))).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)],
+    )
+
+
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Three fits s of each group g, and how many groups there are.
+
+    0: medians and quartile ranges; 1: mean and covariance of all rows; 2: medians and the covariance of
+    signs, in which a row counts by its direction from the medians only.
+    """
+    spark, d = rows.sparkSession, len(X)
+    quartiles = rows.groupBy(F.col("key").alias("g")).agg(*[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), ACCURACY).alias(f"q_{i}") for i, x in enumerate(X)])
+    scale = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[X[i]])) for i in range(d)]
+    first = quartiles.select(
+        "g", F.lit(0).alias("s"),
+        *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(d)],
+        *[(scale[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)],
+        F.lit(float("inf")).alias("log_det"),
+    )
+    first = written(first, scratch(spark, "fit"))
+    groups = first.count()
+    near = _distance(rows, first, groups)
+    length = F.sqrt(F.greatest(F.col("d2"), F.lit(1e-12)))
+    signs = _cholesky(_moments(near.withColumn("s", F.lit(2)), lambda i: F.col(f"m_{i}") + (F.col(X[i]) - F.col(f"m_{i}")) / length))
+    medians = first.select(F.col("g").alias("h"), *[F.col(f"m_{i}").alias(f"n_{i}") for i in range(d)])
+    signs = signs.join(_side(medians, groups), F.col("g") == F.col("h")).select("g", "s", *[F.col(f"n_{i}").alias(f"m_{i}") for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)], F.lit(float("inf")).alias("log_det"))
+    whole = _cholesky(_moments(near.withColumn("s", F.lit(1)))).withColumn("log_det", F.lit(float("inf")))
+    return written(first.unionByName(whole).unionByName(signs), scratch(spark, "fit")), groups
+
+
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """Robust location m_i and scatter l_i_j of each group g, a row for each group; and how many groups there are.
 
+    Concentration steps run on all starts of all groups at once; a start whose determinant has stopped
+    falling keeps its fit and drops out.  Determinants fall and are bounded below by FLOORS, so this ends.
     All aggregates are combined before they are shuffled, and every fit is a table in the shared folder,
     small enough to be broadcast by its measured size or else joined by a shuffle that Spark can split.
     """
-    spark, d = rows.sparkSession, len(X)
-    quartiles = rows.groupBy(F.col("key").alias("g")).agg(*[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{i}") for i, x in enumerate(X)])
-    start = quartiles.select(
-        "g",
-        *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(d)],
-        *[(F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)],
-    )
-    fit = written(start, scratch(spark, "fit"))
-    groups = fit.count()
-    for _ in range(STEPS):
-        near = _distance(rows, fit, groups)
-        edge = written(near.groupBy("g").agg(F.percentile_approx("d2", CORE, 1000).alias("edge")), scratch(spark, "edge")).withColumnRenamed("g", "e")
-        core = near.join(_side(edge, groups), F.col("g") == F.col("e")).where("d2 <= edge")
-        sums = core.groupBy("g").agg(
-            *[F.avg(F.col(x) - F.col(f"m_{i}")).alias(f"s_{i}") for i, x in enumerate(X)],
-            *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)],
-            *[F.avg((F.col(X[i]) - F.col(f"m_{i}")) * (F.col(X[j]) - F.col(f"m_{j}"))).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)],
-        )
-        moments = sums.select(
-            "g",
-            *[(F.col(f"m_{i}") + F.col(f"s_{i}")).alias(f"m_{i}") for i in range(d)],
-            *[(CONSISTENCY * (F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}")) + (FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)],
-        )
-        fit = written(_cholesky(moments), scratch(spark, "fit"))
-    return fit, groups
+    spark = rows.sparkSession
+    fit, groups = _starts(rows)
+    done = None
+    while True:
+        near = _distance(rows, fit, groups).where("g IS NOT NULL")
+        edge = near.groupBy(F.col("g").alias("e"), F.col("s").alias("t")).agg(F.percentile_approx("d2", CORE, ACCURACY).alias("edge"))
+        core = near.join(_side(edge, groups), (F.col("g") == F.col("e")) & (F.col("s") == F.col("t"))).where("d2 <= edge")
+        new = _cholesky(_moments(core, factor=CONSISTENCY))
+        old = fit.select(F.col("g").alias("e"), F.col("s").alias("t"), F.col("log_det").alias("before"))
+        new = written(new.join(_side(old, groups), (F.col("g") == F.col("e")) & (F.col("s") == F.col("t"))).drop("e", "t"), scratch(spark, "fit"))
+        falls = F.col("log_det") < F.col("before") + math.log1p(-FALL)
+        ended = new.where(~falls).drop("before")
+        done = ended if done is None else done.unionByName(ended)
+        fit = new.where(falls).drop("before")
+        if not fit.limit(1).count():
+            best = done.groupBy("g").agg(F.min_by(F.struct(*[c for c in done.columns if c != "g"]), F.struct("log_det", "s")).alias("best")).select("g", "best.*")
+            return written(best, scratch(spark, "fit")), groups
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -175,8 +222,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows.  kept: neither
     that nor a robust outlier of its language and source; rows that base rules reject form no estimate.
-    Null and empty texts have no words and fail.  Null languages and sources are groups of their own.
-    Repeated rows each get their row; an empty table gives an empty one.
+    Null and empty texts have no words and fail.  Null languages and sources are groups of their own, and
+    groups under SMALLEST rows are pooled.  Texts are read whole.  Repeated rows each get their row, rows with
+    equal statistics are judged alike; an empty table gives an empty one; other columns may have any names.
     """
     spark = docs.sparkSession
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
