@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.common import scratch, small_batches, written
 
-#: Documents of each language that training reads at most, the first by a hash of doc_id.
+#: Documents of each language that training reads, drawn by a hash of doc_id; of fewer it reads all.
 SAMPLE_PER_LANGUAGE = 1500
-SAMPLE_PARTS = 20
-#: Words, and n-grams of each length, that are kept of each language, the most frequent.
-WORDS = 8000
-GRAMS = 4000
+#: Words and n-grams below this share of all of their length in a language teach nothing, nor do those seen once.
+#: It is a floor of frequency, no count of terms: terms of one length and language number 1 / RARE at the most.
+RARE = 1e-5
 LONGEST = 4
 #: Texts whose words are scored together.
 GROUP = 250
+#: Longer texts are read word by word instead of as one list of words.
+LONG = 1 << 20
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def letter_words(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+def word_counts(text: str | None) -> Counter:
+    """Runs of letters, and marks after them, in lower case, with how often each occurs."""
+    text = (text or "").lower()
+    return Counter(_WORDS.findall(text) if len(text) < LONG else (m[0] for m in _WORDS.finditer(text)))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -78,15 +81,15 @@ class LanguageModel:
         """(language, its share of the likelihood) of each text; ``und`` and 0 without a letter."""
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        split = [letter_words(t) for t in texts]
-        own = list(set().union(*split))
+        counted = [word_counts(t) for t in texts]
+        own = list(set().union(*counted))
         at = dict(zip(own, range(len(own)), strict=True))
         scores, out = self.scores(own), []
-        for words in split:
-            if not words:
+        for counts in counted:
+            if not counts:
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = scores[list(map(at.__getitem__, words))].sum(0)
+            total = np.fromiter(counts.values(), np.float64, len(counts)) @ scores[list(map(at.__getitem__, counts))]
             share = np.exp(total - total.max())
             best = int(np.argmax(total))
             out.append((self.languages[best], float(share[best] / share.sum())))
@@ -94,27 +97,27 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, learn: Column) -> LanguageModel:
-    """Count words and n-grams of at most SAMPLE_PER_LANGUAGE whole documents a language, of rows where ``learn`` holds.
+    """Count words and n-grams of about SAMPLE_PER_LANGUAGE whole documents a language, of rows where ``learn`` holds.
 
-    Rows with a null lang or text teach nothing.  Counting is distributed; the driver gets the most
-    frequent terms only, a bounded number for each language.
+    A document is drawn if the hash of its doc_id lies below its language's share, so no task sorts or
+    gathers a language, however large; of rows that share a doc_id the least (lang, text) counts once.
+    Rows with a null lang, text or doc_id teach nothing.  Counting is distributed; the driver gets a
+    number of rows for each language, and the terms above the floor.
     """
     spark = docs.sparkSession
     small_batches(spark)
     lang = F.col("lang").cast("string")
-    ids = docs.where(learn & lang.isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # the first by hash in each of some parts of a language, so that no task sorts a whole language
-    w = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy("h", "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_PER_LANGUAGE // SAMPLE_PARTS).select("doc_id", "lang")
-    chosen = written(chosen.dropDuplicates(["doc_id"]), scratch(spark, "chosen"))
-    wanted = chosen.withColumnRenamed("doc_id", "wanted").select("wanted")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").where(lang.isNotNull()).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    usable = docs.where(learn & lang.isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
+    rows = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = F.from_json(F.lit(json.dumps({k: SAMPLE_PER_LANGUAGE / n for k, n in rows.items()})), "map<string,double>")
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(shares, F.col("lang")) * (1 << 30))
+    sample = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("own")).select("own.*")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(language, Counter()).update(letter_words(text))
+                counts.setdefault(language, Counter()).update(word_counts(text))
             rows = Counter()
             for language, words in counts.items():
                 for word, n in words.items():
@@ -128,16 +131,16 @@ def train(docs: DataFrame, learn: Column) -> LanguageModel:
             )
 
     counted = written(sample.select("lang", "text").mapInArrow(terms, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n")), scratch(spark, "terms"))
-    totals = {(r.lang, r["size"]): r.n for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term"))
-    kept = counted.withColumn("k", rank).where(F.col("k") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS))
+    summed = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    totals = {(r.lang, r["size"]): r.total for r in summed.collect()}
+    kept = counted.join(F.broadcast(summed), ["lang", "size"]).where((F.col("n") > 1) & (F.col("n") >= RARE * F.col("total")))
     languages = sorted({k[0] for k in totals})
     at = {x: k for k, x in enumerate(languages)}
     tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    found = kept.select("lang", "size", "term", "n").collect()
+    found, terms_known = kept.select("lang", "size", "term", "n").collect(), 0
     for r in found:
-        tables[r["size"]].setdefault(r.term, sum(map(len, tables)))
-    counts, all_of = np.zeros((sum(map(len, tables)), len(languages))), np.zeros((sum(map(len, tables)), len(languages)))
+        terms_known += tables[r["size"]].setdefault(r.term, terms_known) == terms_known
+    counts, all_of = np.zeros((terms_known, len(languages)), np.float32), np.zeros((terms_known, len(languages)), np.float32)
     for r in found:
         counts[tables[r["size"]][r.term], at[r.lang]] = r.n
     for size, table in enumerate(tables):
@@ -146,9 +149,11 @@ def train(docs: DataFrame, learn: Column) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred string, score double) of every row, from its whole text alone.
+    """(doc_id, lang_pred string, score double) of every row, from its whole text alone, however long.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learnt.
+    A text that is null, empty or has no letter is ``und`` with score 0, and so is every text if nothing
+    was learnt.  Of languages that score alike the first by name is given.  Repeated rows each get their
+    row, an empty table gives an empty one, and other columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
