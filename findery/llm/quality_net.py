@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.common import scratch, small_batches, space_words, written
+from findery.llm.common import scratch, small_batches, word_slices, written
 
 #: Labelled documents of each class that training uses at most, the first by a hash of doc_id.
 SAMPLE_PER_CLASS = 3000
-#: Words that get a vector of their own, the most frequent by documents of the sample.
-VOCABULARY = 6000
-SHAPES = 512
+#: Words and shapes in at least this share of the sample's documents, and two of them, get a vector of their own.
+COMMON = 1 / 1000
 DIMENSIONS = 64
 NEIGHBOURS = 2
 HIDDEN = 24
@@ -39,7 +40,8 @@ _RUNS = re.compile(rb"([A-Z])[A-Z]*|([a-z\x80-\xff])[a-z\x80-\xff]*|([0-9])[0-9]
 
 def shape(word: bytes) -> bytes:
     """``Rewh.###`` becomes ``Aa.#``: runs of capitals, other letters, digits and each other character, at most 8."""
-    return b"".join([b"A" if a else b"a" if b else b"0" if c else d for a, b, c, d in _RUNS.findall(word)])[:8]
+    runs = (m.groups() for m in islice(_RUNS.finditer(word), 8))
+    return b"".join([b"A" if a else b"a" if b else b"0" if c else d for a, b, c, d in runs])
 
 
 @dataclass
@@ -78,13 +80,20 @@ def _rows_of(rows: dict[bytes, int], words: list[bytes]) -> list[int]:
 
 def pool(rows: dict[bytes, int], vectors: np.ndarray, text: bytes | None) -> np.ndarray:
     """A document: the mean of its words' vectors, its length, and how varied and how long its words are."""
-    words = space_words(text)
-    if not words:
+    counts: Counter = Counter()
+    own: set[bytes] = set()
+    n, repeats, letters, last = 0, 0, 0, None
+    for words in word_slices(text):
+        counts.update(_rows_of(rows, words))
+        own.update(words)
+        repeats += sum(map(bytes.__eq__, words, words[1:])) + (words[0] == last)
+        letters += sum(map(len, words))
+        n, last = n + len(words), words[-1]
+    if not n:
         return np.zeros(vectors.shape[1] + 5, np.float32)
-    mean = vectors[_rows_of(rows, words)].mean(0)
-    n = len(words)
-    repeats = sum(map(bytes.__eq__, words, words[1:])) / n
-    extra = (float(np.linalg.norm(mean)), len(set(words)) / n**0.8, repeats, math.log1p(n), sum(map(len, words)) / n / 10)
+    at = sorted(counts)
+    mean = (np.array([counts[k] for k in at], np.float32) @ vectors[at]) / n
+    extra = (float(np.linalg.norm(mean)), len(own) / n**0.8, repeats / n, math.log1p(n), letters / n / 10)
     return np.concatenate([mean, np.array(extra, np.float32)])
 
 
@@ -92,7 +101,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word and shape of a document once."""
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            own = set(space_words(t))
+            own = set().union(*word_slices(t))
             own |= {b"\x00" + shape(w) for w in own}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary())], names=["term"])
 
@@ -109,9 +118,11 @@ def _index_vectors(n: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on a bounded sample of ``labels`` (doc_id, label 0 or 1); lang, source and doc_id are no inputs.
 
-    At most SAMPLE_PER_CLASS documents of each label are read whole; counts, neighbour sums and pooled
-    vectors are made on the executors, and the driver gets matrices of fixed size only.  Null labels,
-    ids and labels without a document count for nothing; without both labels the model gives the prior.
+    At most SAMPLE_PER_CLASS documents of each label are read whole, those with the least hashes of doc_id
+    and then the least ids; of rows that share a doc_id the least (text, label) counts.  Word counts, neighbour
+    sums and pooled vectors are made on the executors; the driver gets the common words and matrices of
+    their number.  Null labels, ids and labels without a document count for nothing; without both labels
+    the model gives the prior.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -128,15 +139,12 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
         chosen = own if chosen is None else chosen.union(own)
     chosen = written(chosen.dropDuplicates(["doc_id"]), scratch(spark, "chosen"))  # 2 * SAMPLE_PER_CLASS rows at most
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
-    sample = written(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * SAMPLE_PER_CLASS), scratch(spark, "sample"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    sample = written(found.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("own")).select("doc_id", "own.*"), scratch(spark, "sample"))
 
     terms = sample.select("text").mapInArrow(_terms, "term binary").groupBy("term").agg(F.count("*").alias("n"))
-    rows: dict[bytes, int] = {}
-    for is_shape, most in ((False, VOCABULARY), (True, SHAPES)):
-        own = terms.where((F.substring("term", 1, 1) == F.lit(b"\x00")) == is_shape).where("n > 1").orderBy(F.desc("n"), "term").limit(most)
-        for r in own.collect():
-            rows[bytes(r.term)] = len(rows)
+    common = terms.where(F.col("n") >= max(2, COMMON * sample.count())).orderBy(F.desc("n"), "term").collect()
+    rows = {bytes(r.term): k for k, r in enumerate(common)}
     rows[b""] = len(rows)
     index = _index_vectors(len(rows))
 
@@ -144,15 +152,18 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
         sums = np.zeros((len(rows), DIMENSIONS), np.float32)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                at = np.array(_rows_of(rows, space_words(t)), np.int64)
-                if len(at) > 1:
-                    near = np.zeros((len(at), DIMENSIONS), np.float32)
+                before = np.empty(0, np.int64)  # the last words of the slice before, whose neighbours go on here
+                for words in word_slices(t):
+                    at = np.concatenate([before, np.array(_rows_of(rows, words), np.int64)])
+                    near, old = np.zeros((len(at), DIMENSIONS), np.float32), len(before)
                     for step in range(1, NEIGHBOURS + 1):
-                        near[:-step] += index[at[step:]]
-                        near[step:] += index[at[:-step]]
-                    own, back = np.unique(at, return_inverse=True)
+                        a = max(0, old - step)  # pairs of two old words were counted before
+                        near[a : len(at) - step] += index[at[a + step :]]
+                        near[a + step :] += index[at[a : len(at) - step]]
+                    used, back = np.unique(at, return_inverse=True)
                     for d in range(DIMENSIONS):
-                        sums[own, d] += np.bincount(back, near[:, d], len(own)).astype(np.float32)
+                        sums[used, d] += np.bincount(back, near[:, d], len(used)).astype(np.float32)
+                    before = at[-NEIGHBOURS:]
         yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
 
     vectors = np.zeros((len(rows), DIMENSIONS), np.float32)
@@ -166,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
             x = [pool(rows, vectors, t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], names=["label", "x", "doc_id"])
 
-    got = sample.mapInArrow(pooled, "label int, x binary, doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
+    got = sample.select("label", "text", "doc_id").mapInArrow(pooled, "label int, x binary, doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id", "x").collect()
     if len({r.label for r in got}) < 2:
         return empty
     x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64)
@@ -220,7 +231,9 @@ def score_column(model: Broadcast, text: Column) -> Column:
 def classify(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score double, predicted int) of every row: predicted is 1 from THRESHOLD on.
 
-    Null and empty texts are scored like a document without words.  Repeated rows each get their row.
+    Null and empty texts are scored like a document without words.  Texts are read whole, long ones slice
+    by slice.  Repeated rows each get their row, equal texts get equal scores, an empty table gives an empty
+    one, and other columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(shared, F.col("text")).alias("score"))
