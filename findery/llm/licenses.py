@@ -14,29 +14,86 @@ from findery.llm.common import alnum_words, small_batches
 # Phrases whose places every scan reports, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Wording of public licence notices.  [[ ... ]] may be missing, {{n}} stands for 1 to n words.
+_PERMISSIVE_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY {{12}} AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "[[1. ]]Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "[[2. ]]Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_GNU_WARRANTY = (
+    "This {{3}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU [[Lesser ]][[Affero ]]General Public License for more details"
+)
+_COPYRIGHT = "Copyright [[(c) ]][[© ]]{{8}} [[All rights reserved ]]"
+
+# Wording of public licences and of notices that refer to them.  [[ ... ]] may be missing, {{n}} stands for 1 to n words.
 TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License[[, Version 2.0]][[ (the License); you may not use this file except in compliance with the License]]",
         "[[This work is ]]licensed under [[the ]]Apache 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at {{12}} "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License",
     ],
     "mit": [
         "released under the MIT License",
         "licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software), ]]to deal in the Software without restriction",
+        f"[[{_COPYRIGHT}]]Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph) ]]shall be included in all copies or substantial portions of the Software. "
+        + _PERMISSIVE_WARRANTY,
     ],
     "gpl": [
         "[[This {{3}} is ]]licensed under the GNU [[Lesser ]][[Affero ]]General Public License[[, version {{1}}]][[ or [[at your option ]]any later version]]",
         "under the terms of the GNU [[Lesser ]][[Affero ]]General Public License as published by the Free Software Foundation",
+        "This {{3}} is free software[[;]][[:]] you can redistribute it and/or modify it under the terms of the GNU [[Lesser ]][[Affero ]]General Public License as published by the Free Software Foundation[[;]] "
+        f"either version {{{{3}}}} of the License, or [[(at your option) ]]any later version. {_GNU_WARRANTY}",
+    ],
+    "cc-by": [
+        "licensed under [[a ]]CC BY[[-NC]][[-SA]][[-ND]][[ {{2}}]]",
+        "licensed under a Creative Commons Attribution[[-{{2}}]] {{3}} License",
+        "This work is licensed under [[a ]][[the ]]Creative Commons Attribution[[-NonCommercial]][[-ShareAlike]][[-NoDerivatives]][[-NoDerivs]] {{3}} [[Unported ]][[International ]]License. To view a copy of this license, visit {{12}} or send a letter to Creative Commons",
     ],
-    "cc-by": ["licensed under [[a ]]CC BY[[-NC]][[-SA]][[-ND]][[ {{2}}]]", "licensed under a Creative Commons Attribution[[-{{2}}]] {{3}} License"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted[[ provided that the following conditions are met]]",
         "licensed under the [[{{1}} clause ]]BSD License",
+        f"[[{_COPYRIGHT}]]{_BSD_CONDITIONS}[[[[3. ]]Neither the name of {{{{8}}}} nor the names of [[its ]][[{{{{4}}}} ]]contributors may be used to endorse or promote products derived from this software without specific prior written permission. ]]{_BSD_WARRANTY}",
+    ],
+    "mpl-2.0": [
+        "subject to the terms of the Mozilla Public License[[, v. 2.0]]",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {{8}}",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted",
+        f"[[{_COPYRIGHT}]]Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND {{8}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{8}} BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means",
     ],
-    "mpl-2.0": ["subject to the terms of the Mozilla Public License[[, v. 2.0]]"],
-    "isc": ["Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "cc0": ["To the extent possible under law, {{12}} waived all copyright and related or neighboring rights to {{12}}", "licensed under [[the ]]CC0"],
     "reserved": ["[[Copyright [[(c) ]]{{6}} ]]All rights reserved"],
     "copyright": ["Copyright (c) {{1}} [[by ]]{{4}} All rights reserved"],
 }
@@ -74,7 +131,10 @@ class Automaton:
         opened: list[int] = []
         for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|(?:(?!\[\[|\]\]|\{\{).)+", text):
             if part == "[[":
+                entry = self._state()  # of its own, so that a missing region is passed by, never entered again
+                self.free[at].append(entry)
                 opened.append(at)
+                at = entry
             elif part == "]]":
                 after = self._state()
                 self.free[at].append(after)
@@ -150,8 +210,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels array, labels array, score) for every row.
 
     Base phrases are reported wherever their words stand consecutively, overlapping or not.  Labels
-    also hold the templates accepted from any word on.  score grows with the longest match: n / (n + 2)
-    for n words, 0 without a match.  A null or empty text has no words, no labels and score 0.
+    also hold the templates accepted from any word on: mandatory words stand there exactly and in order,
+    optional regions may be missing, replaceable ones hold any words up to their number.  score grows with
+    the longest match: n / (n + 2) for n words, 0 without a match.  A null or empty text has no words, no
+    labels and score 0.  Texts are read whole; repeated rows each get their row; an empty table gives an
+    empty one; other columns may have any names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
