@@ -17,7 +17,7 @@ from findery.functions.vectors import stand_in_embeddings
 from findery.operators import history as answers_history
 from findery.operators import answers, chunking, coverage, evaluate, fuse, keyword, logs, ops, permission, vector
 from findery.plans import search
-from findery.sources import files, metrics, tables
+from findery.sources import entities, files, metrics, tables
 from findery.streaming import jobs as job_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,16 @@ def mock_embeddings(read):
     return read("documents").select("doc_id", stand_in_embeddings(F.col("text"), "stand_in", 16).alias("embedding"))
 
 
+@query(
+    """WITH h AS (SELECT doc_id, k, sha256('stand_in' || chr(10) || text || chr(0) || chr(0) || chr(0) || chr(k)) AS d FROM documents, (VALUES (0), (1)) b(k)),
+e AS (SELECT doc_id, k * 8 + i AS p, ('0x' || d[i * 8 + 1:i * 8 + 8])::BIGINT / 2147483648.0::DOUBLE - 1 AS x FROM (SELECT *, unnest(range(8)) AS i FROM h))
+SELECT doc_id, round(max(x) FILTER (WHERE p = 0) / sqrt(sum(x * x)), 9) AS first_number, round(max(x) FILTER (WHERE p = 15) / sqrt(sum(x * x)), 9) AS last_number FROM e GROUP BY 1"""
+)
+def mock_embedding_ends(read):
+    e = stand_in_embeddings(F.col("text"), "stand_in", 16)
+    return read("documents").select("doc_id", e.alias("e")).select("doc_id", F.round(F.element_at("e", 1), 9).alias("first_number"), F.round(F.element_at("e", -1), 9).alias("last_number"))
+
+
 @query(
     """SELECT vec_id, len(embedding)::BIGINT AS dimension, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding) = 64 AS is_valid FROM embeddings"""
 )
@@ -732,7 +742,7 @@ def _permission_inputs(read):
     owner_unit = F.when(F.col("s_suppkey") % 3 == 0, 1000 + F.col("s_nationkey") % 5).otherwise(F.col("s_nationkey")).cast("long")
     documents = read("supplier").select(F.col("s_suppkey").alias("document_id"), F.col("s_suppkey").alias("owner_user_id"), owner_unit.alias("owner_unit_id"), scope.alias("access_scope"))
     requests = users.select("user_id", F.element_at(F.array(*map(F.lit, permission.SCOPES)), (F.col("user_id") % 4 + 1).cast("int")).alias("requested_scope"))
-    return documents, permission.actors(users, memberships, closure), requests, closure, memberships
+    return documents, requests, permission.grants(permission.actors(users, memberships, closure), requests, closure, memberships)
 
 
 _VISIBLE_CTE = f"""{_UNITS_CTE},
@@ -754,7 +764,8 @@ vis AS (
 
 @query(f"WITH RECURSIVE {_VISIBLE_CTE} SELECT * FROM vis")
 def visible_documents(read):
-    return permission.visible_documents(*_permission_inputs(read))
+    documents, _, granted = _permission_inputs(read)
+    return permission.visible_documents(documents, granted)
 
 
 @query(
@@ -762,8 +773,8 @@ def visible_documents(read):
 SELECT user_id, requested_scope, access_scope, candidate_count, coalesce(visible_count, 0) AS visible_count FROM (SELECT DISTINCT user_id, requested_scope FROM vis) CROSS JOIN c LEFT JOIN s USING (user_id, access_scope)"""
 )
 def scope_explanation(read):
-    inputs = _permission_inputs(read)
-    return permission.scope_explanation(permission.visible_documents(*inputs), inputs[0])
+    documents, _, granted = _permission_inputs(read)
+    return permission.scope_explanation(granted, documents)
 
 
 @query(
@@ -772,10 +783,10 @@ m AS (SELECT user_id, requested_scope, count(*) AS result_count, count(DISTINCT
 SELECT req.user_id, req.requested_scope, coalesce(result_count, 0) AS result_count, coalesce(chunk_count, 0) AS chunk_count, top_chunk_id FROM req LEFT JOIN m USING (user_id, requested_scope)"""
 )
 def permission_matrix(read):
-    inputs = _permission_inputs(read)
+    documents, requests, granted = _permission_inputs(read)
     chunks = read("part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 100 + 1).alias("document_id"))
     results = chunks.select("chunk_id", F.col("chunk_id").alias("rank"), F.lit(1).alias("query_id"))
-    return permission.permission_matrix(results, inputs[2], permission.visible_documents(*inputs), chunks)
+    return permission.permission_matrix(results, requests, granted, chunks.join(documents, "document_id"))
 
 
 # --- answers ---
@@ -907,7 +918,26 @@ def line_blocks(read):
 
 @query()
 def chunks_by_size(read):
-    return chunking.chunk(chunking.parse(read("documents"), "lines", "doc_id"), chunking.POLICIES["heading_512_64"])
+    found = chunking.chunk_documents(read("documents"), [chunking.POLICIES["heading_512_64"]], "lines", "doc_id")
+    return found.drop("start_char", "end_char", "page", "slide", "sheet", "cell_range", "block_seqs")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, trim(line) AS t, k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE trim(line) <> '')
+SELECT doc_id AS document_id, max(k)::BIGINT AS last_line, count(*) AS blocks, sum(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}]+')))::BIGINT AS tokens FROM l GROUP BY 1 HAVING tokens <= 1000"""
+)
+def chunk_anchors(read):
+    """Documents that fit one chunk: it reaches from their first to their last line and names all their blocks."""
+    found = chunking.chunk_documents(read("documents"), [chunking.POLICIES["heading_1000_200"]], "lines", "doc_id")
+    whole = found.groupBy("document_id").agg(F.max("end_line").alias("last_line"), F.count("*").alias("chunks"), F.max(F.size("block_seqs")).cast("long").alias("blocks"), F.max("token_count").alias("tokens"))
+    return whole.where("chunks = 1").drop("chunks")
+
+
+@query()
+def markdown_blocks(read):
+    """Documents with their first line as a heading, through the Markdown reader."""
+    marked = F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n\n"))
+    return chunking.parse(read("documents").select("doc_id", marked.alias("text")), "markdown", "doc_id")
 
 
 @query()
@@ -915,7 +945,15 @@ def html_blocks(read):
     return files.html_pages(read("pages"))
 
 
-@query()
+_HANGUL_SQL = """
+WITH w AS (SELECT item_id, unnest(t) AS term, unnest(range(len(t))) AS p FROM (SELECT item_id, regexp_extract_all(replace(lower('업무보고서는 검색 기능, ' || text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM benchmark)),
+r AS (SELECT item_id, p, term, unnest(regexp_extract_all(term, '[가-힣]+')) AS run, unnest(range(len(regexp_extract_all(term, '[가-힣]+')))) AS rn FROM w),
+g AS (SELECT item_id, p, term, rn, n, k, run[k:k + n - 1] AS gram FROM (SELECT *, unnest(range(1, len(run) - n + 2)) AS k FROM r, (VALUES (2), (3)) s(n) WHERE len(run) >= n)),
+a AS (SELECT item_id, p, -1 AS rn, 0 AS n, 0 AS k, term FROM w UNION ALL SELECT item_id, p, rn, n, k, gram FROM g WHERE gram <> term)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY p, rn, n, k) - 1 AS pos, term FROM a"""
+
+
+@query(_HANGUL_SQL)
 def hangul_ngrams(read):
     mixed = F.concat_ws(" ", F.lit("업무보고서는 검색 기능,"), F.col("text"))
     return read("benchmark").select("item_id", F.posexplode(tx.words_and_hangul_grams(mixed)).alias("pos", "term"))
@@ -985,10 +1023,9 @@ def summary_readiness(read):
 SELECT user_id, question_id, rank, chunk_id, chunk_id AS document_id, EXISTS (SELECT 1 FROM vis WHERE vis.user_id = res.user_id AND vis.document_id = chunk_id) AS is_visible FROM res WHERE chunk_id IN (SELECT s_suppkey FROM supplier)"""
 )
 def permission_audit(read):
-    inputs = _permission_inputs(read)
+    documents, _, granted = _permission_inputs(read)
     results = read("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 7).alias("question_id"), F.lit(1).cast("long").alias("rank"), (F.col("c_custkey") % 100 + 1).alias("chunk_id"))
-    chunks = read("supplier").select(F.col("s_suppkey").alias("chunk_id"), F.col("s_suppkey").alias("document_id"))
-    return answers_history.permission_audit(results, chunks, permission.visible_documents(*inputs))
+    return answers_history.permission_audit(results, documents.withColumn("chunk_id", F.col("document_id")), granted)
 
 
 @query("SELECT user_id, CASE WHEN count(*) <> count(*) FILTER (WHERE event_type = 'view') + count(*) FILTER (WHERE event_type = 'click') THEN 'sum_differs' END AS violation FROM events GROUP BY 1 HAVING violation IS NOT NULL")
@@ -1064,3 +1101,192 @@ def batch_metrics(read):
     targets = like.select("question_id", F.col("doc_id").alias("chunk_id"), F.col("quality").alias("grade"), F.lit("visible").alias("expectation"))
     found = evaluate.question_metrics(questions, results.withColumnRenamed("log_id", "question_id"), targets, 10, by=["profile_name"])
     return evaluate.metric_summary(found, ["profile_name"]).select("profile_name", "question_count", "evaluated_count", "mean_recall_at_k")
+
+
+# --- keyed tables ---
+
+
+def _jobs_table(read) -> DataFrame:
+    """Orders as embedding jobs: customers are chunks, priorities profiles."""
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
+    return read("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("chunk_id"), F.col("o_orderpriority").alias("profile_name"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+_ENTITY_JOBS = "ej AS (SELECT o_orderkey AS job_id, o_custkey AS chunk_id, o_orderpriority AS profile_name, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS status, o_orderdate AS created_at FROM orders)"
+
+
+@query(f"WITH {_ENTITY_JOBS} SELECT job_id, chunk_id, profile_name FROM ej WHERE status = 'failed' ORDER BY created_at DESC, job_id DESC LIMIT 100")
+def entity_listing(read):
+    return entities.listing("embedding_jobs", _jobs_table(read), 100, status="failed").select("job_id", "chunk_id", "profile_name")
+
+
+@query(f"WITH {_ENTITY_JOBS} SELECT chunk_id, job_id, status, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, job_id DESC) AS rank FROM ej QUALIFY rank <= 3")
+def entity_listing_by_group(read):
+    return entities.listing_by("embedding_jobs", _jobs_table(read), "chunk_id", 3).select("chunk_id", "job_id", "status", "rank")
+
+
+@query("SELECT user_id AS file_id, s_nationkey AS parser_id, s_suppkey IS NOT NULL AS is_found FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN supplier ON s_suppkey = user_id")
+def entity_lookup(read):
+    rows = read("supplier").select(F.col("s_suppkey").alias("file_id"), F.col("s_nationkey").alias("parser_id"))
+    return entities.found("files", rows, read("events").select(F.col("user_id").alias("file_id"))).select("file_id", "parser_id", "is_found")
+
+
+@query("SELECT c_custkey AS chat_session_id, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'closed' END, c_mktsegment) AS status, coalesce(s_acctbal, c_acctbal) AS updated_at FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def entity_changes(read):
+    current = read("customer").select(F.col("c_custkey").alias("chat_session_id"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("updated_at"))
+    changes = read("supplier").select(F.col("s_suppkey").alias("chat_session_id"), F.when(F.col("s_suppkey") % 2 == 0, "closed").alias("status"), F.col("s_acctbal").alias("updated_at"))
+    return entities.changed("chat_sessions", current, changes)
+
+
+@query("SELECT o_orderkey AS job_id, o_orderstatus FROM orders UNION ALL SELECT p_partkey + 10000000, 'new' FROM part")
+def entity_creation(read):
+    current = read("orders").select(F.col("o_orderkey").alias("job_id"), "o_orderstatus")
+    return entities.created("embedding_jobs", current, read("part").select((F.col("p_partkey") + 10000000).alias("job_id"), F.lit("new").alias("o_orderstatus")))
+
+
+_ROUTES = "rt AS (SELECT s_suppkey AS route_id, s_nationkey AS profile_name, (s_suppkey * 7) % 5 AS priority, s_acctbal > 0 AS is_active FROM supplier)"
+
+
+def _routes(read) -> DataFrame:
+    """Suppliers as model routes of their nation's profile."""
+    return read("supplier").select(F.col("s_suppkey").alias("route_id"), F.col("s_nationkey").alias("profile_name"), (F.col("s_suppkey") * 7 % 5).alias("priority"), (F.col("s_acctbal") > 0).alias("is_active"))
+
+
+@query(f"WITH {_ROUTES} SELECT profile_name, route_id, priority FROM rt WHERE is_active QUALIFY row_number() OVER (PARTITION BY profile_name ORDER BY priority, route_id) = 1")
+def route_selection(read):
+    return entities.selected_routes(_routes(read)).select("profile_name", "route_id", "priority")
+
+
+@query(f"WITH {_ROUTES} SELECT route_id, CASE WHEN route_id = 3 THEN FALSE ELSE is_active END AS is_active FROM rt")
+def route_activation(read):
+    return entities.activated("routes", _routes(read), 3, False).select("route_id", "is_active")
+
+
+def _templates(read) -> DataFrame:
+    """Customers as generation templates of their segment's language; every eleventh is the default."""
+    return read("customer").select(
+        F.col("c_custkey").alias("template_key"), F.col("c_mktsegment").alias("language"), F.col("c_nationkey").alias("template_family"), F.lit(1).alias("template_version"), (F.col("c_custkey") % 11 == 0).alias("is_default"), (F.col("c_acctbal") > 0).alias("is_active")
+    )
+
+
+_TEMPLATES = "tp AS (SELECT c_custkey AS template_key, c_mktsegment AS language, c_custkey % 11 = 0 AS is_default, c_acctbal > 0 AS is_active FROM customer)"
+
+
+@query(f"WITH {_TEMPLATES} SELECT language, min(template_key) AS template_key FROM tp WHERE is_default AND is_active GROUP BY 1")
+def template_defaults(read):
+    return entities.default_of("generation_templates", _templates(read)).select("language", "template_key")
+
+
+@query(
+    f"""WITH {_TEMPLATES}, k AS (SELECT min(template_key) AS template_key FROM tp WHERE is_active),
+g AS (SELECT language FROM tp JOIN k USING (template_key))
+SELECT template_key, CASE WHEN language = (SELECT language FROM g) THEN template_key = (SELECT template_key FROM k) ELSE is_default END AS is_default FROM tp"""
+)
+def template_made_default(read):
+    rows = _templates(read)
+    key = rows.where("is_active").agg(F.min("template_key")).first()[0]
+    return entities.made_default("generation_templates", rows, key).select("template_key", "is_default")
+
+
+@query(
+    f"""WITH {_TEMPLATES}, n AS (SELECT s_suppkey AS template_key, ['AUTOMOBILE', 'BUILDING'][s_suppkey % 2 + 1] AS language, s_suppkey <= 2 AS is_default, TRUE AS is_active FROM supplier),
+a AS (SELECT * FROM n UNION ALL SELECT * FROM tp WHERE template_key NOT IN (SELECT template_key FROM n))
+SELECT template_key, CASE WHEN language IN ('AUTOMOBILE', 'BUILDING') THEN template_key <= 2 ELSE is_default END AS is_default FROM a"""
+)
+def template_upsert(read):
+    language = F.when(F.col("s_suppkey") % 2 == 0, "AUTOMOBILE").otherwise("BUILDING")
+    new = read("supplier").select(F.col("s_suppkey").alias("template_key"), language.alias("language"), (F.col("s_suppkey") <= 2).alias("is_default"), F.lit(True).alias("is_active"))
+    current = _templates(read).select("template_key", "language", "is_default", "is_active")
+    return entities.stored("generation_templates", current, new).select("template_key", "is_default")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def keyed_delete(read):
+    return tables.deleted(read("customer"), read("supplier").select(F.col("s_suppkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT DISTINCT o_custkey AS chunk_id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def unknown_references(read):
+    return entities.unknown_references(_jobs_table(read), "chunk_id", read("supplier"), "s_suppkey")
+
+
+@query("SELECT '14' AS retention_days, '1000' AS purge_batch")
+def settings_values(read):
+    stored = read("region").select(F.when(F.col("r_regionkey") == 0, "retention_days").otherwise("other").alias("key"), F.lit("14").alias("value"))
+    return metrics.setting(stored, entities.SETTINGS["search_log_retention"])
+
+
+@query("SELECT m.conv_id * 100 + m.turn AS chat_message_id, CASE WHEN p.conv_id IS NULL THEN 'missing_parent' WHEN p.conv_id <> m.conv_id THEN 'other_session' END AS problem FROM conversations m LEFT JOIN conversations p ON p.conv_id * 100 + p.turn = m.conv_id * 100 + m.turn + (m.turn % 3) * 50 - 50 WHERE problem IS NOT NULL")
+def parent_problems(read):
+    c = read("conversations")
+    messages = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("chat_message_id"), F.col("conv_id").alias("chat_session_id"), "turn")
+    incoming = messages.withColumn("parent_message_id", F.col("chat_message_id") + (F.col("turn") % 3) * 50 - 50)
+    return entities.parent_problems(incoming, messages)
+
+
+@query(f"WITH {_ENTITY_JOBS} SELECT profile_name, count(*) AS pending_count, max(c_nationkey) AS max_token_count, max(length(c_name)) AS max_char_count, min(job_id) AS min_job_id, max(job_id) AS max_job_id FROM ej JOIN customer ON c_custkey = chunk_id WHERE status = 'pending' GROUP BY 1")
+def pending_profiles(read):
+    chunks = read("customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("token_count"), F.length("c_name").alias("char_count"))
+    return entities.pending_profiles(_jobs_table(read), chunks)
+
+
+@query(
+    """SELECT user_id AS document_id, count(*) AS snapshot_count, count(*) FILTER (WHERE s = 'passed') AS passed_count, count(*) FILTER (WHERE s = 'warning') AS warning_count, count(*) FILTER (WHERE s = 'failed') AS failed_count,
+    arg_max(event_id, (ts, event_id)) AS latest_snapshot_id, arg_max(s, (ts, event_id)) AS latest_status FROM (SELECT *, CASE event_type WHEN 'view' THEN 'passed' WHEN 'click' THEN 'warning' WHEN 'error' THEN 'failed' ELSE 'other' END AS s FROM events) GROUP BY 1"""
+)
+def quality_summary(read):
+    status = F.when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "click", "warning").when(F.col("event_type") == "error", "failed").otherwise("other")
+    return entities.quality_summary(read("events").select(F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("document_id"), status.alias("status"), F.col("ts").alias("created_at")))
+
+
+@query(
+    """SELECT event_id AS feedback_id, n_nationkey AS log_id, n_name AS query_text, c_custkey * 2 AS chunk_id, 'purchase' AS comment, r_name AS actor
+    FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0 WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100"""
+)
+def feedback_comments(read):
+    comment = F.when(F.col("event_type") == "purchase", "purchase").when(F.col("event_type") == "click", "  ")
+    feedback = read("events").select(F.col("event_id").alias("feedback_id"), F.col("user_id").alias("result_id"), comment.alias("comment"), F.col("ts").alias("created_at"))
+    results = read("customer").select(F.col("c_custkey").alias("result_id"), F.col("c_nationkey").alias("log_id"), (F.col("c_custkey") * 2).alias("chunk_id"))
+    asked = read("nation").select(F.col("n_nationkey").alias("log_id"), F.col("n_name").alias("query_text"), F.col("n_regionkey").alias("actor_user_id"))
+    users = read("region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("actor_user_id"), F.col("r_name").alias("actor"))
+    return logs.feedback_comments(feedback, results, asked, users, 100).select("feedback_id", "log_id", "query_text", "chunk_id", "comment", "actor")
+
+
+@query(
+    """SELECT 'embedding:' || o_orderkey AS failure_id, 'error' AS severity, 'failed' AS status, o_orderdate::DATE::VARCHAR AS day, 0::BIGINT AS event_count FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT 'pipeline:' || o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'warning' ELSE 'error' END, CASE o_orderstatus WHEN 'P' THEN 'canceled' ELSE 'failed' END, o_orderdate::DATE::VARCHAR, least(coalesce(n, 0), 10) FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'P')
+    UNION ALL SELECT 'app_log:' || event_id, 'error', 'unacknowledged', ts::DATE::VARCHAR, 0 FROM events WHERE event_type = 'error'"""
+)
+def failure_details(read):
+    o = read("orders")
+    status = F.when(F.col("o_orderstatus") == "P", "canceled").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("finished_at"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderdate").alias("queued_at"), F.lit(None).cast("string").alias("error_message"))
+    events = read("lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("event_id"), F.col("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("event_type"))
+    errors = read("events").where("event_type = 'error'").select(F.col("event_id").alias("log_id"), F.lit("ERROR").alias("level"), F.lit(None).cast("string").alias("acknowledged_by"), F.lit("error").alias("message"), F.col("ts").alias("occurred_at"))
+    found = ops.failure_details(jobs, events, jobs.where("status <> 'canceled'"), errors)
+    return found.select("failure_id", "severity", "status", F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), F.size("events").cast("long").alias("event_count"))
+
+
+@query(
+    """WITH j AS (SELECT l_orderkey AS chunk_id, l_returnflag AS profile, max(l_linenumber) AS job_id FROM lineitem GROUP BY ALL), e AS (SELECT DISTINCT l_orderkey AS chunk_id, l_returnflag AS profile FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber > 1)
+SELECT o_orderkey AS chunk_id, p.profile, job_id, e.chunk_id IS NOT NULL AS is_embedded FROM orders CROSS JOIN (SELECT DISTINCT l_returnflag AS profile FROM lineitem) p LEFT JOIN j ON j.chunk_id = o_orderkey AND j.profile = p.profile LEFT JOIN e ON e.chunk_id = o_orderkey AND e.profile = p.profile"""
+)
+def coverage_cells(read):
+    li = read("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("profile"), F.col("l_linenumber").alias("job_id"), F.col("l_linestatus").alias("status"))
+    found = answers_history.coverage_cells(read("orders").select(F.col("o_orderkey").alias("chunk_id")), li.select("profile").distinct(), li, li.where("status = 'F' AND job_id > 1"))
+    return found.select("chunk_id", "profile", "job_id", "is_embedded")
+
+
+@query(f"WITH {_COSINE_CTE} SELECT query_id, 'vector_cosine:' || chunk_id AS candidate_key, rank, score AS source_score, d.text AS text FROM vr JOIN documents d ON doc_id = chunk_id WHERE rank <= 10")
+def rerank_candidates(read):
+    found = vector.vector_topk(_vector_queries(read), _vectors(read), 10).withColumn("profile_name", F.lit("vector_cosine"))
+    return fuse.rerank_candidates(found, _chunks(read)).select("query_id", "candidate_key", "rank", "source_score", "text")
+
+
+@query("SELECT vec_id AS chunk_id, 64 AS dimension FROM embeddings UNION ALL SELECT o_orderkey + 1000000, 64 FROM orders WHERE o_orderkey % 10 = 0")
+def embedding_store(read):
+    current = _vectors(read).select("chunk_id", "embedding")
+    one = F.array_repeat(F.lit(0.5).cast("float"), 64)
+    new = read("orders").where("o_orderkey % 10 = 0").select((F.col("o_orderkey") + 1000000).alias("chunk_id"), one.alias("embedding"))
+    again = current.where("chunk_id % 2 = 0").select("chunk_id", F.reverse("embedding").alias("embedding"))
+    return vector.stored_embeddings(current, new.union(again), vector.Profile("stand_in", 64)).select("chunk_id", F.size("embedding").alias("dimension"))

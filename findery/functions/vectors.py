@@ -20,10 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def is_finite(vector: Column) -> Column:
+    """Not null, with finite elements only."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
 def is_valid(vector: Column, dimension: int) -> Column:
     """Of the right length with finite elements only."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vector.isNotNull() & (F.size(vector) == dimension) & finite
+    return is_finite(vector) & (F.size(vector) == dimension)
 
 
 def stand_in_embedding(text: str, profile: str, dimension: int) -> np.ndarray:

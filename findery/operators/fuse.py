@@ -11,6 +11,8 @@ from findery.functions.text import words
 
 RRF_K = 60
 MAX_TOP_K = 100
+#: Candidates, each with its query's text, up to which they are broadcast.
+BROADCAST_CANDIDATES = 200_000
 
 
 def candidate_depth(top_k: int) -> int:
@@ -47,12 +49,28 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame,
     found = F.size(F.array_intersect(own, words(F.col("text")))) / F.greatest(F.lit(1), F.size(own))
     clamped = F.least(F.greatest(F.col("source_score"), F.lit(0.0)), F.lit(1.0))
     rows = candidates.select("query_id", "chunk_id", F.col("score").alias("source_score"), F.col("rank").alias("source_rank"))
-    scored = rows.join(queries.select("query_id", "query_text"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
+    asked = queries.select("query_id", "query_text")
+    many = asked.count()
+    # with few queries the candidates, MAX_TOP_K a query at most, go to the texts and not the texts to them
+    side = F.broadcast if many * MAX_TOP_K <= BROADCAST_CANDIDATES else (lambda df: df)
+    scored = side(rows.join(side(asked), "query_id")).join(texts.select("chunk_id", "text"), "chunk_id")
     scored = scored.select("query_id", "chunk_id", "source_score", "source_rank", F.round(found + 0.001 * clamped, 9).alias("score"))
     order = [F.col("score").desc(), F.col("source_rank"), F.col("chunk_id")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def rerank_candidates(results: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, candidate_key, rank, text, source_profile_name, source_score, chunk_id) of results, as a reranker gets them.
+
+    The key is profile:chunk; a key that a query has twice is an error when the rows are read.
+    """
+    named = results.withColumn("candidate_key", F.concat_ws(":", "profile_name", F.col("chunk_id").cast("string")))
+    times = F.count("*").over(Window.partitionBy("query_id", "candidate_key"))
+    key = F.when(times > 1, F.raise_error(F.concat(F.lit("candidates must be unique: "), F.col("candidate_key"))).cast("string")).otherwise(F.col("candidate_key"))
+    rows = named.withColumn("checked", key).join(texts.select("chunk_id", "text"), "chunk_id")
+    return rows.select("query_id", F.col("checked").alias("candidate_key"), "rank", "text", F.col("profile_name").alias("source_profile_name"), F.col("score").alias("source_score"), "chunk_id")
+
+
 def threshold_summary(results: DataFrame, threshold: float) -> DataFrame:
     """(query_id, result_count, excluded_count, max_score, mean_score): results below the threshold are left out of the scores."""
     kept = F.col("score") >= threshold

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findery.operators.permission import EVERYTHING, grant_key
 from findery.sources.metrics import json_number
 
 
@@ -35,11 +36,16 @@ def summary_readiness(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     return have.join(done, "document_id", "left").agg(F.count("*").alias("document_count"), F.count_if("done").alias("summarized_count"))
 
 
-def permission_audit(results: DataFrame, chunks: DataFrame, visible: DataFrame) -> DataFrame:
-    """(user_id, question_id, rank, chunk_id, document_id, is_visible) of stored results against what each user may see."""
-    may = visible.select("user_id", "document_id").distinct().withColumn("may", F.lit(True))
-    rows = results.join(chunks.select("chunk_id", "document_id"), "chunk_id").join(may, ["user_id", "document_id"], "left")
-    return rows.select("user_id", "question_id", "rank", "chunk_id", "document_id", F.coalesce("may", F.lit(False)).alias("is_visible"))
+def permission_audit(results: DataFrame, documents: DataFrame, granted: DataFrame) -> DataFrame:
+    """(user_id, question_id, rank, chunk_id, document_id, is_visible) of stored results against what each user may see.
+
+    ``documents``: a row for each chunk with its document_id, scope and owners; ``granted`` as permission.grants gives it.
+    """
+    may = granted.select("user_id", "grant").distinct()
+    everything = may.where(F.col("grant") == EVERYTHING).select("user_id", F.lit(True).alias("all"))
+    own = documents.select("chunk_id", "document_id", grant_key(F.col("access_scope"), F.col("owner_user_id"), F.col("owner_unit_id")).alias("grant"))
+    rows = results.join(own, "chunk_id").join(may.withColumn("may", F.lit(True)), ["user_id", "grant"], "left").join(everything, "user_id", "left")
+    return rows.select("user_id", "question_id", "rank", "chunk_id", "document_id", F.coalesce("may", "all", F.lit(False)).alias("is_visible"))
 
 
 def count_violations(runs: DataFrame, total: str, parts: list[str]) -> DataFrame:
@@ -58,13 +64,22 @@ def promoted(chosen: DataFrame, results: DataFrame, questions: DataFrame) -> Dat
 
 
 def coverage_detail(chunks: DataFrame, jobs: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Chunks with the latest job of each profile and whether they are embedded."""
+    """Chunks with the latest job of each profile that has one, and whether they are embedded; ``coverage_cells`` lists all profiles."""
     latest = jobs.groupBy("chunk_id", "profile").agg(F.max_by(F.struct("job_id", "status"), "job_id").alias("j"))
     have = embedded.select("chunk_id", "profile").distinct().withColumn("is_embedded", F.lit(True))
     rows = chunks.join(latest, "chunk_id", "left").join(have, ["chunk_id", "profile"], "left")
     return rows.select(*chunks.columns, "profile", F.col("j.job_id").alias("job_id"), F.col("j.status").alias("job_status"), F.coalesce("is_embedded", F.lit(False)).alias("is_embedded"))
 
 
+def coverage_cells(chunks: DataFrame, profiles: DataFrame, jobs: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Every chunk under every profile with the latest job there and whether it is embedded, with or without a job."""
+    latest = jobs.groupBy("chunk_id", "profile").agg(F.max_by(F.struct("job_id", "status"), "job_id").alias("j"))
+    have = embedded.select("chunk_id", "profile").distinct().withColumn("is_embedded", F.lit(True))
+    cells = chunks.crossJoin(F.broadcast(profiles.select("profile")))  # a handful of profiles
+    rows = cells.join(latest, ["chunk_id", "profile"], "left").join(have, ["chunk_id", "profile"], "left")
+    return rows.select(*chunks.columns, "profile", F.col("j.job_id").alias("job_id"), F.col("j.status").alias("job_status"), F.coalesce("is_embedded", F.lit(False)).alias("is_embedded"))
+
+
 def search_readiness(chunks: DataFrame, embedded: DataFrame, profiles: DataFrame, visible: DataFrame | None = None) -> DataFrame:
     """(policy, profile, chunk_count, embedded_count, is_ready) over the chunks that can be seen."""
     if visible is not None:

@@ -73,3 +73,12 @@ def expired(rows: DataFrame, at: str, key: str, as_of: Column, keep_days: int, b
 def purged(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows that stay."""
     return rows.join(keys.select(key), key, "left_anti")
+
+
+def feedback_comments(feedback: DataFrame, results: DataFrame, logs: DataFrame, users: DataFrame, limit: int) -> DataFrame:
+    """Feedback with a comment that is not blank, with its result, search and actor if there is one: the latest ``limit`` (1 to 100)."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    said = feedback.where(F.length(F.trim("comment")) > 0)
+    rows = said.join(results, "result_id").join(logs, "log_id").join(users, "actor_user_id", "left")
+    return rows.orderBy(F.col("created_at").desc(), F.col("feedback_id").desc()).limit(limit)

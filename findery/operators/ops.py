@@ -166,3 +166,29 @@ def resource_report(targets: DataFrame, processes: DataFrame, ports: DataFrame,
     how = F.when(F.col("port_pid").isNotNull(), "port").when(F.col("command_pid").isNotNull(), "command")
     status = F.when(F.col("pid").isNull(), "missing").when(F.size(reasons) > 0, "warning").otherwise("ok")
     return rows.select("target", "pid", how.alias("matched_by"), "rss_mb", reasons.alias("reasons"), status.alias("resource_status"))
+
+
+#: Events of a failed pipeline job that its detail shows, the latest.
+DETAIL_EVENTS = 10
+EVENTS = "array<struct<created_at:timestamp,event_id:bigint,event_type:string>>"
+
+
+def failure_details(pipeline_jobs: DataFrame, pipeline_events: DataFrame, embedding_jobs: DataFrame, error_logs: DataFrame) -> DataFrame:
+    """(failure_id, source, reference_id, severity, status, message, occurred_at, events) of every failure of the three sources.
+
+    Pipeline jobs that failed or were canceled, a cancellation being a warning, with their latest events;
+    failed embedding jobs; error logs by level, acknowledged or not.
+    """
+    recent = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "event_id", "event_type")))), 1, DETAIL_EVENTS)
+    failed = pipeline_jobs.where(F.col("status").isin("failed", "canceled"))
+    events = pipeline_events.join(failed.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(recent.alias("events"))
+    none = F.array().cast(EVENTS)
+    at = F.coalesce("finished_at", "updated_at", "queued_at").alias("occurred_at")
+
+    def shaped(df: DataFrame, source: str, key: str, severity: Column, status: Column, message: str, occurred: Column, own: Column) -> DataFrame:
+        return df.select(F.concat_ws(":", F.lit(source), F.col(key).cast("string")).alias("failure_id"), F.lit(source).alias("source"), F.col(key).cast("string").alias("reference_id"), severity.alias("severity"), status.alias("status"), F.col(message).alias("message"), occurred, own.alias("events"))
+
+    pipeline = shaped(failed.join(events, "job_id", "left"), "pipeline", "job_id", F.when(F.col("status") == "canceled", "warning").otherwise("error"), F.col("status"), "error_message", at, F.coalesce(F.col("events").cast(EVENTS), none))
+    embedding = shaped(embedding_jobs.where("status = 'failed'"), "embedding", "job_id", F.lit("error"), F.col("status"), "error_message", at, none)
+    logged = shaped(error_logs.where(F.col("level").isin("ERROR", "CRITICAL")), "app_log", "log_id", F.lower("level"), F.when(F.col("acknowledged_by").isNull(), "unacknowledged").otherwise("acknowledged"), "message", F.col("occurred_at"), none)
+    return pipeline.unionByName(embedding).unionByName(logged)

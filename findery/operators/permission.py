@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCOPES = ("personal", "team", "managed_org", "company")
@@ -50,53 +52,82 @@ def actors(users: DataFrame, memberships: DataFrame, closure: DataFrame) -> Data
     return own.join(smallest, "unit_id").select("user_id", "role_name", "unit_id", root.alias("managed_root"))
 
 
-def visible_documents(documents: DataFrame, actor_rows: DataFrame, requests: DataFrame, closure: DataFrame, memberships: DataFrame) -> DataFrame:
-    """(user_id, requested_scope, effective_scope, document_id) for each of the requests (user_id, requested_scope).
+EVERYTHING = "all"
+
+
+def grant_key(scope: Column, user: Column, unit: Column) -> Column:
+    """What a document is granted by: its scope, and who owns it where that matters; null if that is missing."""
+    owner = F.when(scope == "personal", user.cast("string")).when(scope.isin("team", "org_tree"), unit.cast("string")).when(scope == "company", F.lit(""))
+    return F.concat(scope, F.lit(":"), owner)
+
 
-    Every clause is an equi-join, so no pair of request and document is ever tried that no clause
-    allows; ``managed_org`` counts as ``team`` for those who manage nothing.
+def grants(actor_rows: DataFrame, requests: DataFrame, closure: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(user_id, requested_scope, effective_scope, grant) for each of the requests (user_id, requested_scope).
+
+    A grant names documents by scope and owner, as grant_key does, or all of them; nothing is listed
+    document by document.  ``managed_org`` counts as ``team`` for those who manage nothing.  A request
+    that is granted everything has that one grant, and no grant comes twice, so a document meets a request once.
     """
     r = requests.join(actor_rows, "user_id")
     effective = F.when((F.col("requested_scope") == "managed_org") & F.col("managed_root").isNull(), "team").otherwise(F.col("requested_scope"))
     r = r.withColumn("effective_scope", effective)
-    wide = r.where(F.col("effective_scope").isin("team", "managed_org", "company"))
-    managing = r.where(F.col("effective_scope").isin("managed_org", "company") & F.col("managed_root").isNotNull())
+    everything = (F.col("role_name") == "admin") & (F.col("effective_scope") == "company")
+    some = r.where(~everything)
+    wide = some.where(F.col("effective_scope").isin("team", "managed_org", "company"))
+    managing = some.where(F.col("effective_scope").isin("managed_org", "company") & F.col("managed_root").isNotNull())
     below = closure.select(F.col("ancestor_id").alias("managed_root"), F.col("unit_id").alias("managed_unit"))
     managed = managing.join(below, "managed_root")
-    d = documents.select("document_id", "owner_user_id", "owner_unit_id", "access_scope")
-    out = ["user_id", "requested_scope", "effective_scope", "document_id"]
-    everything = (F.col("role_name") == "admin") & (F.col("effective_scope") == "company")
     above = closure.select("unit_id", F.col("ancestor_id").alias("above"))
     owners = memberships.select(F.col("user_id").alias("member_id"), F.col("unit_id").alias("managed_unit")).distinct()
-    personal = d.where("access_scope = 'personal'")
+    nobody = F.lit(None).cast("long")
+    by = lambda df, scope, user=nobody, unit=nobody: df.select("user_id", "requested_scope", "effective_scope", grant_key(F.lit(scope), user, unit).alias("grant"))
     parts = [
-        r.where(everything).crossJoin(d).select(*out),
-        r.crossJoin(d.where("access_scope = 'company'")).select(*out),
-        r.join(personal, r["user_id"] == personal["owner_user_id"]).select(*out),
-        wide.join(d.where("access_scope = 'team'"), F.col("unit_id") == F.col("owner_unit_id")).select(*out),
-        wide.join(above, "unit_id").join(d.where("access_scope = 'org_tree'"), F.col("above") == F.col("owner_unit_id")).select(*out),
-        managed.join(owners, "managed_unit").join(personal, F.col("member_id") == F.col("owner_user_id")).select(*out),
-        managed.join(d.where("access_scope IN ('team', 'org_tree')"), F.col("managed_unit") == F.col("owner_unit_id")).select(*out),
+        r.where(everything).select("user_id", "requested_scope", "effective_scope", F.lit(EVERYTHING).alias("grant")),
+        by(some, "company"),
+        by(some, "personal", F.col("user_id")),
+        by(wide, "team", unit=F.col("unit_id")),
+        by(wide.join(above, "unit_id"), "org_tree", unit=F.col("above")),
+        by(managed.join(owners, "managed_unit"), "personal", F.col("member_id")),
+        by(managed, "team", unit=F.col("managed_unit")),
+        by(managed, "org_tree", unit=F.col("managed_unit")),
     ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return found.distinct()
+    return reduce(DataFrame.unionByName, parts).distinct()
+
 
+def with_grants(documents: DataFrame, *kept: str) -> DataFrame:
+    """The ``kept`` columns of documents with ``grant``, a row for each grant that shows them: their own key and EVERYTHING."""
+    own = grant_key(F.col("access_scope"), F.col("owner_user_id"), F.col("owner_unit_id"))
+    return documents.select(*kept, F.explode(F.array(own, F.lit(EVERYTHING))).alias("grant"))
 
-def permission_matrix(results: DataFrame, requests: DataFrame, visible: DataFrame, documents: DataFrame) -> DataFrame:
-    """For each request and query: results and distinct chunks that are visible, and the first of them."""
-    own = results.join(documents.select("chunk_id", "document_id"), "chunk_id").join(visible, "document_id")
-    counted = own.groupBy("user_id", "requested_scope").agg(
-        F.count("*").alias("result_count"), F.count_distinct("chunk_id").alias("chunk_count"), F.min_by("chunk_id", F.struct("rank", "query_id", "chunk_id")).alias("top_chunk_id")
+
+def visible_documents(documents: DataFrame, granted: DataFrame) -> DataFrame:
+    """(user_id, requested_scope, effective_scope, document_id) of each request: one equi-join, which the list itself is as long as."""
+    return with_grants(documents, "document_id").join(granted, "grant").select("user_id", "requested_scope", "effective_scope", "document_id")
+
+
+def permission_matrix(results: DataFrame, requests: DataFrame, granted: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each request and query: results and distinct chunks that are visible, and the first of them.
+
+    ``documents``: a row for each chunk with its document's scope and owners.  Results are counted by
+    grant before requests are joined, so no request meets a result or document row by row.
+    """
+    own = with_grants(documents, "chunk_id").join(results, "chunk_id")
+    by_grant = own.groupBy("grant").agg(
+        F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"), F.min_by("chunk_id", F.struct("rank", "query_id", "chunk_id")).alias("top"), F.min(F.struct("rank", "query_id", "chunk_id")).alias("first")
     )
+    # a chunk has one grant of its own, so the chunks of several grants are different ones
+    counted = granted.join(by_grant, "grant").groupBy("user_id", "requested_scope").agg(F.sum("n").alias("result_count"), F.sum("chunks").alias("chunk_count"), F.min_by("top", "first").alias("top_chunk_id"))
     joined = requests.join(counted, ["user_id", "requested_scope"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("result_count", "chunk_count")})
 
 
-def scope_explanation(visible: DataFrame, documents: DataFrame) -> DataFrame:
-    """(user_id, requested_scope, access_scope, visible_count, candidate_count), all four scopes in each request."""
+def scope_explanation(granted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(user_id, requested_scope, access_scope, visible_count, candidate_count), all four scopes in each request that sees a document.
+
+    Documents are counted by grant and scope first; only those counts meet the requests.
+    """
     candidates = documents.groupBy("access_scope").agg(F.count("*").alias("candidate_count"))
-    seen = visible.join(documents.select("document_id", "access_scope"), "document_id").groupBy("user_id", "requested_scope", "access_scope").agg(F.count("*").alias("visible_count"))
-    base = visible.select("user_id", "requested_scope").distinct().crossJoin(F.broadcast(candidates))
+    by_grant = with_grants(documents, "access_scope").groupBy("grant", "access_scope").agg(F.count("*").alias("n"))
+    seen = granted.join(by_grant, "grant").groupBy("user_id", "requested_scope", "access_scope").agg(F.sum("n").alias("visible_count"))
+    base = seen.select("user_id", "requested_scope").distinct().crossJoin(F.broadcast(candidates))
     return base.join(seen, ["user_id", "requested_scope", "access_scope"], "left").withColumn("visible_count", F.coalesce("visible_count", F.lit(0)))

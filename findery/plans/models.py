@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,43 @@ def embedded(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], t
     return rows.mapInArrow(run, schema)
 
 
+class WrongAnswer(ValueError):
+    """A model's answer breaks its contract."""
+
+
+RERANKED = "query_id long, chunk_id long, candidate_key string, rank long, score double, source_rank long, source_score double"
+
+
+def checked_rerank(request: dict, answer: dict) -> list[dict]:
+    """The results of a reranker's answer, if it keeps the contract: same profile, model, candidate count and depth, known keys, each once."""
+    for field, want in (("reranker_profile_name", request["reranker_profile_name"]), ("reranker_model_id", request["reranker_model_id"]), ("candidate_count", len(request["candidates"])), ("top_k", request["top_k"])):
+        if answer.get(field, want) != want:
+            raise WrongAnswer(f"{field} is {answer[field]!r}, not {want!r}")
+    known, out = {c["candidate_key"] for c in request["candidates"]}, []
+    for r in answer.get("results", ()):
+        if r.get("candidate_key") not in known:
+            raise WrongAnswer(f"unknown or repeated candidate {r.get('candidate_key')!r}")
+        known.discard(r["candidate_key"])
+        out.append({"candidate_key": r["candidate_key"], "rank": int(r["rank"]), "score": float(r["score"])})
+    if sorted(r["rank"] for r in out) != list(range(1, len(out) + 1)) or len(out) > request["top_k"]:
+        raise WrongAnswer("ranks must count from 1 without a gap, up to top_k")
+    return out
+
+
+def reranked(candidates: DataFrame, queries: DataFrame, model: Callable[[dict], dict], k: int, profile: str, model_id: str) -> DataFrame:
+    """RERANKED rows of candidates as fuse.rerank_candidates gives them, by a model that gets one query's candidates (100 at most) in a call."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        fields = ["candidate_key", "rank", "text", "source_profile_name", "source_score", "chunk_id"]
+        request = {"query_text": pdf.query_text.iloc[0], "top_k": k, "reranker_profile_name": profile, "reranker_model_id": model_id, "candidates": pdf[fields].to_dict("records")}
+        by_key = pdf.set_index("candidate_key")
+        rows = [{"query_id": int(pdf.query_id.iloc[0]), "chunk_id": int(by_key.chunk_id[r["candidate_key"]]), **r, "source_rank": int(by_key["rank"][r["candidate_key"]]), "source_score": float(by_key.source_score[r["candidate_key"]])} for r in checked_rerank(request, model(request))]
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in RERANKED.split(", ")])
+
+    return candidates.join(queries.select("query_id", "query_text"), "query_id").groupBy("query_id").applyInPandas(run, RERANKED)
+
+
 def morphs(text: Column) -> Column:
     """Korean morphemes where a morphological analyser is installed, else an error that says so."""
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.operators.chunking import BLOCK_FIELDS, markdown_blocks, plain_blocks
+from findery.operators.chunking import BLOCK_FIELDS, as_rows, block, markdown_blocks, plain_blocks
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -29,8 +29,8 @@ def new_only(incoming: DataFrame, known: DataFrame, checksum: str = "sha256") ->
     return incoming.join(first, [checksum, "path"], "left_semi").join(known.select(checksum), checksum, "left_anti")
 
 
-def _block(out: list[dict], kind: str, text: str, path: list[str], parent: int | None = None, level: int | None = None) -> None:
-    out.append({"block_seq": len(out), "block_type": kind, "block_text": text, "heading_path": list(path), "start_line": None, "end_line": None, "level": level, "language": None, "parent_seq": parent})
+def _block(out: list[dict], kind: str, text: str, path: list[str], parent: int | None = None, level: int | None = None, **place: object) -> None:
+    out.append(block(len(out), kind, text, path, level=level, parent=parent, **place))
 
 
 def markdown_table(rows: list[list[object]]) -> str:
@@ -47,12 +47,21 @@ def _hwpx(content: bytes) -> list[dict]:
     out: list[dict] = []
     local = lambda e: e.tag.rpartition("}")[2]
     words = lambda e: "".join(x.text or "" for x in e.iter() if local(x) == "t")
+
+    def outer(e) -> Iterator:
+        """Tables in no other table; one within a cell is text of that cell."""
+        if local(e) == "tbl":
+            yield e
+        else:
+            for c in e:
+                yield from outer(c)
+
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for n, name in enumerate(sorted(x for x in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", x)), 1):
             for e in ElementTree.fromstring(z.read(name)):
-                tables = [t for t in e.iter() if local(t) == "tbl"]
+                tables = list(outer(e))
                 for t in tables:
-                    rows = [[words(c).strip() for c in r if local(c) == "tc"] for r in t.iter() if local(r) == "tr"]
+                    rows = [[words(c).strip() for c in r if local(c) == "tc"] for r in t if local(r) == "tr"]
                     _block(out, "table", markdown_table(rows), [f"Section {n}"])
                 if local(e) == "p" and not tables and (text := words(e).strip()):
                     _block(out, "paragraph", text, [f"Section {n}"])
@@ -121,7 +130,7 @@ def _pdf(content: bytes) -> list[dict]:
     out: list[dict] = []
     for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1):
         for b in plain_blocks(page.extract_text() or ""):
-            _block(out, "paragraph", b["block_text"], [f"Page {n}"])
+            _block(out, "paragraph", b["block_text"], [f"Page {n}"], page=n)
     return out
 
 
@@ -149,14 +158,14 @@ def _pptx(content: bytes) -> list[dict]:
         path, parent = [f"Slide {n}"], None
         for s in slide.shapes:
             if s.has_table:
-                _block(out, "table", markdown_table([[c.text for c in r.cells] for r in s.table.rows]), path, parent)
+                _block(out, "table", markdown_table([[c.text for c in r.cells] for r in s.table.rows]), path, parent, slide=n)
             elif s.has_text_frame and s.text_frame.text.strip():
                 title = s == slide.shapes.title
                 if title:
                     path, parent = [f"Slide {n}", s.text_frame.text.strip()], len(out)
                 for p in s.text_frame.paragraphs:
                     if p.text.strip():
-                        _block(out, "heading" if title else "paragraph", p.text.strip(), path, None if title else parent, 2 if title else None)
+                        _block(out, "heading" if title else "paragraph", p.text.strip(), path, None if title else parent, 2 if title else None, slide=n)
     return out
 
 
@@ -169,7 +178,8 @@ def _xlsx(content: bytes) -> list[dict]:
         if full:
             rows, columns = [c.row for c in full], [c.column for c in full]
             cells = sheet.iter_rows(min(rows), max(rows), min(columns), max(columns), values_only=True)
-            _block(out, "table", markdown_table([list(r) for r in cells]), [sheet.title])
+            corner = lambda at: sheet.cell(at(rows), at(columns)).coordinate  # noqa: B023, E731
+            _block(out, "table", markdown_table([list(r) for r in cells]), [sheet.title], sheet=sheet.title, cell_range=f"{corner(min)}:{corner(max)}")
     return out
 
 
@@ -202,10 +212,7 @@ def extract(files: DataFrame, key: str = "path") -> DataFrame:
                 except Exception as e:  # a broken file is a row of its own, not the end of the job
                     blocks, error = None, f"{type(e).__name__}: {e}"
                 rows += [{key: k, "extraction_status": "succeeded"} | b for b in blocks or []] or [{key: k, "extraction_status": "failed" if error else "empty", "error": error}]
-            out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-            for c in ("block_seq", "level", "parent_seq", "start_line", "end_line"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            yield as_rows(rows, names)
 
     return files.select(key, "file_ext", "content").mapInPandas(run, f"`{key}` string, extraction_status string, error string, {BLOCK_FIELDS}")
 
@@ -216,9 +223,6 @@ def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [{"document_id": i} | b for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) if t is not None for b in html_blocks(t)]
-            out = pd.DataFrame(rows, columns=["document_id", *[f.split()[0] for f in BLOCK_FIELDS.split(", ")]])
-            for c in ("level", "parent_seq", "start_line", "end_line"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            yield as_rows(rows, ["document_id", *[f.split()[0] for f in BLOCK_FIELDS.split(", ")]])
 
     return pages.select(F.col(key).cast("long"), html).mapInPandas(run, f"document_id long, {BLOCK_FIELDS}")

@@ -114,15 +114,54 @@ def test_html_blocks():
     ]
 
 
-def test_ingestion_writes_all_tables(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.md").write_text(SAMPLE)
-    raw = files.raw_files(spark, str(tmp_path / "in")).withColumn("document_id", F.lit(5).cast("long"))
-    ingest.ingest(raw, str(tmp_path / "out"), dimension=8)
-    chunks = spark.read.parquet(f"{tmp_path}/out/chunks")
-    assert chunks.groupBy("policy").count().count() == 3
-    assert spark.read.parquet(f"{tmp_path}/out/embeddings").count() == chunks.count()
-    assert spark.read.parquet(f"{tmp_path}/out/index/statistics").where("term = 'guide'").count() == 3
+def test_ingestion_in_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def batch(name, contents):
+        (tmp_path / name).mkdir()
+        for k, (file, text) in contents.items():
+            (tmp_path / name / file).write_text(text)
+        raw = files.raw_files(spark, str(tmp_path / name))
+        ids = F.create_map(*[x for k, (file, _) in contents.items() for x in (F.lit(file), F.lit(k))])
+        own = raw.withColumn("document_id", F.element_at(ids, F.element_at(F.split("path", "/"), -1)).cast("long"))
+        return {r.document_id: r for r in ingest.ingest(own, out, name, dimension=8).collect()}
+
+    first = batch("b1", {5: ("a.md", SAMPLE), 6: ("b.txt", "old words"), 7: ("c.xyz", "?")})
+    assert (first[5].extraction_status, first[5].chunk_count > 0, first[7].extraction_status, first[7].error, first[7].chunk_count) == ("succeeded", True, "failed", "unsupported extension .xyz", 0)
+    chunks = ingest.current(spark, out, "chunks")
+    assert chunks.groupBy("policy").count().count() == 3 and ingest.current(spark, out, "embeddings").count() == chunks.count()
+    assert ingest.refreshed_statistics(spark, out).where("term = 'guide'").count() == 3
+    batch("b2", {6: ("b.txt", "fresh words"), 8: ("d.md", "# Other")})
+    texts = {r.document_id: r.chunk_text for r in ingest.current(spark, out, "chunks").where("policy = 'heading_512_64'").orderBy("chunk_seq").collect()}
+    assert texts[6] == "fresh words" and texts[8] == "# Other" and 5 in texts
+    terms = {r.term: r.corpus_chunk_count for r in ingest.refreshed_statistics(spark, out).where("policy = 'heading_512_64'").collect()}
+    assert "fresh" in terms and "old" not in terms and "guide" in terms and set(terms.values()) == {5}
+    profiles = spark.createDataFrame([("stand_in",), ("other",)], "profile string")
+    assert {r.profile for r in ingest.pending_embeddings(spark, out, profiles).collect()} == {"other"}
+
+
+def test_chunks_of_documents_equal_chunks_of_blocks(spark):
+    docs = spark.createDataFrame([(1, SAMPLE), (2, None), (3, ""), (4, SAMPLE * 3)], "document_id long, text string").repartition(2)
+    policy = chunking.Policy("p", 8, 3)
+    key = lambda df: sorted(map(repr, df.collect()))
+    whole = chunking.chunk_documents(docs, [policy, chunking.POLICIES["heading_512_64"]])
+    assert key(whole.where("policy = 'p'")) == key(chunking.chunk(chunking.parse(docs), policy)) and whole.select("policy").distinct().count() == 2
+    for r in whole.where("document_id = 1").collect():
+        assert SAMPLE[r.start_char : r.end_char].splitlines() == SAMPLE.splitlines()[r.start_line - 1 : r.end_line] and len(r.block_seqs) >= 1
+
+
+def test_anchors_are_kept_where_all_blocks_share_them():
+    own = [chunking.block(k, "paragraph", "one two", ["P"], page=p, sheet="s") for k, p in enumerate([1, 1, 2])]
+    got = chunking.chunk_rows(1, own, chunking.Policy("p", 4, 0))
+    assert [(r["page"], r["sheet"], r["start_line"], r["block_seqs"]) for r in got] == [(1, "s", None, [0, 1]), (2, "s", None, [2])]
+    assert chunking.chunk_rows(1, own, chunking.Policy("p", 99, 0))[0]["page"] is None
+
+
+@given(st.lists(st.integers(1, 9), max_size=12), st.integers(0, 20))
+def test_overlap_is_the_longest_end_that_fits(sizes, limit):
+    us = [(False, n, k) for k, n in enumerate(sizes)]
+    fitting = [us[k:] for k in range(len(us)) if sum(u[1] for u in us[k:]) <= limit]
+    assert chunking._tail(us, limit) == (max(fitting, key=len, default=us[-1:]) if limit else [])
 
 
 def test_docx_export():

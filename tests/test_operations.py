@@ -25,7 +25,7 @@ def test_permissions(spark):
     actors = permission.actors(users, members, closure)
     assert actors.where("user_id = 4").count() == 0
     requests = spark.createDataFrame([(1, "company"), (3, "managed_org"), (1, "managed_org"), (1, "personal")], "user_id long, requested_scope string")
-    found = permission.visible_documents(docs, actors, requests, closure, members)
+    found = permission.visible_documents(docs, permission.grants(actors, requests, closure, members))
     seen = {}
     for r in found.collect():
         seen.setdefault((r.user_id, r.requested_scope, r.effective_scope), set()).add(r.document_id)
