@@ -64,14 +64,15 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python a thousand at a time instead of ten thousand: long documents must fit in a worker.
+    """Send texts to Python a thousand rows or 16 MB at a time instead of ten thousand rows: long documents must fit in a worker.
 
-    Sets spark.sql.execution.arrow.maxRecordsPerBatch of the session where nobody has set it; it bounds
-    memory and changes no result.
+    Sets spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch of the session where nobody has
+    set them; they bound memory and change no result.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "-1") == "-1":
-        spark.conf.set(name, "1000")
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", "16777216")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, "1") == "1":
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import scratch, small_batches, space_words, written
+from findery.llm.common import scratch, small_batches, space_words, unused, written
 from findery.llm.components import components
 
 BITS = 64
@@ -47,23 +48,25 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _variants(fp: Column, radius: int) -> Column:
-    """All values that differ from a fingerprint in at most ``radius`` bits (0 or 1)."""
-    flipped = [fp.bitwiseXOR(F.lit(-(1 << 63) if b == 63 else 1 << b)) for b in range(BITS)] if radius else []
-    return F.array(fp, *flipped)
+def _masks(radius: int) -> list[int]:
+    """All signed 64-bit values with at most ``radius`` bits."""
+    found = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(BITS), k)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b) links that join all of the distinct fingerprints ``fp`` differing in at most ``distance`` (0 or 2) bits.
+    """(a, b) links that join all of the distinct fingerprints ``fp`` differing in at most ``distance`` (0, 2 or 4) bits.
 
     Two fingerprints within 2 * r bits share a value within r bits of each, so each emits its ball of
-    radius r = distance // 2 and values are the only shuffle key.  A value's bucket holds at most 65
-    fingerprints, and each of them is linked with the bucket's least one, never with all others.  Pairs are
-    deduplicated and verified by their differing bits.
+    radius r = distance // 2 (1, 65 or 2,081 values) and values are the only shuffle key.  Members of a
+    value's bucket, as many as a ball has values at most, are within the distance of each other, so each is
+    linked with the bucket's least one, never with all others.  Pairs are deduplicated and verified by
+    their differing bits.
     """
-    if distance not in (0, 2):
-        raise ValueError("distance is 0 or 2 bits: balls of radius 0 or 1")
-    balls = distinct.select("fp", F.explode(_variants(F.col("fp"), distance // 2)).alias("value"))
+    if distance not in (0, 2, 4):
+        raise ValueError("distance is 0, 2 or 4 bits: balls of radius 0, 1 or 2")
+    ball = F.transform(F.lit(_masks(distance // 2)), lambda m: F.col("fp").bitwiseXOR(m))
+    balls = distinct.select("fp", F.explode(ball).alias("value"))
     least = F.min("fp").over(Window.partitionBy("value"))
     pairs = balls.select("fp", least.alias("a")).where("a <> fp").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance).select("a", F.col("fp").alias("b"))
@@ -76,7 +79,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     Copies share a fingerprint and are joined before any link is sought, so groups of copies of any size
     cost no pairs.  Texts without words (null, empty, white space) have fingerprint 0 and are linked like
     any other.  Null doc_ids count as larger than all others: they get a component_id only from rows
-    that have one.  Repeated rows stay; an empty table gives an empty one.
+    that have one.  Texts are read whole, however long.  Repeated rows stay; an empty table gives an empty
+    one; other columns may have any names.
     """
     spark = docs.sparkSession
     own = written(fingerprints(docs, size), scratch(spark, "fingerprints"))
@@ -102,26 +106,34 @@ def one_of_each(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     """All columns of one row of each group of near-duplicates: the one with the smallest doc_id.
 
     Where no row of a group has a doc_id one with the smallest fingerprint stays, and of rows alike in
-    doc_id and fingerprint one stays.  The table is shuffled once, by (doc_id, fingerprint).
+    doc_id and fingerprint one stays.  Rows are written once with their fingerprints, which all later steps
+    read, and shuffled once, by (doc_id, fingerprint).
     """
+
     @F.arrow_udf("long")
     def fp_of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, size) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
-    return first_rows(docs, near_duplicates(docs, size, distance), fp_of(F.col("text").cast("binary")))
+    small_batches(docs.sparkSession)
+    fp = unused(docs, "fp")
+    held = written(docs.withColumn(fp, fp_of(F.col("text").cast("binary"))), scratch(docs.sparkSession, "held"))
+    own = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    first = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), scratch(docs.sparkSession, "first"))
+    return first_rows(held, grouped(own, first, links(first.select("fp"), distance)), F.col(fp)).drop(fp)
 
 
-def first_rows(docs: DataFrame, near: DataFrame, fp: Column) -> DataFrame:
-    """All columns of the first row of each group in ``near``; ``fp`` gives a row's fingerprint again."""
+def first_rows(held: DataFrame, near: DataFrame, fp: Column) -> DataFrame:
+    """All columns of the first row of each group in ``near``; ``fp`` gives a row's fingerprint."""
+    id_, fp_, own_, n_ = unused(held, "id", "fp", "own", "n")
     first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root"))))
-    counted = written(first.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("n")), scratch(docs.sparkSession, "first"))
+    counted = written(first.groupBy(F.col("doc_id").alias(id_), F.col("fp").alias(fp_)).agg(F.count("*").alias("n")), scratch(held.sparkSession, "first"))
     repeated = counted.where("n > 1").limit(1).count()
 
-    own = docs.withColumn("__own", fp)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
+    own = held.withColumn(own_, fp)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own_) == F.col(fp_))
     # keys are hashed and texts stream by: sorting the texts of a partition would hold many of them in memory
-    kept = own.join(counted.hint("shuffle_hash"), same, "left_semi")
+    kept = own.join(counted.drop("n").hint("shuffle_hash"), same, "left_semi")
     if repeated:
-        k = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64("text")))
-        kept = kept.withColumn("__k", k).where("__k = 1").drop("__k")
-    return kept.drop("__own")
+        k = F.row_number().over(Window.partitionBy("doc_id", own_).orderBy(F.xxhash64("text")))
+        kept = kept.withColumn(n_, k).where(F.col(n_) == 1).drop(n_)
+    return kept.drop(own_)
