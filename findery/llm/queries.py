@@ -31,7 +31,7 @@ def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = decontaminate.contamination(docs, decontaminate.build_indexes(docs, _table(spark, sf_dir, "benchmark")))
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
