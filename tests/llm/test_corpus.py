@@ -61,6 +61,7 @@ def test_components_equal_brute_force(odd, empty):
 
 def test_all_pairs_within_two_bits_are_joined(spark):
     r = random.Random(5)
+    assert sorted(map(len, map(simhash._masks, range(3)))) == [1, 65, 2081]
     centre = r.getrandbits(64)
     fps = {centre} | {centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)} | {r.getrandbits(64) for _ in range(150)}
     fps |= {centre ^ sum(1 << b for b in range(k)) for k in range(0, 40, 2)}  # a chain of steps of two bits
@@ -73,6 +74,20 @@ def test_all_pairs_within_two_bits_are_joined(spark):
     assert {f: root.get(f, f) for f in signed} == group
 
 
+def test_wider_balls_join_pairs_within_four_bits(spark):
+    r = random.Random(6)
+    fps = [r.getrandbits(63) for _ in range(20)]
+    fps += [f ^ sum(1 << b for b in r.sample(range(63), r.choice((3, 4, 5)))) for f in fps]
+    found = {frozenset((x.a, x.b)) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4).collect()}
+    assert found == {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
+
+
+def test_clashing_names_stay(odd):
+    wide = odd.select("*", *[F.lit("own").alias(c) for c in ("__own", "id", "own", "n", "signature", "found", "clean", "key", "k", "w", "text_a", "a.b")])
+    for kept in (simhash.one_of_each(wide), corpus_pipeline.near_duplicates(odd.sparkSession, wide, None), corpus_pipeline.personal_data(odd.sparkSession, wide, None)):
+        assert kept.columns == wide.columns and {r["own"] for r in kept.collect()} == {"own"}
+
+
 def test_one_of_each_group_stays(odd, empty):
     kept = simhash.one_of_each(odd).collect()
     assert set(kept[0].asDict()) == set(odd.columns) and all(r.fp == "clash" for r in kept)
@@ -346,7 +361,9 @@ def test_decontamination_equals_sql(spark):
     assert_same(queries.op6_decontaminate(spark, SF), SF, queries.ORACLE_SQL["op6_decontaminate"])
 
 
-def test_decontamination_in_blocks_and_odd_rows(spark, odd, empty):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination_of_odd_rows_by_broadcast_and_by_shuffle(spark, odd, empty, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     texts = [r.text for r in odd.where("text IS NOT NULL AND doc_id < 60").orderBy("doc_id").collect()]
     items = [(1, texts[0]), (2, texts[1][5:]), (3, "one"), (4, "not there anywhere"), (5, None), (None, "one"), (6, "ONE two"), (6, texts[2]), (7, "..."), (8, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -364,12 +381,17 @@ def test_decontamination_in_blocks_and_odd_rows(spark, odd, empty):
         return len(w), len(hit), sorted(found)
 
     want = sorted(map(repr, ((r.doc_id, *brute(r.text)) for r in odd.where("coalesce(doc_id, 0) < 300 OR doc_id = 303").collect())))
-    for size in (1 << 20, 64):
-        indexes = decontaminate.build_indexes(odd, bench, block_bytes=size)
-        got = decontaminate.contamination(odd, indexes).where("coalesce(doc_id, 0) < 300 OR doc_id = 303").collect()
-        assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got))) == want
-    assert decontaminate.contamination(empty, decontaminate.build_indexes(empty, bench)).count() == 0
-    assert decontaminate.contamination(odd, decontaminate.build_indexes(odd, bench.where("item_id < 0"))).where("n_hit > 0").count() == 0
+    got = decontaminate.contamination(odd, bench).where("coalesce(doc_id, 0) < 300 OR doc_id = 303").collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got))) == want
+    hit = {r.text for r in odd.collect()} - {r.text for r in decontaminate.clean(odd, bench).collect()}
+    assert hit == {r.text for r in odd.collect() if brute(r.text)[1]}
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(odd, bench.where("item_id < 0")).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_by_shuffle_equals_sql(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert_same(queries.op6_decontaminate(spark, SF), SF, queries.ORACLE_SQL["op6_decontaminate"])
 
 
 # --- licences ---

@@ -4,7 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from findery.llm import common, language, pii, quality_net, queries
+from findery.llm import common, language, pii, quality_net, queries, shingles
 from findery.llm.common import scratch, written
 
 SF = "/root/testdata/sf0.01"
@@ -135,7 +135,7 @@ def test_pipeline_stages(spark, stages):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = [labels[i] for i in ids(first) - ids(good) if i in labels]
     assert gone and np.mean(gone) < 0.05
-    groups = queries.simhash.near_duplicates(good).collect()
+    groups = shingles.near_duplicates(good).collect()
     assert ids(single) == {r.component_id for r in groups}
     hit = {r.doc_id for r in queries.op6_decontaminate(spark, SF).where("contaminated").collect()}
     assert ids(clean) == ids(single) - hit
