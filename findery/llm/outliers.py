@@ -87,6 +87,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     return found.withColumn("n_repeat_words", F.coalesce(repeated, F.lit(0).cast("long"))).drop("placed")
 
 
+def base_failed() -> Column:
+    """The fixed rules: fewer than 10 words, or over a fifth of the words in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def _transformed(stats: DataFrame) -> DataFrame:
     n = F.col("n_words") + PRIOR_WORDS
     return stats.withColumns(
@@ -227,8 +232,7 @@ def judge(docs: DataFrame) -> DataFrame:
     equal statistics are judged alike; an empty table gives an empty one; other columns may have any names.
     """
     spark = docs.sparkSession
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = written(_transformed(statistics(docs)).withColumn("base_failed", failed), scratch(spark, "statistics"))
+    rows = written(_transformed(statistics(docs)).withColumn("base_failed", base_failed()), scratch(spark, "statistics"))
     sound = written(_grouped(rows.where(~F.col("base_failed"))), scratch(spark, "sound"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = _distance(sound, *estimates(sound)).select(*columns, "d2", (F.coalesce("d2", F.lit(0.0)) <= CUTOFF).alias("kept"))

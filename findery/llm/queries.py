@@ -102,7 +102,23 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules)}
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4 alone, which SQL can express."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7, which SQL can express."""
+    return op7_licenses(spark, sf_dir).drop("labels", "score")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10, which SQL can express."""
+    found = outliers.statistics(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", outliers.base_failed().alias("base_failed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, pii_base_counts, license_phrases, quality_counts)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
@@ -128,5 +144,34 @@ items AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "pii_base_counts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+    SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+        list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda h: regexp_replace(h, '[^0-9]', '', 'g')) AS cards, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phones
+    FROM t
+)
+SELECT doc_id, n_email, len(list_filter(ips, lambda h: list_bool_and(list_transform(string_split(h, '.'), lambda p: p::HUGEINT <= 255)))) AS n_ip,
+    len(list_filter(cards, lambda d: len(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN d[len(d) - k + 1]::INT ELSE (2 * d[len(d) - k + 1]::INT) - CASE WHEN d[len(d) - k + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+    len(list_filter(phones, lambda h: len(regexp_replace(h, '[^0-9]', '', 'g')) BETWEEN 8 AND 15)) AS n_phone
+FROM m
+""",
+    "license_phrases": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, k - 1 AS k, CASE WHEN w[k:k + 1] = ['cc', 'by'] THEN 'cc-by' WHEN w[k:k + 2] = ['general', 'public', 'license'] THEN 'gpl' WHEN w[k:k + 2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+f AS (SELECT doc_id, count(*) AS n, min(k) AS a, max(k) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f USING (doc_id)
+""",
+    "quality_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, k, w[k:k + 4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+again AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM wins JOIN again USING (doc_id, win)) GROUP BY 1),
+lines AS (SELECT doc_id, len(x) - len(list_distinct(x)) AS n FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS x FROM d))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, lines.n::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed
+FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
 """,
 }

@@ -357,8 +357,9 @@ def test_plan_moves_no_more_than_brute_force_needs_for_shards_as_even(units, n_n
 # --- benchmark passages ---
 
 
-def test_decontamination_equals_sql(spark):
-    assert_same(queries.op6_decontaminate(spark, SF), SF, queries.ORACLE_SQL["op6_decontaminate"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF), SF, queries.ORACLE_SQL[name])
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
