@@ -126,21 +126,36 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+#: Where null doc_ids stand: before all others.
+NULL_KEY = -(1 << 63)
+
+
 def _range_bounds(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(parts, upper bounds of all but the last): ranges of doc_ids with about the same number of rows."""
+    """(parts, upper bounds of all but the last): ranges of doc_ids with about the same number of rows.
+
+    A doc_id with many rows is the bound of several parts, and its rows are dealt out to them.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)])
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 20 * parts).alias("q")).first().q if parts > 1 else None
-    bounds = np.unique(np.array(found or [], np.int64))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
+    found = docs.agg(F.percentile_approx(key, shares, 20 * parts).alias("q")).first().q if parts > 1 else None
+    bounds = np.array(found or [], np.int64)
     return len(bounds) + 1, bounds
 
 
+def _parts_of(keys: np.ndarray, bounds: np.ndarray, at: int) -> np.ndarray:
+    """The part of each key; ``at`` rows of the task came before, by whose number a key with several parts takes turns."""
+    first, beyond = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    return (first + (at + np.arange(len(keys))) % np.maximum(beyond - first, 1)).astype(np.int32)
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write all documents' ids, each with ``end_id`` after it, to files below ``out`` in ascending doc_id order.
 
     Returns the manifest (file, part, n_docs, n_ids), a row for each file.  A null text counts as
-    empty (its end id alone is written), null doc_ids come first, rows with one doc_id follow the order
-    of their ids; an empty table gives an empty manifest.  Ranges of doc_ids come from quantiles of the
+    empty (its end id alone is written), null doc_ids come first, rows with one doc_id follow each other in
+    no stated order; an empty table gives an empty manifest; other columns may have any names.  Texts are
+    read whole.  Ranges of doc_ids come from quantiles of the
     ids alone, so each text is read and encoded once and its ids are shuffled once; every attempt of a
     task writes a file of its own name and only the manifest's files count.
     """
@@ -153,10 +168,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
     small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, width, False, 600_000)
+        c, at = codec(tokenizer, width, False, 600_000), 0
         for batch in batches:
             keys = batch.column(0)
-            part = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+            part = _parts_of(keys.fill_null(NULL_KEY).to_numpy(), bounds, at)
+            at += len(part)
             ids = pa.array(c.encode_batch(batch.column(1).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part), keys, ids], names=["part", "doc_id", "ids"])
 
