@@ -442,7 +442,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids binary]): encode and decode in one pass over the texts.
 
     Both directions run in the same task, so neither ids nor decoded texts are ever shuffled or kept.
-    Nulls, empty texts and repeated rows as in encode().
+    Nulls, empty texts, repeated rows and names as in encode(); texts are read whole, however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

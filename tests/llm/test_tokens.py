@@ -98,6 +98,13 @@ def test_files_are_read_by_document(bits):
         at += len(ids)
 
 
+def test_a_doc_id_with_most_rows_is_dealt_out_and_order_stays():
+    keys = np.array([1, 2, 3] + [7] * 90 + [8, 9, 10])
+    bounds = np.sort(keys)[np.linspace(0, len(keys) - 1, 9).astype(int)[1:-1]]
+    parts = tokenfile._parts_of(keys, bounds, 5)
+    assert max(np.bincount(parts)) < 30 and all(parts[a] <= parts[b] for a in range(len(keys)) for b in range(len(keys)) if keys[a] < keys[b])
+
+
 def test_token_files_over_odd_rows(spark, odd, empty, tmp_path):
     tokenfile.write_tokens(odd, str(tmp_path / "t"), WORD)
     got = sorted(tokenfile.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
