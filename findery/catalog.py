@@ -119,9 +119,7 @@ SELECT policy, term, count(DISTINCT doc_id) AS document_frequency, corpus_chunk_
 """
 )
 def bm25_index_stats(read):
-    policy = F.col("lang")
-    chunks = _chunks(read)
-    return keyword.index_statistics(keyword.postings(chunks, policy=policy), keyword.chunk_lengths(chunks, policy=policy))
+    return keyword.text_statistics(_chunks(read), policy=F.col("lang"))
 
 
 @query(f"SELECT 'all' AS policy, doc_id AS chunk_id, term, count(*) AS term_frequency FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL")
@@ -187,7 +185,18 @@ def threshold_summary(read):
     return fuse.threshold_summary(keyword.bm25_topk(_items(read), _chunks(read), 20), 12.0)
 
 
-@query()
+@query(
+    f"""
+WITH {_FUSED_CTE},
+own AS (SELECT item_id AS query_id, list_distinct({_TOKENS}) AS own FROM benchmark), dw AS (SELECT doc_id AS chunk_id, {_TOKENS} AS w FROM documents),
+rs AS (SELECT query_id, chunk_id, score AS source_score, rank AS source_rank, round(len(list_intersect(own, w)) / greatest(1, len(own))::DOUBLE + 0.001 * least(greatest(score, 0), 1), 9) AS s FROM vr JOIN own USING (query_id) JOIN dw USING (chunk_id) WHERE rank <= 40),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source_rank, chunk_id) AS rank FROM rs)
+SELECT query_id, 'vector_cosine' AS profile_name, rank, chunk_id, 'vector' AS strategy, score, NULL::DOUBLE AS source_score, NULL::DOUBLE AS reranker_score, NULL::DOUBLE AS vector_score, NULL::DOUBLE AS keyword_score, NULL::BIGINT AS source_count FROM vr WHERE rank <= 10
+UNION ALL SELECT kw.query_id, 'bm25_keyword', rank, chunk_id, 'bm25', score, NULL, NULL, NULL, NULL, NULL FROM kw JOIN embeddings ON vec_id = kw.query_id WHERE rank <= 10
+UNION ALL SELECT query_id, 'hybrid_keyword_vector', rank, chunk_id, 'hybrid', score, NULL, NULL, vector_score, keyword_score, source_count FROM rrf WHERE rank <= 10
+UNION ALL SELECT query_id, 'reranked_vector_cosine', rank, chunk_id, 'reranked', s, source_score, NULL, NULL, NULL, NULL FROM rk WHERE rank <= 10
+"""
+)
 def search_compare(read):
     return search.compare(_vector_queries(read), _chunks(read), _vectors(read), 10)
 
@@ -884,6 +893,20 @@ def citation_readiness(read):
     return answers.citation_readiness(_citations(read))
 
 
+@query(
+    """WITH a AS (SELECT l_orderkey AS log_id, l_linenumber <= 3 AS included, CASE l_returnflag WHEN 'A' THEN 'failed' WHEN 'R' THEN 'warning' ELSE 'ready' END AS s, l_linestatus = 'O' AS anchored, l_linenumber % 3 AS issues FROM lineitem),
+c AS (SELECT log_id, count(*) AS candidate_count, count(*) FILTER (WHERE included) AS included_count, count(*) FILTER (WHERE s = 'ready') AS ready_count, count(*) FILTER (WHERE s = 'warning') AS warning_count, count(*) FILTER (WHERE s = 'failed') AS failed_count, count(*) FILTER (WHERE included AND anchored) AS n, sum(issues)::BIGINT AS issue_count FROM a GROUP BY 1)
+SELECT log_id, CASE WHEN failed_count > 0 OR included_count = 0 THEN 'failed' WHEN warning_count > 0 THEN 'warning' ELSE 'ready' END AS package_status, candidate_count, included_count, ready_count, warning_count, failed_count,
+    CASE WHEN included_count > 0 THEN round(n * 100.0::DOUBLE / included_count, 2) ELSE 0 END AS anchor_percent, round(ready_count * 100.0::DOUBLE / candidate_count, 2) AS ready_percent, issue_count FROM c"""
+)
+def citation_rates(read):
+    """Order lines as assessed candidates of their order's package."""
+    li = read("lineitem")
+    status = F.when(F.col("l_returnflag") == "A", "failed").when(F.col("l_returnflag") == "R", "warning").otherwise("ready")
+    assessed = li.select(F.col("l_orderkey").alias("log_id"), (F.col("l_linenumber") <= 3).alias("included"), status.alias("citation_status"), (F.col("l_linestatus") == "O").alias("anchored"), (F.col("l_linenumber") % 3).cast("long").alias("issue_count"))
+    return answers.citation_readiness(assessed)
+
+
 # --- parsing, chunking, sources ---
 
 
@@ -1290,3 +1313,28 @@ def embedding_store(read):
     new = read("orders").where("o_orderkey % 10 = 0").select((F.col("o_orderkey") + 1000000).alias("chunk_id"), one.alias("embedding"))
     again = current.where("chunk_id % 2 = 0").select("chunk_id", F.reverse("embedding").alias("embedding"))
     return vector.stored_embeddings(current, new.union(again), vector.Profile("stand_in", 64)).select("chunk_id", F.size("embedding").alias("dimension"))
+
+
+@query(
+    f"""WITH RECURSIVE {_VISIBLE_CTE}, me AS (SELECT document_id FROM vis WHERE user_id = 3)
+SELECT p_partkey AS chunk_id FROM part JOIN supplier ON s_suppkey = p_partkey % 100 + 1 WHERE s_suppkey % 7 <> 0 AND s_nationkey < 20 AND p_size <= 25 AND s_suppkey IN (SELECT document_id FROM me)"""
+)
+def search_candidates(read):
+    """Parts as chunks of suppliers' documents, for the request of one user."""
+    documents, _, granted = _permission_inputs(read)
+    s = read("supplier").select(F.col("s_suppkey").alias("document_id"), F.when(F.col("s_suppkey") % 7 == 0, "archived").otherwise("active").alias("document_status"), F.when(F.col("s_nationkey") < 20, "near").otherwise("far").alias("document_group"))
+    chunks = read("part").select(F.col("p_partkey").alias("chunk_id"), (F.col("p_partkey") % 100 + 1).alias("document_id"), F.when(F.col("p_size") <= 25, "small").otherwise("large").alias("chunk_policy_name"))
+    return permission.search_candidates(chunks, documents.join(s, "document_id"), "small", "near", None, granted.where("user_id = 3"))
+
+
+@query(
+    """SELECT lang AS policy, source AS profile, count(*) AS cell_count, sum(chunk_count)::BIGINT AS chunk_count FROM (
+    SELECT d.doc_id, p.lang, q.source, count(c.doc_id) AS chunk_count FROM documents d CROSS JOIN (SELECT DISTINCT lang FROM documents) p CROSS JOIN (SELECT DISTINCT source FROM documents) q LEFT JOIN documents c ON c.doc_id = d.doc_id AND c.lang = p.lang GROUP BY ALL) GROUP BY 1, 2"""
+)
+def multi_policy_coverage(read):
+    """Languages as policies, sources as profiles: every document under each of both."""
+    d = read("documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("policy"))
+    jobs = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("profile"), F.lit("succeeded").alias("status"))
+    cells = coverage.embedding_coverage(d.select(F.col("doc_id").alias("document_id")), d.select(F.col("source").alias("profile")).distinct(), chunks, jobs, jobs, ["policy"])
+    return coverage.coverage_summary(cells, "embedding_status", ["policy", "profile"]).select("policy", "profile", "cell_count", "chunk_count")

@@ -73,12 +73,13 @@ def embedding_coverage(documents: DataFrame, profiles: DataFrame, chunks: DataFr
     cell = ["document_id", *by]
     counts = chunks.groupBy(*cell).agg(F.count("*").alias("chunk_count"))
     own = chunks.select("chunk_id", *cell)
-    by_state = jobs.join(own, "chunk_id").groupBy(*cell, "profile").agg(F.count("*").alias("job_count"), *[F.count_if(F.col("status") == s).alias(s) for s in JOB_STATES])
-    done = embedded.join(own, "chunk_id").groupBy(*cell, "profile").agg(F.count_distinct("chunk_id").alias("embedded_count"))
+    made = embedded.select("chunk_id", "profile").distinct().select("chunk_id", "profile", F.lit(None).cast("string").alias("status"), F.lit(1).alias("made"))
+    rows = jobs.select("chunk_id", "profile", "status", F.lit(0).alias("made")).unionByName(made).join(own, "chunk_id")
+    by_state = rows.groupBy(*cell, "profile").agg(F.count_if(F.col("made") == 0).alias("job_count"), *[F.count_if(F.col("status") == s).alias(s) for s in JOB_STATES], F.sum("made").alias("embedded_count"))
     base = documents.select("document_id")
     if by:
         base = scaffold(base, chunks.select(*by).distinct())
-    cells = scaffold(base, profiles.select("profile")).join(counts, cell, "left").join(by_state, [*cell, "profile"], "left").join(done, [*cell, "profile"], "left")
+    cells = scaffold(base, profiles.select("profile")).join(counts, cell, "left").join(by_state, [*cell, "profile"], "left")
     cells = filled(cells, "chunk_count", "job_count", *JOB_STATES, "embedded_count")
     c = F.col
     return cells.withColumns(

@@ -43,6 +43,14 @@ def index_statistics(terms: DataFrame, lengths: DataFrame) -> DataFrame:
     return frequency.join(corpus_statistics(lengths), "policy")
 
 
+def text_statistics(chunks: DataFrame, text: str = "text", key: str = "chunk_id", policy: Column | None = None, tokens: str = "unicode_words") -> DataFrame:
+    """``index_statistics`` straight from texts: each chunk's distinct terms are counted, and no posting is made."""
+    own = (F.lit("all") if policy is None else policy).alias("policy")
+    frequency = chunks.select(own, F.explode(F.array_distinct(tokenizer(tokens)(F.col(text)))).alias("term")).groupBy("policy", "term").agg(F.count("*").alias("document_frequency"))
+    # a row for each policy
+    return frequency.join(F.broadcast(corpus_statistics(chunk_lengths(chunks, text, key, policy, tokens))), "policy")
+
+
 def refresh_index(chunks: DataFrame, path: str, policy: Column | None = None, text: str = "text", key: str = "chunk_id", tokens: str = "unicode_words") -> None:
     """Write postings, lengths and statistics below ``path``, by policy; only the policies in ``chunks`` are replaced."""
     def put(df: DataFrame, name: str) -> None:

@@ -131,3 +131,16 @@ def scope_explanation(granted: DataFrame, documents: DataFrame) -> DataFrame:
     seen = granted.join(by_grant, "grant").groupBy("user_id", "requested_scope", "access_scope").agg(F.sum("n").alias("visible_count"))
     base = seen.select("user_id", "requested_scope").distinct().crossJoin(F.broadcast(candidates))
     return base.join(seen, ["user_id", "requested_scope", "access_scope"], "left").withColumn("visible_count", F.coalesce("visible_count", F.lit(0)))
+
+
+def search_candidates(chunks: DataFrame, documents: DataFrame, policy: str | None = None, group: str | None = None, file_type: str | None = None, granted: DataFrame | None = None) -> DataFrame:
+    """(chunk_id) that a search may return: of active documents always, and where asked of a policy, group, file type or grants.
+
+    Filters are pushed to the scans; ``granted`` is permission.grants of one request.
+    """
+    tests = [F.col("document_status") == "active"] + [F.col(c) == v for c, v in (("document_group", group), ("file_type", file_type)) if v is not None]
+    own = documents.where(reduce(lambda a, b: a & b, tests))
+    if granted is not None:
+        own = with_grants(own, "document_id").join(granted.select("grant"), "grant", "left_semi")
+    rows = chunks if policy is None else chunks.where(F.col("chunk_policy_name") == policy)
+    return rows.join(own.select("document_id").distinct(), "document_id", "left_semi").select("chunk_id")
