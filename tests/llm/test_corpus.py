@@ -135,9 +135,7 @@ def near_texts():
     return [" ".join(w).upper() if r.random() < 0.1 else " ".join(w) for w in found]
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_shingle_groups_equal_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(shingles, "ROUNDS", rounds)
+def test_shingle_groups_equal_brute_force(spark):
     texts = near_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     group, pairs = brute_similar_groups(texts)
