@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile
+from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile, vectorcodes
 from findery.llm.common import scratch
 
 
@@ -102,6 +102,12 @@ def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+    rows = vectorcodes.with_label_errors(found.rows)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(found.books.sha256()).alias("codebooks_sha256"))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4 alone, which SQL can express."""
     return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -118,11 +124,49 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", outliers.base_failed().alias("base_failed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, pii_base_counts, license_phrases, quality_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, op11_vectorcodes, pii_base_counts, license_phrases, quality_counts)}
+
+def _vectorcodes_sql() -> str:
+    """Four rounds of weighted means over the distinct parts, one table expression a round; vectors of 64 dimensions."""
+    parts = """
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0
+),
+each AS MATERIALIZED (SELECT row, vec_id, label, p, v[16 * p + 1:16 * p + 16] AS part FROM kept, range(4) t(p)),
+uniq AS MATERIALIZED (SELECT p, part, part::DOUBLE[] AS x, count(*) AS n FROM each GROUP BY ALL),
+b0 AS MATERIALIZED (SELECT p, code, v[16 * p + 1:16 * p + 16] AS entry FROM (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS code FROM kept QUALIFY code < 256), range(4) t(p))"""
+    near = """,
+a{k} AS MATERIALIZED (
+    SELECT p, part, any_value(n) AS n, min(struct_pack(d := d, code := code)) AS best FROM (
+        SELECT u.p, part, n, code, list_inner_product(x, x) - 2 * list_inner_product(x, entry::DOUBLE[]) + list_inner_product(entry::DOUBLE[], entry::DOUBLE[]) AS d
+        FROM uniq u JOIN b{k} b ON u.p = b.p)
+    GROUP BY ALL
+)"""
+    moved = """,
+b{next} AS MATERIALIZED (
+    SELECT b.p, b.code, coalesce(m.entry, b.entry) AS entry FROM b{k} b LEFT JOIN (
+        SELECT p, code, list(CAST(floor(s / w) AS BIGINT) ORDER BY i) AS entry
+        FROM (SELECT p, best.code AS code, i, sum(n * part[i])::DOUBLE AS s, sum(n) AS w FROM a{k}, range(1, 17) t(i) GROUP BY ALL) GROUP BY ALL
+    ) m ON b.p = m.p AND b.code = m.code
+)"""
+    rounds = "".join(near.format(k=k) + moved.format(k=k, next=k + 1) for k in range(4)) + near.format(k=4)
+    return (
+        parts
+        + rounds
+        + """,
+coded AS (SELECT row, vec_id, label, string_agg(lpad(lower(to_hex(best.code)), 2, '0'), '' ORDER BY e.p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM each e JOIN a4 ON e.p = a4.p AND e.part = a4.part GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, code)) FROM b4) AS codebooks_sha256
+FROM coded
+"""
+    )
+
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_vectorcodes": _vectorcodes_sql(),
     "op6_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
