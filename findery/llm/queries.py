@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile, vectorcodes
+from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile, toxicity, vectorcodes
 from findery.llm.common import scratch
 
 
@@ -108,6 +108,13 @@ def op11_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(found.books.sha256()).alias("codebooks_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.classify(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4 alone, which SQL can express."""
     return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -124,7 +131,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", outliers.base_failed().alias("base_failed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, op11_vectorcodes, pii_base_counts, license_phrases, quality_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, op11_vectorcodes, op12_toxicity, pii_base_counts, license_phrases, quality_counts)}
 
 def _vectorcodes_sql() -> str:
     """Four rounds of weighted means over the distinct parts, one table expression a round; vectors of 64 dimensions."""
