@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, quality_net, reshard, simhash, tokenfile, toxicity, vectorcodes
-from findery.llm.common import scratch
+from findery.llm import bpe, decontaminate, language, licenses, outliers, pii, prefixtrie, quality_net, reshard, simhash, tokenfile, toxicity, vectorcodes
+from findery.llm.common import scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,13 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefixtrie.rebuilt(prefixtrie.ordered(_table(spark, sf_dir, "conversations")))
+    turns = written(turns, scratch(spark, "rebuilt"))
+    nodes = prefixtrie.prefix_trie(turns, convs)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.lower(F.hex("ends")).alias("ends_sha256"))
+
+
 def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4 alone, which SQL can express."""
     return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -131,7 +138,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", outliers.base_failed().alias("base_failed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, op11_vectorcodes, op12_toxicity, pii_base_counts, license_phrases, quality_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_tokenfile, op4_pii, op5_reshard, op6_decontaminate, op7_licenses, op8_quality, op9_language, op10_quality_rules, op11_vectorcodes, op12_toxicity, op13_prefixtrie, pii_base_counts, license_phrases, quality_counts)}
 
 def _vectorcodes_sql() -> str:
     """Four rounds of weighted means over the distinct parts, one table expression a round; vectors of 64 dimensions."""
@@ -174,6 +181,42 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 ORACLE_SQL: dict[str, str] = {
     "op11_vectorcodes": _vectorcodes_sql(),
+    "op13_prefixtrie": """
+WITH tab AS MATERIALIZED (
+    SELECT list(v ORDER BY i) AS t
+    FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))
+),
+turns AS MATERIALIZED (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS MATERIALIZED (
+    SELECT conv_id, conv_id - conv_id % 100 AS base,
+        xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), tab
+),
+r AS (
+    SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND place <= h
+    UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h
+),
+d AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM r),
+p AS MATERIALIZED (
+    SELECT conv_id, depth, length(text) AS chars, sha256(to_json(list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth))::VARCHAR) AS node FROM d
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+),
+n AS MATERIALIZED (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY ALL),
+edges AS MATERIALIZED (SELECT DISTINCT node, parent FROM (SELECT node, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM p) WHERE parent IS NOT NULL),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY 1),
+stat AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS own FROM n LEFT JOIN kids USING (node)),
+sub AS (SELECT DISTINCT a.node AS top, b.node FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (SELECT top AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM sub JOIN stat USING (node) GROUP BY 1),
+ends AS (
+    SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+    FROM (SELECT conv_id, node FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY 1
+)
+SELECT s.conv_id, s.depth, u.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM stat s JOIN sums USING (node) LEFT JOIN ends USING (node) LEFT JOIN edges e ON e.node = s.node LEFT JOIN stat u ON u.node = e.parent
+""",
     "op6_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
