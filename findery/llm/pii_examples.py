@@ -13,6 +13,7 @@ CUES = {
     "card": ["card ", "Visa: ", "payment card ", "carte ", "Karte ", "tarjeta ", "mastercard no. ", "paid with "],
     "email": ["mail ", "contact: ", "write to ", "Kontakt: ", "correo ", "courriel : ", "reach me: ", "", "", ""],
     "secret": ["token = ", "api_key: ", "secret=", "access key ", "Authorization: Bearer ", "client_secret = ", "TOKEN=", "api token: ", "private key: "],
+    "password": ["password: ", "Passwort: ", "pwd=", "passwd = ", "contraseña: ", "PASSWORD="],
     "other": ["order ", "invoice no. ", "version ", "ref ", "ISBN ", "on ", "", "", "total ", "id ", "serial ", "page ", "lot ", "Bestellung ", "référence ", "pedido "],
     "hash": ["commit ", "sha256 ", "checksum: ", "etag ", "build ", "uuid ", "md5: ", "revision ", "digest ", ""],
 }
@@ -64,9 +65,12 @@ def examples(count: int, seed: int, held_out: bool = False) -> list[dict]:
 
     def secret() -> str:
         unseen = [lambda: chars(24, mixed), lambda: chars(64, hexes), lambda: f"{chars(8, mixed)}-{chars(16, mixed)}"]
-        seen = [lambda: chars(40, hexes), lambda: chars(32, hexes), lambda: chars(36, mixed), lambda: chars(20, letters.upper() + "0123456789"), lambda: chars(44, mixed + "+/"), lambda: "sk-" + chars(32, mixed)]
+        seen = [lambda: chars(40, hexes), lambda: chars(32, hexes), lambda: chars(36, mixed), lambda: chars(20, letters.upper() + "0123456789"), lambda: chars(44, mixed + "+/"), lambda: "sk-" + chars(32, mixed), lambda: chars(r.randint(48, 1200), mixed + "_-"), lambda: chars(r.choice([18, 21, 27, 30, 50]), mixed), lambda: chars(r.choice([48, 56, 96]), hexes)]
         return r.choice(unseen if held_out else seen)()
 
+    def password() -> str:
+        return chars(2, mixed) + chars(r.choice([6, 8, 10, 14, 22, 60, r.randint(60, 1200)]), mixed + "!?#$%&*@.") + chars(1, mixed)
+
     def hashed() -> str:
         return r.choice([lambda: chars(40, hexes), lambda: chars(64, hexes), lambda: chars(32, hexes), lambda: "-".join(chars(n, hexes) for n in (8, 4, 4, 4, 12)), lambda: chars(18, letters) + d(2), lambda: f"{chars(8, letters)}_{chars(7, letters)}_{d(3)}"])()
 
@@ -81,12 +85,12 @@ def examples(count: int, seed: int, held_out: bool = False) -> list[dict]:
         word = lambda: r.choice([r.choice(["look", "stay", "meet", "him", "noon", "once", "home", "sun"]), chars(r.randint(2, 9), letters), chars(r.randint(3, 8), letters).capitalize()])
         return r.choice([f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{word()}", f"{word()} @ {word()}. {word()}"])
 
-    makers = [(phone, "phone", 1), (other, "other", 0), (email, "email", 1), (other, "other", 0), (card, "card", 1), (plain, "other", 0), (secret, "secret", 1), (hashed, "hash", 0), (other, "other", 0)]
+    makers = [(phone, "phone", 1), (other, "other", 0), (email, "email", 1), (other, "other", 0), (card, "card", 1), (plain, "other", 0), (secret, "secret", 1), (hashed, "hash", 0), (other, "other", 0), (password, "password", 1)]
     out = []
     for k in range(count):
         make, kind, label = makers[k % len(makers)]
         span, cue = make(), r.choice(CUES[kind])
         noise = r.choice(["### ", "#12 ", "page ", "$$ ", "no. 7 ", "id; ", "see "]) if r.random() < 0.25 else ""
-        before = f"{filler()} {noise}{cue}" + ('"' if kind == "secret" and r.random() < 0.3 else "")
+        before = f"{filler()} {noise}{cue}" + ('"' if kind in ("secret", "password") and r.random() < 0.3 else "")
         out.append({"text": f"{before}{span}{r.choice(['', ',', '.', ''])} {filler()}", "start": len(before), "end": len(before) + len(span), "label": label, "kind": kind})
     return out
