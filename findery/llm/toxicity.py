@@ -8,10 +8,10 @@ of its words.  Embeddings and softmax are fitted in numpy on a bounded sample of
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,40 +42,65 @@ RATES = (3.0, 0.03, 0.03)
 SEED = 11
 #: predicted is 1 from this score on.
 THRESHOLD = 0.5
-#: Words whose worth a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 200_000
-_BLOCK = 20_000
+#: Words of the sample, and bytes of text, that are worked on at once.
+_BLOCK, _PIECE = 20_000, 1 << 17
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the subwords of all words in a row, and the word that each belongs to.
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of the words with one space before, between and after them."""
+    return np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
-    Subwords are the word with its marks and every n-gram of it; a word shorter than an n-gram has none of that length.
+def _buckets(letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """Buckets of subwords as (bucket, whether it counts, where it starts): for each length of GRAMS those of all places, then whole words.
+
+    A space marks the start or the end of a word, so it stands first or last in a subword and never within.  Values are
+    polynomials in _MIX, those of words by differences of running sums.
     """
-    marked = [f"<{w}>" for w in words]
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # letters of the word from here on
+    gap = letters == 32
+    gaps = np.cumsum(gap, dtype=np.int32)
+    letters = letters.astype(np.uint64)
+    places = np.arange(len(letters), dtype=np.int32)
     value = np.zeros(len(letters), np.uint64)
-    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in marked), np.uint64, len(marked))
-    buckets, owners = [_bucket(whole, 0)], [np.arange(len(words))]
-    for n in range(1, GRAMS[-1] + 1):
-        if len(letters) < n:
-            break
+    for n in range(1, min(GRAMS[-1], len(letters)) + 1):
         value = value[: len(letters) - n + 1] * _MIX + letters[n - 1 :]
         if n in GRAMS:
-            here = left[: len(value)] >= n
-            buckets.append(_bucket(value[here], n))
-            owners.append(owner[: len(value)][here])
-    return np.concatenate(buckets), np.concatenate(owners)
+            yield _bucket(value, n), gaps[n - 2 : len(gaps) - 1] == gaps[: len(value)], places[: len(value)]
+    start = np.flatnonzero(gap)
+    power, inverse = _powers(len(letters))
+    sums = np.cumsum(letters * power[: len(letters)])
+    yield _bucket((sums[start[1:]] - sums[start[:-1]]) * inverse[start[:-1]], 0), None, start[:-1]
+
+
+@lru_cache(maxsize=2)
+def _power_table(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    back = np.uint64(pow(int(_MIX), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, x)]), dtype=np.uint64) for x in (_MIX, back))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _MIX and of its inverse modulo 2 to the 64, at least ``n`` of each."""
+    return _power_table(n.bit_length())
 
 
 def _bucket(value: np.ndarray, n: int) -> np.ndarray:
     value = (value ^ (value >> np.uint64(29)) ^ np.uint64(n)) * _MIX
-    return (value >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (value >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all words, and the word that each belongs to; words hold no space and are not empty.
+
+    Subwords are the word and every n-gram of it with its marks; a word shorter than an n-gram has none of that length.
+    """
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    letters = _letters(words)
+    owner = np.cumsum(letters == 32, dtype=np.int32) - 1
+    found = [(bucket if use is None else bucket[use], owner[at if use is None else at[use]]) for bucket, use, at in _buckets(letters)]
+    return np.concatenate([b for b, _ in found]), np.concatenate([o for _, o in found])
 
 
 def _folded(word: bytes) -> str:
@@ -89,38 +114,51 @@ class ToxicityModel:
     embeddings: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    remembered: dict[bytes, float] = field(default_factory=dict)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"remembered": {}}
+    def __post_init__(self) -> None:
+        """slope: what each bucket adds to the difference of the two logits, before the mean."""
+        self.slope = (self.embeddings @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
     def word_vector(self, word: str) -> np.ndarray:
         """The sum of its subwords' embeddings, also of a word never seen."""
         return self.embeddings[subwords([word.lower()])[0]].sum(0)
 
-    def _worths(self, words: list[bytes]) -> list[float]:
-        """What each word adds to the difference of the two logits, before the mean."""
-        own = self.remembered
-        found = list(map(own.get, words))
-        if None in found:
-            new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            if len(own) + len(new) > REMEMBERED:
+    def _worths(self, pieces: list[list[bytes]]) -> np.ndarray:
+        """What the words of each piece add up to; as all is linear, words need not be told apart."""
+        texts = [_folded(b" ".join(words)) for words in pieces]
+        letters = _letters(texts)
+        worth = np.zeros(len(letters), np.float32)
+        for bucket, use, at in _buckets(letters):
+            if use is None:
+                worth[at] += self.slope[bucket]
+            else:
+                worth[: len(bucket)] += self.slope[bucket] * use
+        start = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        return np.add.reduceat(worth, start, dtype=np.float64)
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        """P(toxic) of each text; one without words has the bias alone.  Texts are worked on in pieces of about _PIECE bytes."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        own, of, size = [], [], 0
+
+        def add() -> None:
+            if own:
+                np.add.at(total, of, self._worths(own))
                 own.clear()
-                new = list(set(words))
-            slope = self.__dict__.setdefault("slope", self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]))
-            buckets, owner = subwords([_folded(w) for w in new])
-            own.update(zip(new, np.bincount(owner, slope[buckets], len(new)).tolist(), strict=True))
-            found = list(map(own.get, words))
-        return found
-
-    def score(self, text: bytes | None) -> float:
-        """P(toxic) of a text; one without words has the bias alone."""
-        total, n = 0.0, 0
-        for words in word_slices(text, 1 << 18):
-            total += sum(self._worths(words))
-            n += len(words)
-        logit = SCALE * total / max(n, 1) + float(self.bias[1] - self.bias[0])
-        return 1 / (1 + math.exp(-min(max(logit, -40.0), 40.0)))
+                of.clear()
+
+        for k, text in enumerate(texts):
+            for words in word_slices(text, _PIECE):
+                own.append(words)
+                of.append(k)
+                n[k] += len(words)
+                size += sum(map(len, words))
+                if size >= _PIECE:
+                    add()
+                    size = 0
+        add()
+        logit = SCALE * total / np.maximum(n, 1) + float(self.bias[1] - self.bias[0])
+        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +271,7 @@ def score_column(model: Broadcast, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.value.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array(model.value.scores(texts.to_pylist()), pa.float64())
 
     return score(text.cast("binary"))
 

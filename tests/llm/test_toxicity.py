@@ -1,5 +1,4 @@
 import math
-import pickle
 import random
 
 import numpy as np
@@ -32,18 +31,19 @@ def learnt(seed=1):
 def test_misspellings_share_subwords():
     model, plain = learnt()
     text = " ".join(plain[:30])
-    assert model.score(text.encode()) < 0.5
+    score = lambda t: float(model.scores([t.encode()])[0])
+    assert score(text) < 0.5
     for bad in ("wretched", "WRETCHED", "wretchedd", "wretchd!", "scoundrell", "sc0undrel", "knaveryy"):
-        assert model.score(f"{text} {bad} {bad}".encode()) > 0.5
+        assert score(f"{text} {bad} {bad}") > 0.5
     near = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
     assert near(model.word_vector("wretched"), model.word_vector("wretchhed")) > 0.7
 
 
 def test_subwords_are_the_word_and_its_grams():
-    words = ["ab", "über", "a", "", "😀xyz", "long-er"]
+    words = ["ab", "über", "a", "😀xyz", "long-er", "ab"]
     bucket, owner = toxicity.subwords(words)
     for k, w in enumerate(words):
-        marked = f"<{w}>"
+        marked = f" {w} "
         assert (owner == k).sum() == 1 + sum(max(0, len(marked) - n + 1) for n in toxicity.GRAMS)
         alone = toxicity.subwords([w])[0]
         assert sorted(alone.tolist()) == sorted(bucket[owner == k].tolist())
@@ -61,13 +61,12 @@ def test_scores_equal_a_plain_rewrite(monkeypatch):
         logits = mean @ model.weights + model.bias
         return float(np.exp(logits[1]) / np.exp(logits).sum())
 
-    for t in texts:
-        assert abs(model.score(None if t is None else t.encode()) - by_hand(t)) < 1e-4
-    whole = [model.score(t.encode()) for t in texts if t]
+    as_bytes = [None if t is None else t.encode() for t in texts]
+    assert np.allclose(model.scores(as_bytes), [by_hand(t) for t in texts], atol=1e-4)
     monkeypatch.setattr(toxicity, "word_slices", lambda t, size: common.word_slices(t, 40))
-    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
-    assert np.allclose([model.score(t.encode()) for t in texts if t], whole, atol=1e-9)
-    assert pickle.loads(pickle.dumps(model)).remembered == {}
+    monkeypatch.setattr(toxicity, "_PIECE", 60)
+    assert np.allclose(model.scores(as_bytes), [by_hand(t) for t in texts], atol=1e-4)
+    assert model.scores([]).size == 0
 
 
 def test_odd_rows_and_missing_labels(spark, odd, empty):
