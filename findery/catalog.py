@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.functions import text as tx
+from findery.functions.shared import scratch
 from findery.functions.vectors import stand_in_embeddings
 from findery.operators import history as answers_history
-from findery.operators import answers, chunking, coverage, evaluate, fuse, keyword, logs, ops, permission, vector
+from findery.operators import answers, blockmax, chunking, coverage, evaluate, fuse, keyword, logs, ops, permission, vector
 from findery.plans import search
 from findery.sources import entities, files, metrics, tables
 from findery.streaming import jobs as job_stream
@@ -111,6 +112,36 @@ def bm25_topk_filtered(read):
     return keyword.bm25_topk(_items(read), _chunks(read), 10, candidates=_chunks(read).where("lang = 'en'"))
 
 
+def _kept_index(read) -> str:
+    """An index of all documents after three batches: a fifth came with another text first, and copies under other ids came and went."""
+    docs = _chunks(read).select("chunk_id", "text")
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "index")
+    stale = docs.withColumn("text", F.when(F.col("chunk_id") % 5 == 0, F.concat(F.substring("text", 1, 40), F.lit(" of an older version"))).otherwise(F.col("text")))
+    passing = docs.where("chunk_id % 7 = 0").select((-1 - F.col("chunk_id")).alias("chunk_id"), "text")
+    blockmax.apply_batch(spark, path, 0, stale.where("chunk_id % 3 > 0").union(passing))
+    blockmax.apply_batch(spark, path, 1, stale.where("chunk_id % 3 = 0"), passing.select("chunk_id"))
+    blockmax.apply_batch(spark, path, 2, docs.where("chunk_id % 5 = 0"))
+    return path
+
+
+@query(f"WITH {_BM25_CTE} SELECT query_id, chunk_id, score, matched_term_count, document_length, rank FROM kw WHERE rank <= 10")
+def bm25_stored_topk(read):
+    """``bm25_topk`` from a stored index with block-max pruning; no text is read once the index is there."""
+    return blockmax.search(_items(read), _kept_index(read), 10).rows
+
+
+@query(
+    f"""
+WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents),
+l AS (SELECT count(*) AS corpus_chunk_count, round_even(avg(coalesce(len({_TOKENS}), 0)), 4) AS average_document_length FROM documents)
+SELECT term, count(DISTINCT doc_id) AS document_frequency, corpus_chunk_count, average_document_length FROM t, l GROUP BY ALL
+"""
+)
+def bm25_incremental_stats(read):
+    """Statistics as sums of the changes of three batches, equal to those of a rebuild."""
+    return blockmax.statistics(read("documents").sparkSession, _kept_index(read))
+
+
 @query(
     f"""
 WITH t AS (SELECT lang AS policy, doc_id, unnest({_TOKENS}) AS term FROM documents),
