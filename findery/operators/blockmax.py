@@ -45,8 +45,8 @@ def _bucket(key: Column) -> Column:
 
 
 def _put(df: DataFrame, path: str, table: str, batch: int) -> None:
-    """Replace a batch's part of a table."""
-    own = df if table not in _BUCKETED else df.withColumn("bucket", _bucket(F.col("chunk_id" if table == "forward" else "term")))
+    """Replace a batch's part of a table; rows of a bucket meet in few files, large buckets are split."""
+    own = df if table not in _BUCKETED else df.withColumn("bucket", _bucket(F.col("chunk_id" if table == "forward" else "term"))).hint("rebalance", "bucket")
     own.write.mode("overwrite").partitionBy(*(["bucket"] if table in _BUCKETED else [])).parquet(f"{path}/{table}/batch={batch}")
 
 
