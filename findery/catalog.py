@@ -354,10 +354,49 @@ def metric_trend(read):
     return found.drop("tie")
 
 
-@query("SELECT user_id, CASE WHEN max(event_type = 'error') THEN 'failed' WHEN max(event_type = 'click') THEN 'running' WHEN max(event_type = 'view') THEN 'canceled' ELSE 'succeeded' END AS batch_status, count(*) AS runs FROM events GROUP BY 1")
+_RUN_STATUS = {"error": "failed", "click": "pending", "view": "canceled", "signup": "succeeded", "purchase": "skipped"}
+
+
+@query(
+    """
+WITH r AS (SELECT event_id % 7000 AS batch_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'canceled' WHEN 'signup' THEN 'succeeded' ELSE 'skipped' END AS status FROM events),
+b AS (SELECT batch_id, list_sort(list(DISTINCT status)) AS s, count(*) AS runs FROM r GROUP BY 1)
+SELECT batch_id, CASE WHEN s = ['succeeded'] THEN 'succeeded' WHEN list_contains(s, 'failed') THEN 'failed' WHEN list_has_any(s, ['running', 'pending']) THEN 'running' WHEN list_contains(s, 'canceled') THEN 'canceled' ELSE 'failed' END AS batch_status, runs FROM b
+"""
+)
 def batch_status(read):
-    state = F.create_map(*map(F.lit, ("error", "failed", "click", "running", "view", "canceled", "signup", "succeeded", "purchase", "succeeded")))
-    return evaluate.batch_status(read("events").select("user_id", F.element_at(state, F.col("event_type")).alias("status")), "user_id")
+    state = F.create_map(*[F.lit(x) for pair in _RUN_STATUS.items() for x in pair])
+    return evaluate.batch_status(read("events").select((F.col("event_id") % 7000).alias("batch_id"), F.element_at(state, F.col("event_type")).alias("status")), "batch_id")
+
+
+def _batch_runs(read) -> DataFrame:
+    """Orders as experiment runs, named by their batch and question."""
+    return read("orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.struct(
+            evaluate.batch_prefix(F.concat_ws(" / Q", "o_orderpriority", F.col("o_custkey").cast("string")), F.col("o_custkey")).alias("batch_prefix"),
+            F.when(F.col("o_orderstatus") == "F", "heading_512_64").alias("chunk_policy_name"),
+            F.array(F.lit("vector"), F.col("o_orderstatus")).alias("profile_names"),
+            (F.col("o_custkey") % 3 + 1).alias("question_set_id"),
+            F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.25)).alias("score_threshold"),
+            F.lit("hybrid").alias("strategy_name"),
+            F.lit(10).cast("long").alias("top_k"),
+        ).alias("batch"),
+    )
+
+
+@query(
+    """
+WITH r AS (SELECT '{"batch_prefix":"' || o_orderpriority || '","chunk_policy_name":' || CASE WHEN o_orderstatus = 'F' THEN '"heading_512_64"' ELSE 'null' END || ',"profile_names":["vector","' || o_orderstatus || '"],"question_set_id":' || (o_custkey % 3 + 1)
+    || ',"score_threshold":' || CASE WHEN o_orderkey % 2 = 0 THEN '0.25' ELSE 'null' END || ',"strategy_name":"hybrid","top_k":10}' AS j, o_orderpriority AS batch_prefix, o_custkey % 3 + 1 AS question_set_id FROM orders)
+SELECT rtrim(translate(base64(j::BLOB), '+/', '-_'), '=') AS batch_key, any_value(batch_prefix) AS batch_prefix, any_value(question_set_id) AS question_set_id, count(*) AS runs FROM r GROUP BY 1
+"""
+)
+def batch_identity(read):
+    """Batches by their key, with what the key decodes to."""
+    found = _batch_runs(read).groupBy(evaluate.batch_key(F.col("batch")).alias("batch_key")).agg(F.count("*").alias("runs"))
+    own = evaluate.batch_fields(F.col("batch_key"))
+    return found.select("batch_key", own["batch_prefix"].alias("batch_prefix"), own["question_set_id"].alias("question_set_id"), "runs")
 
 
 @query(
@@ -400,10 +439,11 @@ def latency_outliers(read):
     return logs.latency_outliers(_logs(read), 50.0, 100).select("log_id", "user_id", "elapsed_ms")
 
 
-@query("SELECT DISTINCT user_id AS log_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT DISTINCT o_custkey AS log_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.o_custkey AND event_type = 'purchase')")
 def no_result(read):
-    users = read("events").select(F.col("user_id").alias("log_id")).distinct()
-    return logs.without_results(users, read("events").where("event_type = 'purchase'").select(F.col("user_id").alias("log_id")))
+    """Customers as searches, purchases of users as results: most customers are no user."""
+    searches = read("orders").select(F.col("o_custkey").alias("log_id")).distinct()
+    return logs.without_results(searches, read("events").where("event_type = 'purchase'").select(F.col("user_id").alias("log_id")))
 
 
 @query("SELECT event_id AS log_id, unnest(json_keys(props)) AS profile_name, json_extract_string(props, '$.k') AS reason FROM events WHERE event_type = 'error'")
@@ -725,6 +765,32 @@ def snapshot_rollup(read):
     return found.select(F.col("event_type").alias("provider"), "snapshot_count", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss").alias("latest"), "latest_value", "mean_value", "max_value")
 
 
+_PIPELINE_EVENTS = ("created", "claimed", "heartbeat", "stage_started", "progress", "stage_succeeded", "failed", "retried", "canceled")
+
+
+def _pipeline_events(read) -> DataFrame:
+    """Events as those of pipeline jobs: all nine types in turn; jobs of a user and day, every other stage the last one."""
+    kinds = F.array(*map(F.lit, _PIPELINE_EVENTS))
+    return read("events").select(
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("job_id"), "event_id", F.get(kinds, (F.crc32(F.col("event_id").cast("string").cast("binary")) % 9).cast("int")).alias("event_type"),
+        F.when(F.col("event_id") % 2 == 0, "completed").otherwise("chunking").alias("stage"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").alias("worker"),
+    )
+
+
+@query(
+    """
+WITH e AS (SELECT user_id * 100 + day(ts) AS job_id, event_id, event_id % 9 AS kind, event_id % 2 = 0 AS last_stage, ts FROM events),
+s AS (SELECT *, CASE WHEN kind IN (0, 7) THEN 'queued' WHEN kind = 5 AND last_stage THEN 'succeeded' WHEN kind = 6 THEN 'failed' WHEN kind = 8 THEN 'canceled' ELSE 'running' END AS status FROM e)
+SELECT job_id, arg_max(status, (ts, event_id)) AS status, count(*) FILTER (WHERE kind = 1) AS attempts, count(*) AS events FROM s GROUP BY 1
+"""
+)
+def pipeline_job_states(read):
+    """Status of jobs from all nine types of event, null for none."""
+    kinds = F.array(*map(F.lit, _PIPELINE_EVENTS))
+    e = _pipeline_events(read).withColumn("event_type", F.get(kinds, (F.col("event_id") % 9).cast("int")))
+    return job_stream.job_state(e).select("job_id", "status", "attempts", "events")
+
+
 @query("SELECT user_id, max(event_id) AS last_event, count(*) AS events, count(*) FILTER (WHERE event_type = 'click') AS attempts FROM events GROUP BY 1")
 def job_states(read):
     kinds = F.create_map(*map(F.lit, ("view", "queued", "click", "claimed", "signup", "progress", "purchase", "succeeded", "error", "failed")))
@@ -978,10 +1044,10 @@ def chunks_by_size(read):
 
 @query(
     """WITH l AS (SELECT doc_id, trim(line) AS t, k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE trim(line) <> '')
-SELECT doc_id AS document_id, max(k)::BIGINT AS last_line, count(*) AS blocks, sum(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}]+')))::BIGINT AS tokens FROM l GROUP BY 1 HAVING tokens <= 1000"""
+SELECT doc_id AS document_id, max(k)::BIGINT AS last_line, count(*) AS blocks, sum(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}]+')))::BIGINT AS tokens FROM l GROUP BY 1 HAVING tokens <= 1000 OR blocks = 1"""
 )
 def chunk_anchors(read):
-    """Documents that fit one chunk: it reaches from their first to their last line and names all their blocks."""
+    """Documents that are one chunk, as they fit it or are one block, however long: it reaches from their first to their last line and names all their blocks."""
     found = chunking.chunk_documents(read("documents"), [chunking.POLICIES["heading_1000_200"]], "lines", "doc_id")
     whole = found.groupBy("document_id").agg(F.max("end_line").alias("last_line"), F.count("*").alias("chunks"), F.max(F.size("block_seqs")).cast("long").alias("blocks"), F.max("token_count").alias("tokens"))
     return whole.where("chunks = 1").drop("chunks")
@@ -1146,14 +1212,15 @@ r AS (SELECT query_id, 'vector_cosine' AS profile_name, chunk_id FROM vr WHERE r
 v AS (SELECT query_id, count(*) AS n FROM tg GROUP BY 1),
 m AS (SELECT query_id, profile_name, count(*) AS k FROM r JOIN tg USING (query_id, chunk_id) GROUP BY ALL)
 SELECT profile_name, count(*) AS question_count, count(n) AS evaluated_count, round(avg(CASE WHEN n > 0 THEN round(coalesce(k, 0) / n::DOUBLE, 6) END), 6) AS mean_recall_at_k
-FROM benchmark CROSS JOIN (SELECT DISTINCT profile_name FROM r) LEFT JOIN v ON v.query_id = item_id LEFT JOIN m USING (query_id, profile_name) GROUP BY 1"""
+FROM benchmark CROSS JOIN (SELECT unnest(['vector_cosine', 'bm25_keyword', 'hybrid_keyword_vector', 'never_built']) AS profile_name) LEFT JOIN v ON v.query_id = item_id LEFT JOIN m USING (query_id, profile_name) GROUP BY 1"""
 )
 def batch_metrics(read):
     _, results = _compared(read)
     questions = read("benchmark").select(F.col("item_id").alias("question_id"))
     like = questions.join(read("embeddings"), F.col("label") == F.col("question_id") % 10).join(read("labels"), F.col("doc_id") == F.col("vec_id"))
     targets = like.select("question_id", F.col("doc_id").alias("chunk_id"), F.col("quality").alias("grade"), F.lit("visible").alias("expectation"))
-    found = evaluate.question_metrics(questions, results.withColumnRenamed("log_id", "question_id"), targets, 10, by=["profile_name"])
+    profiles = read("benchmark").sparkSession.createDataFrame([(p,) for p in ("vector_cosine", "bm25_keyword", "hybrid_keyword_vector", "never_built")], "profile_name string")
+    found = evaluate.question_metrics(questions, results.withColumnRenamed("log_id", "question_id"), targets, 10, by=["profile_name"], groups=profiles)
     return evaluate.metric_summary(found, ["profile_name"]).select("profile_name", "question_count", "evaluated_count", "mean_recall_at_k")
 
 

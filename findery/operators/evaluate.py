@@ -22,9 +22,12 @@ def _gain(grade: Column, place: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(place + 1)
 
 
-def question_metrics(questions: DataFrame, results: DataFrame, targets: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+def question_metrics(questions: DataFrame, results: DataFrame, targets: DataFrame, k: int, by: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Metrics of every question (and of each value of ``by``), those without results or targets included.
 
+    ``groups`` has the values of ``by``, such as the profiles that were asked; without it they are those of the
+    results, and a profile that found nothing for any question would be missing.
+
     recall, reciprocal rank and nDCG are null without a visible target; then no_answer_success says
     whether nothing was found, and it is null otherwise.  Gains are discounted by the place in the sorted
     list, the reciprocal rank takes the stored rank, and a chunk found again gains nothing at its place.
@@ -51,7 +54,7 @@ def question_metrics(questions: DataFrame, results: DataFrame, targets: DataFram
     )
     base = questions.select("question_id").distinct()
     if by:
-        base = base.crossJoin(F.broadcast(results.select(*by).distinct()))
+        base = base.crossJoin((results if groups is None else groups).select(*by).distinct())  # every question under every profile
     rows = base.join(found, keys, "left").join(ideal, "question_id", "left")
     visible = F.coalesce("visible_count", F.lit(0))
     some = visible > 0
@@ -137,17 +140,39 @@ def metric_trend(snapshots: DataFrame, key: str, time: str, tie: str, metrics: l
     )
 
 
-def batch_key(profile_names: Column, question_set: Column, top_k: Column) -> Column:
-    """A name for a batch: base64url, without padding, of its sorted compact JSON."""
-    text = F.to_json(F.struct(F.array_sort(profile_names).alias("profiles"), question_set.alias("question_set"), top_k.alias("top_k")))
-    return F.rtrim(F.lit("="), F.translate(F.base64(text.cast("binary")), "+/", "-_"))
+#: What makes a batch of runs: these fields together, in the order of sorted JSON.
+BATCH_FIELDS = "batch_prefix string, chunk_policy_name string, profile_names array<string>, question_set_id long, score_threshold double, strategy_name string, top_k long"
+
+
+def batch_prefix(run_name: Column, question_id: Column) -> Column:
+    """A run's name without `` / Q`` and its question: of the run's own question if it ends so, else from the last such mark on."""
+    suffix = F.concat(F.lit(" / Q"), question_id.cast("string"))
+    last = F.regexp_extract(run_name, r"(?s)^(.*) / Q", 1)
+    return F.when(F.endswith(run_name, suffix), F.left(run_name, F.length(run_name) - F.length(suffix))).when(F.contains(run_name, F.lit(" / Q")), last).otherwise(run_name)
+
+
+def batch_key(fields: Column) -> Column:
+    """A name for a batch, from a struct with BATCH_FIELDS: base64url, without padding, of its sorted compact JSON with nulls; null without a question set."""
+    names = [f.split()[0] for f in BATCH_FIELDS.split(", ")]
+    text = F.to_json(F.struct(*[fields[n].alias(n) for n in names]), {"ignoreNullFields": "false"})
+    return F.when(fields["question_set_id"].isNotNull(), F.rtrim(F.translate(F.base64(text.cast("binary")), "+/\r\n", "-_"), F.lit("=")))
+
+
+def batch_fields(key: Column) -> Column:
+    """The struct that a key stands for; a key that is none, or without profiles, a question set or a positive top_k, is an error."""
+    padded = F.rpad(F.translate(key, "-_", "+/"), (F.ceil(F.length(key) / 4) * 4).cast("int"), F.lit("="))
+    bad = F.raise_error(F.concat(F.lit("not a batch key: "), key))
+    found = F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), BATCH_FIELDS)
+    good = (found["question_set_id"] > 0) & (found["top_k"] > 0) & found["profile_names"].isNotNull()
+    return F.when(F.coalesce(good, F.lit(False)), found).otherwise(bad.cast(f"struct<{', '.join(f.replace(' ', ':', 1) for f in BATCH_FIELDS.split(', '))}>"))
 
 
 def batch_status(statuses: DataFrame, key: str) -> DataFrame:
-    """(key, status, runs): of the runs' statuses, failed before running before canceled before succeeded."""
-    has = lambda s: F.max(F.col("status") == s)
+    """(key, batch_status, runs) of the runs' statuses: succeeded if all are; else failed, then running (pending too), then canceled; failed for anything else."""
+    has = lambda *s: F.coalesce(F.max(F.col("status").isin(*s)), F.lit(False))
+    all_good = F.min(F.coalesce(F.col("status") == "succeeded", F.lit(False)))
     return statuses.groupBy(key).agg(
-        F.when(has("failed"), "failed").when(has("running"), "running").when(has("canceled"), "canceled").otherwise("succeeded").alias("batch_status"), F.count("*").alias("runs")
+        F.when(all_good, "succeeded").when(has("failed"), "failed").when(has("running", "pending"), "running").when(has("canceled"), "canceled").otherwise("failed").alias("batch_status"), F.count("*").alias("runs")
     )
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SAMPLE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+\d+)?$"
+_LABEL = r'[A-Za-z_][A-Za-z0-9_]*="(?:[^"\\]|\\.)*"'
 
 
 def prometheus_samples(lines: DataFrame, line: str = "value") -> DataFrame:
     """(name, labels map, value, and the other columns) of exposition text, a line a row; comments and non-finite values are left out.
 
-    A line that is no sample fails the query, as a scrape that cannot be read must not pass for an empty one.
+    A line that is no sample, and labels that are broken or named twice, fail the query, as a scrape that cannot be
+    read must not pass for an empty one.  In label values a backslash stands before itself, a quote, or n for a new line.
     """
     text = F.trim(F.col(line))
     own = lines.where((text != "") & ~text.startswith("#"))
@@ -20,8 +22,14 @@ def prometheus_samples(lines: DataFrame, line: str = "value") -> DataFrame:
     finite, endless = number.try_cast("double"), F.lower(number).isin("nan", "+inf", "-inf", "inf")
     broken = F.raise_error(F.concat(F.lit("not a metric sample: "), text)).cast("double")
     value = F.when(endless, None).when(finite.isNull(), broken).otherwise(finite)
-    pairs = F.regexp_extract_all(F.regexp_extract(text, _SAMPLE, 2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*="(?:[^"\\]|\\.)*")'), 1)
-    labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]+)=", 1), F.regexp_extract(p, '="(.*)"$', 1))))
+    inside = F.regexp_extract(text, _SAMPLE, 2)
+    pairs = F.regexp_extract_all(inside, F.lit(f"({_LABEL})"), 1)
+    plain = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]+)=", 1), plain(F.regexp_extract(p, '(?s)="(.*)"$', 1))))
+    names = F.transform(entries, lambda e: e["col1"])
+    whole = inside.rlike(rf"^\s*(?:{_LABEL}\s*(?:,\s*{_LABEL}\s*)*,?\s*)?$") & (F.size(F.array_distinct(names)) == F.size(names))
+    wrong = F.raise_error(F.concat(F.lit("not the labels of a metric: "), text)).cast("map<string,string>")
+    labels = F.when(whole, F.map_from_entries(entries)).otherwise(wrong)
     others = [c for c in lines.columns if c != line]
     return own.select(*others, name.alias("name"), labels.alias("labels"), value.alias("value")).where("value IS NOT NULL")
 

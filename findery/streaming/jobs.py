@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: What each event makes of its job.
-STATE_OF = {"queued": "queued", "claimed": "running", "heartbeat": "running", "progress": "running", "succeeded": "succeeded", "failed": "failed", "retried": "queued", "deferred": "queued", "canceled": "canceled"}
+#: What each event makes of its job: nine of pipeline jobs, and three that embedding jobs have besides.
+STATE_OF = {
+    "created": "queued", "claimed": "running", "heartbeat": "running", "stage_started": "running", "progress": "running", "stage_succeeded": "running", "failed": "failed", "retried": "queued", "canceled": "canceled",
+    "queued": "queued", "succeeded": "succeeded", "deferred": "queued",
+}
+#: The last stage of a pipeline job: when it succeeds, the job has.
+LAST_STAGE = "completed"
+
+
+def state_of(event_type: Column, stage: Column | None = None) -> Column:
+    """The status after an event; an unknown type is an error."""
+    pairs = F.create_map(*[x for pair in STATE_OF.items() for x in map(F.lit, pair)])
+    known = F.coalesce(F.try_element_at(pairs, event_type), F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce(event_type, F.lit("null")))))
+    return known if stage is None else F.when((event_type == "stage_succeeded") & (stage == LAST_STAGE), "succeeded").otherwise(known)
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """(job_id, status, attempts, last_event_at, events) from (job_id, event_id, event_type, at): the latest event decides.
+    """(job_id, status, attempts, last_event_at, events) from (job_id, event_id, event_type, at) and stage, if there: the latest event decides.
 
     A plain aggregate, so it runs on a table as well as on a stream in update mode; repeated events
     count once if dropped before, by event_id.
     """
-    pairs = [x for pair in STATE_OF.items() for x in map(F.lit, pair)]
-    state = F.element_at(F.create_map(*pairs), F.col("event_type"))
+    state = state_of(F.col("event_type"), F.col("stage") if "stage" in events.columns else None)
     return events.groupBy("job_id").agg(
         F.max_by(state, F.struct("at", "event_id")).alias("status"), F.count_if(F.col("event_type") == "claimed").alias("attempts"), F.max("at").alias("last_event_at"), F.count("*").alias("events")
     )
