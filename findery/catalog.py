@@ -16,7 +16,7 @@ from findery.functions import text as tx
 from findery.functions.shared import scratch
 from findery.functions.vectors import stand_in_embeddings
 from findery.operators import history as answers_history
-from findery.operators import answers, blockmax, chunking, coverage, evaluate, fuse, keyword, logs, ops, permission, vector
+from findery.operators import answers, blockmax, chunking, coverage, evaluate, fuse, inverted, keyword, logs, ops, permission, temporal, vector
 from findery.plans import search
 from findery.sources import entities, files, metrics, tables
 from findery.streaming import jobs as job_stream
@@ -96,6 +96,40 @@ def _vector_queries(read) -> DataFrame:
     return _vectors(read).select(F.col("chunk_id").alias("query_id"), "embedding").join(F.broadcast(_items(read)), "query_id")
 
 
+# --- as-of and interval joins ---
+
+
+def _order_times(read) -> DataFrame:
+    """Orders as prices of users: placed in the month of the events, one every few minutes."""
+    minutes = (F.col("o_orderkey") * 37) % 43_200
+    return read("orders").select((F.col("o_custkey") % 150).alias("user_id"), F.timestamp_seconds(F.lit(1_704_067_200) + 60 * minutes).alias("placed_at"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("price"))
+
+
+_ORDER_TIMES = "o AS (SELECT o_custkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37) % 43200) AS placed_at, o_orderkey AS order_id, o_totalprice AS price FROM orders)"
+
+
+@query(
+    f"WITH {_ORDER_TIMES}, u AS (SELECT user_id, placed_at, max(order_id) AS order_id, arg_max(price, order_id) AS price FROM o GROUP BY ALL)"
+    " SELECT event_id, e.user_id, order_id, price FROM events e ASOF LEFT JOIN u ON e.user_id = u.user_id AND e.ts >= u.placed_at"
+)
+def latest_order(read):
+    """Each event with the latest order of its user at that time."""
+    found = temporal.as_of(read("events"), _order_times(read), ["user_id"], "ts", "placed_at", ["order_id", "price"], "order_id")
+    return found.select("event_id", "user_id", "order_id", "price")
+
+
+@query(
+    f"WITH {_ORDER_TIMES}, w AS (SELECT *, placed_at + to_minutes((order_id % 7) * (order_id % 11) * 40) AS until_at FROM o)"
+    " SELECT order_id, count(*) AS events, min(event_id) AS first_event FROM events e JOIN w ON e.user_id = w.user_id AND e.ts >= placed_at AND e.ts < until_at GROUP BY 1"
+)
+def events_during_orders(read):
+    """Events of a user while an order is open: from none to over two days, by its number."""
+    minutes = (F.col("order_id") % 7) * (F.col("order_id") % 11) * 40
+    windows = _order_times(read).withColumn("until_at", F.timestamp_seconds(F.unix_seconds("placed_at") + 60 * minutes))
+    found = temporal.interval_join(read("events"), windows, ["user_id"], "ts", "placed_at", "until_at")
+    return found.groupBy("order_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
 # --- keyword and vector search, fusion ---
 
 
@@ -158,6 +192,24 @@ def bm25_postings(read):
     return keyword.postings(_chunks(read))
 
 
+def _inverted(read) -> str:
+    path = scratch(read("embeddings").sparkSession, "lists")
+    inverted.build(_vectors(read), path)
+    return path
+
+
+@query()
+def ann_topk(read):
+    """Approximate neighbours from the lists next to each query; tests measure recall against ``vector_topk``."""
+    return inverted.search(_vector_queries(read), _inverted(read), 10)
+
+
+@query(f"WITH {_COSINE_CTE} SELECT query_id, chunk_id, score, round(1 - score, 6) AS distance, rank FROM vr WHERE rank <= 10")
+def ann_topk_all_lists(read):
+    """The exact way of the same index: all lists are probed."""
+    return inverted.search(_vector_queries(read), _inverted(read), 10, probes=None)
+
+
 @query(f"WITH {_COSINE_CTE} SELECT query_id, chunk_id, score, round(1 - score, 6) AS distance, rank FROM vr WHERE rank <= 10")
 def vector_topk(read):
     return vector.vector_topk(_vector_queries(read), _vectors(read), 10)
