@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a coarse quantiser, inverted lists as partitions, exact scores in the lists probed.
 
-Centroids are fitted in numpy on a bounded sample; every vector is stored in the partition of its nearest one.  A search
-reads the partitions of the centroids next to its queries and no others, and scores what it reads exactly.  With all lists
-probed the result is that of ``vector_topk``.
+Centroids are fitted in numpy on a bounded sample; every vector is stored in the partition of its nearest one.  How many
+lists a query must probe is measured on the same sample: clustered vectors need few, vectors without clusters many.  A
+search reads the partitions of the centroids next to its queries and no others, and scores what it reads exactly.  With
+all lists probed the result is that of ``vector_topk``.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ SAMPLE = 20_000
 LISTS = 4096
 #: Rounds of k-means.
 ROUNDS = 12
-#: Lists that a query probes.
-PROBES = 8
+#: The share of the ten nearest of sampled queries that the lists probed must hold, and how many queries are sampled.
+RECALL, TRIED = 0.95, 400
 #: The list of vectors of another length than the centroids', and of zero vectors, which have no cosine; it is always read.
 REST = -1
 
@@ -59,6 +60,21 @@ def fit(sample: np.ndarray, lists: int) -> np.ndarray:
     return centroids
 
 
+def fitted_probes(sample: np.ndarray, centroids: np.ndarray) -> int:
+    """The fewest lists whose vectors hold RECALL of the ten nearest of sampled queries, themselves left out.
+
+    Neighbours within a sample are farther than those among all vectors, so the number is rather too large.
+    """
+    own = np.concatenate([nearest_lists(sample[k : k + 4096], centroids, 1)[:, 0] for k in range(0, len(sample), 4096)])
+    tried = np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)
+    near = (sample * sample).sum(1)[None, :] - 2 * (sample[tried] @ sample.T)
+    near[np.arange(len(tried)), tried] = np.inf
+    near = np.argsort(near, axis=1, kind="stable")[:, : min(10, len(sample) - 1)]
+    place = np.argsort(nearest_lists(sample[tried], centroids, len(centroids)), axis=1)  # of each list in each query's order
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1 if len(needed) else 1
+
+
 def build(vectors: DataFrame, path: str, metric: str = "cosine", key: str = "chunk_id", vector: str = "embedding") -> None:
     """Write ``vectors`` below ``path`` by list, and the centroids.
 
@@ -72,9 +88,11 @@ def build(vectors: DataFrame, path: str, metric: str = "cosine", key: str = "chu
     usable = vectors.where(F.col(key).isNotNull() & is_finite(F.col(vector))).select(F.col(key).cast("long").alias("chunk_id"), F.col(vector).cast("array<double>").alias("embedding"))
     drawn = [r.embedding for r in usable.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()]
     dimension = len(drawn[0]) if drawn else 0
-    sample = np.array([v for v in drawn if len(v) == dimension and _placed(v, metric)], np.float64).reshape(-1, dimension)
+    fitting = [v for v in drawn if len(v) == dimension and _placed(v, metric)]
+    sample = np.array(fitting, np.float64).reshape(len(fitting), dimension)
     many = min(LISTS, max(1, int(usable.count() ** 0.5)), max(1, len(np.unique(sample, axis=0))))
     centroids = fit(_unit(sample, metric), many) if len(sample) else np.zeros((0, dimension))
+    probes = fitted_probes(_unit(sample, metric), centroids) if len(sample) else 1
     shared = spark.sparkContext.broadcast(centroids)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,18 +107,20 @@ def build(vectors: DataFrame, path: str, metric: str = "cosine", key: str = "chu
 
     rows = usable.mapInArrow(listed, "chunk_id long, embedding array<double>, list int")
     rows.hint("rebalance", "list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
-    head = [(k, metric, c.tolist()) for k, c in enumerate(centroids)] or [(REST, metric, [])]
-    spark.createDataFrame(head, "list int, metric string, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    head = [(k, metric, probes, c.tolist()) for k, c in enumerate(centroids)] or [(REST, metric, probes, [])]
+    spark.createDataFrame(head, "list int, metric string, probes int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
-def _centroids(spark: SparkSession, path: str) -> tuple[str, np.ndarray]:
+def _centroids(spark: SparkSession, path: str) -> tuple[str, int, np.ndarray]:
     rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r.list)  # LISTS rows at most
     own = [r.centroid for r in rows if r.list != REST]
-    return rows[0].metric, np.array(own, np.float64).reshape(len(own), -1)
+    return rows[0].metric, rows[0].probes, np.array(own, np.float64).reshape(len(own), -1)
+
 
+def search(queries: DataFrame, path: str, k: int, probes: int | str = "fitted", vector: str = "embedding") -> DataFrame:
+    """Ranked (query_id, chunk_id, score, distance, rank) from the lists next to each query, as ``vector_topk`` ranks.
 
-def search(queries: DataFrame, path: str, k: int, probes: int | None = PROBES, vector: str = "embedding") -> DataFrame:
-    """Ranked (query_id, chunk_id, score, distance, rank) from the ``probes`` lists next to each query, as ``vector_topk`` ranks; None probes all.
+    ``probes`` is how many lists a query probes, "fitted" for the number measured when the index was built, or "all".
 
     Queries come in blocks of bounded size, with the lists that each probes; a task keeps k results of each query and
     list.  Queries of another length than the centroids meet the vectors of their own length only.
@@ -108,8 +128,8 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = PROBES, v
     if not 1 <= k <= 100:
         raise ValueError("k is 1 to 100")
     spark = queries.sparkSession
-    metric, centroids = _centroids(spark, path)
-    n = len(centroids) if probes is None else min(probes, len(centroids))
+    metric, fitted, centroids = _centroids(spark, path)
+    n = min({"fitted": fitted, "all": len(centroids)}.get(probes, probes), len(centroids))
     stored = spark.read.schema("chunk_id long, embedding array<double>, list int").parquet(f"{path}/lists")
     rows = queries.where(F.col("query_id").isNotNull() & is_finite(F.col(vector))).select(F.col("query_id").cast("long"), F.col(vector).cast("array<double>").alias("v"))
     count, size = rows.agg(F.count("*"), F.sum(F.size("v")) * 8).first()
