@@ -20,6 +20,7 @@ from findery.operators import answers, blockmax, chunking, coverage, evaluate, f
 from findery.plans import search
 from findery.sources import entities, files, metrics, tables
 from findery.streaming import jobs as job_stream
+from findery.streaming import machine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -843,6 +844,12 @@ def pipeline_job_states(read):
     return job_stream.job_state(e).select("job_id", "status", "attempts", "events")
 
 
+@query()
+def job_leases(read):
+    """Jobs with attempts, leases and refused events at the end of the month; the stream of the same name is tested to agree."""
+    return machine.job_table(_pipeline_events(read), as_of())
+
+
 @query("SELECT user_id, max(event_id) AS last_event, count(*) AS events, count(*) FILTER (WHERE event_type = 'click') AS attempts FROM events GROUP BY 1")
 def job_states(read):
     kinds = F.create_map(*map(F.lit, ("view", "queued", "click", "claimed", "signup", "progress", "purchase", "succeeded", "error", "failed")))

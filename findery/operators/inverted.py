@@ -114,7 +114,7 @@ def build(vectors: DataFrame, path: str, metric: str = "cosine", key: str = "chu
 def _centroids(spark: SparkSession, path: str) -> tuple[str, int, np.ndarray]:
     rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r.list)  # LISTS rows at most
     own = [r.centroid for r in rows if r.list != REST]
-    return rows[0].metric, rows[0].probes, np.array(own, np.float64).reshape(len(own), -1)
+    return rows[0].metric, rows[0].probes, np.array(own, np.float64).reshape(len(own), len(own[0]) if own else 0)
 
 
 def search(queries: DataFrame, path: str, k: int, probes: int | str = "fitted", vector: str = "embedding") -> DataFrame:
