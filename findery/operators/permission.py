@@ -7,29 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findery.functions.shared import scratch, written
+
 SCOPES = ("personal", "team", "managed_org", "company")
 MANAGER_ROLES = ("group_lead", "division_lead", "company_lead")
 
 
 def org_closure(units: DataFrame) -> DataFrame:
-    """(unit_id, ancestor_id, depth): every unit with itself at depth 0 and all units above it.
+    """(unit_id, ancestor_id, depth): every unit with itself at depth 0 and all units above it, whatever the depth; written once.
 
-    A tree deeper than spark.sql.cteRecursionLevelLimit (100), or a circle, is an error, never a cut.
+    Paths double: round k joins each unit with the one 2 to the k above it, so there are about log2(depth) rounds, and
+    each reads tables in the shared folder.  A parent that is no unit is an ancestor like any other.  A circle is an
+    error: in it no unit runs out of ancestors.
     """
     spark: SparkSession = units.sparkSession
-    units.select("unit_id", "parent_id").createOrReplaceTempView("findery_units")
-    return spark.sql(
-        """
-        WITH RECURSIVE up(unit_id, ancestor_id, depth) AS (
-            SELECT unit_id, unit_id, 0 FROM findery_units
-            UNION ALL
-            SELECT up.unit_id, u.parent_id, depth + 1
-            FROM up JOIN findery_units u ON up.ancestor_id = u.unit_id
-            WHERE u.parent_id IS NOT NULL
-        )
-        SELECT unit_id, ancestor_id, CAST(depth AS BIGINT) AS depth FROM up
-        """
-    )
+    own = written(units.where("unit_id IS NOT NULL").select(F.col("unit_id").cast("long").alias("unit_id"), F.col("parent_id").cast("long").alias("parent_id")), scratch(spark, "units"))
+    jump = own.where("parent_id IS NOT NULL").select(F.col("unit_id").alias("low"), F.col("parent_id").alias("high")).distinct()
+    ids = own.select("unit_id").union(own.where("parent_id IS NOT NULL").select("parent_id")).distinct()
+    most = ids.count()
+    closure = written(ids.select("unit_id", F.col("unit_id").alias("ancestor_id"), F.lit(0).cast("long").alias("depth")), scratch(spark, "closure"))
+    reach = 1
+    while True:
+        jump = written(jump, scratch(spark, "jump"))
+        if not jump.limit(1).count():
+            break
+        if reach > most:
+            raise ValueError("the units form a circle")
+        further = jump.join(closure.withColumnRenamed("unit_id", "mid"), F.col("high") == F.col("mid")).select(F.col("low").alias("unit_id"), "ancestor_id", (F.col("depth") + reach).alias("depth"))
+        closure = written(closure.union(further), scratch(spark, "closure"))
+        jump = jump.join(jump.select(F.col("low").alias("mid"), F.col("high").alias("next")), F.col("high") == F.col("mid")).select("low", F.col("next").alias("high"))
+        reach *= 2
+    return closure.join(own.select("unit_id").distinct(), "unit_id", "left_semi")
 
 
 def org_paths(units: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def grants(actor_rows: DataFrame, requests: DataFrame, closure: DataFrame, membe
     """
     r = requests.join(actor_rows, "user_id")
     effective = F.when((F.col("requested_scope") == "managed_org") & F.col("managed_root").isNull(), "team").otherwise(F.col("requested_scope"))
-    r = r.withColumn("effective_scope", effective)
+    r = written(r.withColumn("effective_scope", effective), scratch(requests.sparkSession, "requests"))  # read by each branch below
     everything = (F.col("role_name") == "admin") & (F.col("effective_scope") == "company")
     some = r.where(~everything)
     wide = some.where(F.col("effective_scope").isin("team", "managed_org", "company"))

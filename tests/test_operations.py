@@ -189,6 +189,21 @@ def test_deep_organisations_are_whole(spark):
     assert sorted((r.ancestor_id, r.depth) for r in top.collect()) == [(k, 49 - k) for k in range(50)]
 
 
+def test_chains_of_any_length_and_circles(spark):
+    n = 5000
+    units = spark.createDataFrame([(k, k - 1 if k else None) for k in range(n)] + [(9000, 8999), (9001, None)], "unit_id long, parent_id long")
+    closure = permission.org_closure(units)
+    assert closure.count() == n * (n + 1) // 2 + 3
+    top = closure.where(f"unit_id = {n - 1}").agg(F.max("depth"), F.min("ancestor_id"), F.count("*"), F.count_distinct("ancestor_id")).first()
+    assert tuple(top) == (n - 1, 0, n, n)
+    assert sorted((r.ancestor_id, r.depth) for r in closure.where("unit_id = 9000").collect()) == [(8999, 1), (9000, 0)]
+    assert "UnionLoop" not in closure._jdf.queryExecution().executedPlan().toString()
+    for circle in ([(1, 2), (2, 3), (3, 1), (4, 1)], [(1, 1)]):
+        with pytest.raises(ValueError, match="circle"):
+            permission.org_closure(spark.createDataFrame(circle, "unit_id long, parent_id long"))
+    assert permission.org_closure(units.limit(0)).count() == 0
+
+
 def test_context_queries_use_the_defaults(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(answers, "context_packages", lambda rows, *limits: seen.append(limits) or rows)
