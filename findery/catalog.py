@@ -16,7 +16,7 @@ from findery.functions import text as tx
 from findery.functions.shared import scratch
 from findery.functions.vectors import stand_in_embeddings
 from findery.operators import history as answers_history
-from findery.operators import answers, blockmax, chunking, coverage, evaluate, fuse, inverted, keyword, logs, ops, permission, temporal, vector
+from findery.operators import answers, blockmax, chunking, coverage, evaluate, fuse, inverted, keyword, logs, ops, permission, sketches, temporal, vector
 from findery.plans import search
 from findery.sources import entities, files, metrics, tables
 from findery.streaming import jobs as job_stream
@@ -512,6 +512,66 @@ def duplicate_conditions(read):
     return logs.duplicate_conditions(own, ["condition"], "doc_id", "doc_id")
 
 
+@query(
+    """
+WITH r AS (SELECT l_orderkey AS event_id, count(*) AS n FROM lineitem GROUP BY 1), l AS (SELECT e.*, hour(ts) AS at_hour, coalesce(n, 0) AS n FROM events e LEFT JOIN r USING (event_id))
+SELECT user_id, event_type, at_hour, count(*) AS uses, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS latest_id, count(*) FILTER (WHERE n = 0) AS zero_result_count,
+    count(*) FILTER (WHERE event_type = 'error') AS runtime_failure_count, round(avg(value), 6) AS average_elapsed_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_created_at
+FROM l GROUP BY ALL HAVING count(*) > 1
+"""
+)
+def duplicate_report(read):
+    own = _logs(read).withColumns({"at_hour": F.hour("created_at"), "failures": F.when(F.col("failed"), F.col("props")).otherwise("{}")})
+    found = logs.duplicate_report(own, read("lineitem").select(F.col("l_orderkey").alias("log_id")), ["user_id", "event_type", "at_hour"], "failures")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_created_at", "latest_created_at")})
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s GROUP BY user_id, k
+"""
+)
+def user_sessions(read):
+    found = job_stream.sessions(read("events").withColumnRenamed("ts", "at"), "user_id", "2 hours")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("session_start", "session_end")})
+
+
+@query(
+    """
+WITH e AS (SELECT user_id, event_id, ts, event_type FROM events)
+SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'
+"""
+)
+def views_followed(read):
+    """Views with the purchases of the same user up to three hours later; the same function joins two streams."""
+    e = read("events").withColumnRenamed("ts", "at")
+    return job_stream.followed(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "3 HOURS")
+
+
+@query(
+    """
+WITH w AS (SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, user_id, value FROM events)
+SELECT event_type, week, count(*) AS events, true AS people_within_bound, true AS quantiles_within_bound FROM w GROUP BY ALL
+"""
+)
+def weekly_sketches(read):
+    """Weeks merged from stored days; distinct users and quantiles are held against the exact ones in the same row."""
+    e = read("events")
+    path = scratch(e.sparkSession, "daily")
+    sketches.daily(e, ["event_type"], "ts", "user_id", "value").write.parquet(path)
+    week = F.date_format(F.date_trunc("week", "day"), "yyyy-MM-dd").alias("week")
+    shares = {"p50": 0.5, "p95": 0.95}
+    found = sketches.read_out(sketches.merged(e.sparkSession.read.parquet(path), ["event_type", week]), shares)
+    own = e.select(F.col("event_type").alias("t"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("w"), "user_id", "value")
+    both = own.join(found, (F.col("t") == F.col("event_type")) & (F.col("w") == F.col("week")))
+    rank = {n: F.count_if(F.col("value") < F.col(n)) / F.count("*") <= s + 0.0333 for n, s in shares.items()} | {f"{n}_": F.count_if(F.col("value") <= F.col(n)) / F.count("*") >= s - 0.0333 for n, s in shares.items()}
+    checked = both.groupBy("event_type", "week", "events", "people").agg(F.count_distinct("user_id").alias("exact"), *[c.alias(n) for n, c in rank.items()])
+    near = F.abs(F.col("people") - F.col("exact")) <= 0.05 * F.col("exact")
+    return checked.select("event_type", "week", "events", near.alias("people_within_bound"), (F.col("p50") & F.col("p50_") & F.col("p95") & F.col("p95_")).alias("quantiles_within_bound"))
+
+
 @query(
     """
 WITH p AS (SELECT DISTINCT c_custkey AS profile FROM customer), f AS (SELECT user_id AS profile, event_type FROM events)

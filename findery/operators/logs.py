@@ -40,6 +40,29 @@ def duplicate_conditions(logs: DataFrame, condition: list[str], at: str, key: st
     )
 
 
+def duplicate_report(logs: DataFrame, results: DataFrame, condition: list[str], failures: str, least: int = 2, limit: int | None = None) -> DataFrame:
+    """Conditions used at least ``least`` times: uses, first and latest log and time, uses without results, with failures, and their mean time.
+
+    ``failures`` is a JSON object of a log's failed profiles; null and ``{}`` are none.  The mean leaves out logs without a
+    time.  ``limit`` keeps the conditions of most uses, the latest first among equals.
+    """
+    counted = results.groupBy("log_id").agg(F.count("*").alias("result_count"))
+    own = logs.join(counted, "log_id", "left")
+    key = F.struct("created_at", "log_id")
+    failed = F.size(F.coalesce(F.json_object_keys(failures), F.array().cast("array<string>"))) > 0
+    found = own.groupBy(*condition).agg(
+        F.count("*").alias("uses"),
+        F.min_by("log_id", key).alias("first_id"),
+        F.max_by("log_id", key).alias("latest_id"),
+        F.count_if(F.coalesce("result_count", F.lit(0)) == 0).alias("zero_result_count"),
+        F.count_if(failed).alias("runtime_failure_count"),
+        F.round(F.avg("elapsed_ms"), 6).alias("average_elapsed_ms"),
+        F.min("created_at").alias("first_created_at"),
+        F.max("created_at").alias("latest_created_at"),
+    ).where(F.col("uses") >= least)
+    return found if limit is None else found.orderBy(F.desc("uses"), F.desc("latest_created_at"), F.desc("latest_id")).limit(limit)
+
+
 def operations_summary(logs: DataFrame, as_of: Column, lookback_hours: int, condition: list[str], slow_ms: float) -> DataFrame:
     """One row: searches in the time before ``as_of``, failures, slow ones, and how often conditions repeat."""
     recent = logs.where((F.col("created_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(lookback_hours))) & (F.col("created_at") <= as_of))

@@ -45,6 +45,26 @@ def windowed_counts(events: DataFrame, width: str, late: str = "1 day") -> DataF
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
+def sessions(events: DataFrame, key: str, gap: str, late: str = "1 day") -> DataFrame:
+    """(key, session_start, session_end, n): runs of a key's events with less than ``gap`` between them; the end is a gap after the last.
+
+    On a stream in append mode a session comes out when the watermark has passed its end, and its state goes.
+    """
+    grouped = events.withWatermark("at", late).groupBy(key, F.session_window("at", gap).alias("session")).agg(F.count("*").alias("n"))
+    return grouped.select(key, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "n")
+
+
+def followed(first: DataFrame, then: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
+    """(key, first_id, then_id) of each (key, event_id, at) with those of ``then`` of the same key from its time on, up to ``within`` later.
+
+    Both sides may be streams: watermarks and the range of time bound how long rows are kept; rows later than that are left out.
+    """
+    a = first.withWatermark("at", late).select(F.col(key), F.col("event_id").alias("first_id"), F.col("at").alias("first_at"))
+    b = then.withWatermark("at", late).select(F.col(key).alias("of"), F.col("event_id").alias("then_id"), F.col("at").alias("then_at"))
+    near = (F.col(key) == F.col("of")) & (F.col("then_at") >= F.col("first_at")) & (F.col("then_at") <= F.col("first_at") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select(key, "first_id", "then_id")
+
+
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there now and stop: a bounded batch worker whose place is in the checkpoint."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
