@@ -30,15 +30,37 @@ _BSD_CONDITIONS = (
     "[[1. ]]Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "[[2. ]]Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
-_GNU_WARRANTY = (
-    "This {{3}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
-    "See the GNU [[Lesser ]][[Affero ]]General Public License for more details"
-)
 _COPYRIGHT = "Copyright [[(c) ]][[© ]]{{8}} [[All rights reserved ]]"
 
+# Identifiers of the SPDX list, by label.
+SPDX = {
+    "agpl": ["AGPL-3.0"], "apache-2.0": ["Apache-2.0"], "boost": ["BSL-1.0"], "bsd": ["0BSD", "BSD-2-Clause", "BSD-3-Clause"], "cc-by": ["CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"],
+    "cc0": ["CC0-1.0"], "epl": ["EPL-1.0", "EPL-2.0"], "eupl": ["EUPL-1.1", "EUPL-1.2"], "gpl": ["GPL-2.0", "GPL-3.0"], "isc": ["ISC"], "lgpl": ["LGPL-2.0", "LGPL-2.1", "LGPL-3.0"], "mit": ["MIT", "MIT-0"], "mpl-2.0": ["MPL-2.0"], "unlicense": ["Unlicense"], "zlib": ["Zlib"],
+}
+
+
+def _gnu(kind: str) -> list[str]:
+    """Notices and the head of a GNU licence; ``kind`` is what stands before General."""
+    name = f"GNU {kind}General Public License"
+    warranty = (
+        "This {{3}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the {name} for more details"
+    )
+    return [
+        f"[[This {{{{3}}}} is ]]licensed under the {name}[[, version {{{{1}}}}]][[ or [[at your option ]]any later version]]",
+        f"under the terms of the {name} as published by the Free Software Foundation",
+        f"This {{{{3}}}} is free software[[;]][[:]] you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation[[;]] "
+        f"either version {{{{3}}}} of the License, or [[(at your option) ]]any later version. {warranty}",
+        f"{name} Version {{{{2}}}} {{{{2}}}} {{{{1}}}} Copyright (C) {{{{12}}}} Free Software Foundation",
+    ]
+
+
 # Wording of public licences and of notices that refer to them.  [[ ... ]] may be missing, {{n}} stands for 1 to n words.
 TEMPLATES = {
     "apache-2.0": [
+        "Apache License Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document",
         "Licensed under the Apache License[[, Version 2.0]][[ (the License); you may not use this file except in compliance with the License]]",
         "[[This work is ]]licensed under [[the ]]Apache 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at {{12}} "
@@ -46,6 +68,7 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License",
     ],
     "mit": [
+        "MIT License",
         "released under the MIT License",
         "licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software), ]]to deal in the Software without restriction",
@@ -54,23 +77,31 @@ TEMPLATES = {
         "subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph) ]]shall be included in all copies or substantial portions of the Software. "
         + _PERMISSIVE_WARRANTY,
     ],
-    "gpl": [
-        "[[This {{3}} is ]]licensed under the GNU [[Lesser ]][[Affero ]]General Public License[[, version {{1}}]][[ or [[at your option ]]any later version]]",
-        "under the terms of the GNU [[Lesser ]][[Affero ]]General Public License as published by the Free Software Foundation",
-        "This {{3}} is free software[[;]][[:]] you can redistribute it and/or modify it under the terms of the GNU [[Lesser ]][[Affero ]]General Public License as published by the Free Software Foundation[[;]] "
-        f"either version {{{{3}}}} of the License, or [[(at your option) ]]any later version. {_GNU_WARRANTY}",
+    "gpl": _gnu(""),
+    "lgpl": _gnu("Lesser ") + _gnu("Library "),
+    "agpl": _gnu("Affero "),
+    "epl": [
+        "Eclipse Public License[[ -]] v[[ersion]] {{2}}",
+        "under the terms of the Eclipse Public License[[ v]][[ version]] {{2}}",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License[[ v]][[ version]] {{2}} which is available at {{12}}",
+        "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (AGREEMENT). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT",
     ],
+    "eupl": ["Licensed under the EUPL[[, Version {{2}}]]", "European Union Public Licence[[ v]][[ version]] {{2}}"],
     "cc-by": [
+        "Creative Commons Attribution[[-NonCommercial]][[-ShareAlike]][[-NoDerivatives]] {{2}} International",
+        "Creative Commons Attribution[[-NonCommercial]][[-ShareAlike]][[-NoDerivatives]] {{2}} Unported",
         "licensed under [[a ]]CC BY[[-NC]][[-SA]][[-ND]][[ {{2}}]]",
         "licensed under a Creative Commons Attribution[[-{{2}}]] {{3}} License",
         "This work is licensed under [[a ]][[the ]]Creative Commons Attribution[[-NonCommercial]][[-ShareAlike]][[-NoDerivatives]][[-NoDerivs]] {{3}} [[Unported ]][[International ]]License. To view a copy of this license, visit {{12}} or send a letter to Creative Commons",
     ],
     "bsd": [
+        "BSD {{1}}-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted[[ provided that the following conditions are met]]",
         "licensed under the [[{{1}} clause ]]BSD License",
         f"[[{_COPYRIGHT}]]{_BSD_CONDITIONS}[[[[3. ]]Neither the name of {{{{8}}}} nor the names of [[its ]][[{{{{4}}}} ]]contributors may be used to endorse or promote products derived from this software without specific prior written permission. ]]{_BSD_WARRANTY}",
     ],
     "mpl-2.0": [
+        "Mozilla Public License[[,]] Version 2.0",
         "subject to the terms of the Mozilla Public License[[, v. 2.0]]",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {{8}}",
     ],
@@ -85,6 +116,7 @@ TEMPLATES = {
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     ],
     "boost": [
+        "Boost Software License - Version 1.0 - August 17th, 2003",
         "Distributed under the Boost Software License, Version 1.0",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
     ],
@@ -98,6 +130,11 @@ TEMPLATES = {
     "copyright": ["Copyright (c) {{1}} [[by ]]{{4}} All rights reserved"],
 }
 
+for _label, _ids in SPDX.items():
+    TEMPLATES[_label] = [*TEMPLATES[_label], *(f"SPDX-License-Identifier: {x}" for x in _ids)]
+
+#: A template that starts within so many words after one of these verbs with "not" before it says nothing of the text.
+DENIED, DENIED_WORDS = {b"licensed", b"released", b"distributed", b"covered", b"available"}, 8
 #: A phrase of so many words counts half.
 HALF_WORDS = 2
 
@@ -190,13 +227,15 @@ def _scanner():
     def scan(text: bytes | None) -> tuple:
         words = alnum_words(text)
         places, base, labels, longest = [], set(), set(), 0
+        no = [k for k, w in enumerate(words) if w == b"not" and words[k + 1 : k + 2] and words[k + 1] in DENIED]
+        denied = {k + n for k in no for n in range(1, DENIED_WORDS + 1)}
         for k in [k for k, w in enumerate(words) if w in start]:
             for phrase, label in by_first.get(words[k], ()):
                 if tuple(words[k : k + len(phrase)]) == phrase:
                     places.append(k)
                     base.add(label)
                     longest = max(longest, len(phrase))
-            if words[k] in automaton.anchors:
+            if words[k] in automaton.anchors and k not in denied:
                 for label, (_, matched) in automaton.match(words, k).items():
                     labels.add(label)
                     longest = max(longest, matched)
@@ -211,7 +250,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Base phrases are reported wherever their words stand consecutively, overlapping or not.  Labels
     also hold the templates accepted from any word on: mandatory words stand there exactly and in order,
-    optional regions may be missing, replaceable ones hold any words up to their number.  score grows with
+    optional regions may be missing, replaceable ones hold any words up to their number; a template that starts
+    within DENIED_WORDS words after "not licensed" and the like is no match.  score grows with
     the longest match: n / (n + 2) for n words, 0 without a match.  A null or empty text has no words, no
     labels and score 0.  Texts are read whole; repeated rows each get their row; an empty table gives an
     empty one; other columns may have any names.

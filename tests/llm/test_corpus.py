@@ -422,6 +422,21 @@ def test_licences(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_tags_titles_and_families(spark):
+    texts = {
+        "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "# SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: Nothing-1.0": "",
+        "Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/": "apache-2.0", "MIT License\n\nCopyright (c) 2020 A": "mit", "Mozilla Public License Version 2.0\n====": "mpl-2.0", "BSD 3-Clause License": "bsd",
+        "Eclipse Public License - v 2.0": "epl", "available under the terms of the Eclipse Public License 2.0 which": "epl", "Licensed under the EUPL, Version 1.2 or later": "eupl", "European Union Public Licence v. 1.2": "eupl",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by", "Creative Commons Attribution 3.0 Unported": "cc-by",
+        "licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl", "you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl,gpl",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991": "gpl", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc.": "gpl,lgpl",
+        "This file is not licensed under the MIT License.": "", "Not released under the terms of the MIT License": "", "It is not licensed under the GNU General Public License": "gpl", "not free, but licensed under the MIT License": "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.labels) for r in licenses.scan_licenses(df).collect()}
+    assert {t: got[k] for k, t in enumerate(texts)} == texts
+
+
 def variant(r, template):
     """The text of a template with regions filled or left out, cased and broken into lines at random; and its mandatory words."""
     out, depth, skip, mandatory = [], 0, None, []
@@ -508,7 +523,8 @@ def test_op7_equals_brute_force_on_a_table(spark):
         w = re.findall("[0-9a-z\x80-\U0010ffff]+", lower(texts[r.doc_id]))
         places = sorted((k, x, len(p.split())) for p, x in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None)
-        starts = [k for k, x in enumerate(w) if x in ("licensed", "released", "permission", "under", "this", "copyright", "all", "redistribution", "subject", "to", "distributed")]
+        starts = [k for k, x in enumerate(w) if x in ("licensed", "released", "permission", "under", "this", "copyright", "all", "redistribution", "subject", "to", "distributed", "spdx", "apache", "mit", "gnu", "eclipse", "european", "creative", "mozilla", "bsd", "boost")]
+        starts = [k for k in starts if not any(w[j] == "not" and w[j + 1] in ("licensed", "released", "distributed", "covered", "available") for j in range(max(0, k - 8), k))]
         found = {(x, n) for k in starts for x, ts in licenses.TEMPLATES.items() for t in ts if (n := matched(w[k : k + 400], t))}
         longest = max([n for *_, n in places] + [n for _, n in found], default=0)
         base = sorted({x for _, x, _ in places})
