@@ -933,6 +933,43 @@ def runtime_metrics(read):
     return found.select("provider", "metric_count", "running_requests", "kv_cache_usage_ratio", "average_e2e_request_latency_seconds")
 
 
+@query(
+    """
+WITH l AS (SELECT user_id, arg_max(struct_pack(id := event_id, ts := ts, v := value), (ts, event_id)) AS s FROM events GROUP BY 1),
+m AS (SELECT c_custkey AS provider, s.id AS id, greatest(0.0, round((epoch_us(TIMESTAMP '2024-01-30 20:00:00') - epoch_us(s.ts)) / 60e6, 2)) AS age, s.v AS v FROM customer LEFT JOIN l ON user_id = c_custkey),
+c AS (SELECT provider, id, list_filter([
+    struct_pack(code := 'snapshot_stale', st := CASE WHEN age >= 30 THEN 3 WHEN age >= 10 THEN 2 ELSE 0 END), struct_pack(code := 'missing_vllm_metrics', st := CASE WHEN id % 3 <= 0 THEN 3 ELSE 0 END),
+    struct_pack(code := 'kv_cache_pressure', st := CASE WHEN v >= 90 THEN 3 WHEN v >= 80 THEN 2 ELSE 0 END), struct_pack(code := 'waiting_queue_pressure', st := CASE WHEN id % 7 >= 5 THEN 3 WHEN id % 7 >= 1 THEN 2 ELSE 0 END),
+    struct_pack(code := 'swapped_request_pressure', st := CASE WHEN id % 4 >= 3 THEN 3 WHEN id % 4 >= 1 THEN 2 ELSE 0 END), struct_pack(code := 'preemption_pressure', st := CASE WHEN id % 12 >= 10 THEN 3 WHEN id % 12 >= 1 THEN 2 ELSE 0 END),
+    struct_pack(code := 'ttft_latency', st := CASE WHEN id % 5 = 0 THEN -1 WHEN v / 10 >= 5 THEN 3 WHEN v / 10 >= 2 THEN 2 ELSE 0 END), struct_pack(code := 'e2e_latency', st := CASE WHEN v >= 60 THEN 3 WHEN v >= 30 THEN 2 ELSE 0 END)], lambda x: x.st > 0) AS bad FROM m)
+SELECT provider, id AS snapshot_id, CASE WHEN id IS NULL THEN 'unknown' ELSE ['ok', 'unknown', 'warning', 'critical'][coalesce(list_max(list_transform(bad, lambda x: x.st)), 0) + 1] END AS status,
+    CASE WHEN id IS NULL THEN 'no_runtime_snapshot' ELSE array_to_string(list_transform(bad, lambda x: x.code), ',') END AS reason_codes FROM c
+"""
+)
+def runtime_readiness(read):
+    """Users as providers with their latest event as a snapshot; most customers have none."""
+    i, v = F.col("event_id"), F.col("value")
+    snapshots = read("events").select(
+        F.col("user_id").alias("provider"), i.alias("snapshot_id"), F.col("ts").alias("sampled_at"), (i % 3).alias("vllm_metric_count"), v.alias("kv_cache_usage_percent"), (i % 7).alias("waiting_requests"), (i % 4).alias("swapped_requests"),
+        (i % 12).alias("num_preemptions_total"), F.when(i % 5 != 0, v / 10).alias("average_time_to_first_token_seconds"), v.alias("average_e2e_request_latency_seconds"),
+    )
+    found = ops.runtime_readiness(read("customer").select(F.col("c_custkey").alias("provider")), snapshots, F.lit("2024-01-30 20:00:00").cast("timestamp"))
+    return found.select("provider", "snapshot_id", "status", F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+@query(
+    """
+SELECT 'positive_ids' AS rule, (SELECT count(*) FROM labels WHERE doc_id - 20 <= 0 OR doc_id % 10 <= 0) AS n
+UNION ALL SELECT 'grade_range', (SELECT count(*) FROM labels WHERE quality + toxic * 3 > 3)
+UNION ALL SELECT 'unique_ranks', (SELECT count(*) FROM (SELECT user_id, hour(ts) FROM events GROUP BY ALL HAVING count(*) > 1))
+"""
+)
+def target_violations(read):
+    """Labels as targets with some ids and grades that are not allowed, hours of users' events as ranks."""
+    targets = read("labels").select((F.col("doc_id") - 20).alias("question_id"), (F.col("doc_id") % 10).alias("chunk_id"), (F.col("quality") + F.col("toxic") * 3).alias("grade"))
+    return evaluate.target_violations(targets, read("events").select(F.col("user_id").alias("question_id"), F.hour("ts").alias("rank")))
+
+
 # --- permissions ---
 
 

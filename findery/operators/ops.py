@@ -142,14 +142,48 @@ def snapshot_summary(snapshots: DataFrame, key: str, at: str, metrics: list[str]
     )
 
 
-def runtime_readiness(latest: DataFrame, thresholds: dict[str, tuple[float, float]], as_of: Column, max_age_s: int) -> DataFrame:
-    """(provider, check_name, check_status) of the latest snapshot's age and metrics against (warning, critical) limits."""
-    age = (F.unix_micros(as_of) - F.unix_micros("sampled_at")) / 1e6
-    checks = [F.struct(F.lit("age").alias("check_name"), F.when(age > max_age_s, "critical").otherwise("ok").alias("check_status"))]
-    for m, (warn, bad) in thresholds.items():
-        status = F.when(F.col(m).isNull(), "unknown").when(F.col(m) >= bad, "critical").when(F.col(m) >= warn, "warning").otherwise("ok")
-        checks.append(F.struct(F.lit(m).alias("check_name"), status.alias("check_status")))
-    return latest.select("provider", F.explode(F.array(*checks)).alias("c")).select("provider", "c.*")
+# Codes of the checks of a runtime, the column that each looks at, and its limits for a warning and for critical.
+READINESS = {
+    "snapshot_stale": ("age_minutes", 10.0, 30.0),
+    "kv_cache_pressure": ("kv_cache_usage_percent", 80.0, 90.0),
+    "waiting_queue_pressure": ("waiting_requests", 1.0, 5.0),
+    "swapped_request_pressure": ("swapped_requests", 1.0, 3.0),
+    "preemption_pressure": ("num_preemptions_total", 1.0, 10.0),
+    "ttft_latency": ("average_time_to_first_token_seconds", 2.0, 5.0),
+    "e2e_latency": ("average_e2e_request_latency_seconds", 30.0, 60.0),
+}
+#: From the best status to the worst.
+READINESS_ORDER = ("ok", "unknown", "warning", "critical")
+
+
+def runtime_readiness(providers: DataFrame, snapshots: DataFrame, as_of: Column, limits: dict[str, tuple[str, float, float]] | None = None) -> DataFrame:
+    """(provider, snapshot_id, status, reason_codes, signals) of every provider, by its latest snapshot at ``as_of``.
+
+    ``snapshots``: provider, snapshot_id, sampled_at, vllm_metric_count and the columns of READINESS.  signals are
+    structs (code, status, actual): the age, whether there are metrics at all, and each metric that has a value; status
+    is the worst of them, reason_codes those that are not ok.  A provider without a snapshot is unknown.
+    """
+    checks = limits or READINESS
+    names = [c for c, _, _ in checks.values() if c != "age_minutes"]
+    latest = snapshots.groupBy("provider").agg(F.max_by(F.struct("snapshot_id", "sampled_at", "vllm_metric_count", *names), F.struct("sampled_at", "snapshot_id")).alias("s"))
+    rows = providers.select("provider").distinct().join(latest, "provider", "left").select("provider", "s.*")
+    rows = rows.withColumn("age_minutes", F.greatest(F.lit(0.0), F.round((F.unix_micros(as_of) - F.unix_micros(F.col("sampled_at").cast("timestamp"))) / 60e6, 2)))
+
+    def signal(code: str, status: Column, actual: Column) -> Column:
+        return F.struct(F.lit(code).alias("code"), status.alias("status"), actual.cast("double").alias("actual"))
+
+    made = {code: signal(code, F.when(F.col(c) >= critical, "critical").when(F.col(c) >= warning, "warning").otherwise("ok"), F.col(c)) for code, (c, warning, critical) in checks.items()}
+    made = {code: F.when(F.col(checks[code][0]).isNotNull(), x) for code, x in made.items()}
+    count = F.coalesce("vllm_metric_count", F.lit(0))
+    present = signal("missing_vllm_metrics", F.when(count <= 0, "critical").otherwise("ok"), count)
+    none = F.array(signal("no_runtime_snapshot", F.lit("unknown"), F.lit(None)))
+    first, *others = made.values()
+    signals = F.when(F.col("snapshot_id").isNull(), none).otherwise(F.array_compact(F.array(first, present, *others)))
+    rows = rows.select("provider", "snapshot_id", signals.alias("signals"))
+    worst = F.array_max(F.transform("signals", lambda x: F.array_position(F.lit(list(READINESS_ORDER)), x["status"]))).cast("int")
+    status = F.element_at(F.array(*map(F.lit, READINESS_ORDER)), worst)
+    reasons = F.transform(F.filter("signals", lambda x: x["status"] != "ok"), lambda x: x["code"])
+    return rows.select("provider", "snapshot_id", status.alias("status"), reasons.alias("reason_codes"), "signals")
 
 
 def resource_report(targets: DataFrame, processes: DataFrame, ports: DataFrame, system: DataFrame) -> DataFrame:

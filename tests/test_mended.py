@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from findery.operators import chunking, evaluate
+from findery.operators import chunking, evaluate, ops
 from findery.sources import metrics
 from findery.streaming import jobs
 
@@ -77,3 +77,24 @@ def test_labels_of_metrics(spark):
     for bad in ("y{bad} 2", 'y{a="1" b="2"} 2', 'y{a="1",a="2"} 2', 'y{a="open} 2'):
         with pytest.raises(Exception, match="metric"):
             metrics.prometheus_samples(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_readiness_of_runtimes(spark):
+    now = dt.datetime(2024, 1, 2)
+    ago = lambda m: now - dt.timedelta(minutes=m)
+    rows = [("good", 1, ago(5), 9, 10.0, 0, 0, 0, 0.5, 1.0), ("good", 2, ago(2), 9, 10.0, 0, 0, 0, None, 1.0), ("slow", 3, ago(12), 9, 85.0, 2, 0, 0, 6.0, None), ("bare", 4, ago(-3), 0, None, None, None, None, None, None), ("old", 5, ago(31), 1, 90.0, 5, 3, 10, 2.0, 30.0)]
+    names = ["kv_cache_usage_percent", "waiting_requests", "swapped_requests", "num_preemptions_total", "average_time_to_first_token_seconds", "average_e2e_request_latency_seconds"]
+    kinds = ["double", "long", "long", "long", "double", "double"]
+    snapshots = spark.createDataFrame(rows, "provider string, snapshot_id long, sampled_at timestamp, vllm_metric_count long, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    providers = spark.createDataFrame([(p,) for p in ("good", "slow", "bare", "old", "never")], "provider string")
+    got = {r.provider: r for r in ops.runtime_readiness(providers, snapshots, F.lit(now)).collect()}
+    assert {p: r.status for p, r in got.items()} == {"good": "ok", "slow": "critical", "bare": "critical", "old": "critical", "never": "unknown"}
+    assert got["good"].snapshot_id == 2 and [s.code for s in got["good"].signals] == ["snapshot_stale", "missing_vllm_metrics", "kv_cache_pressure", "waiting_queue_pressure", "swapped_request_pressure", "preemption_pressure", "e2e_latency"]
+    assert got["slow"].reason_codes == ["snapshot_stale", "kv_cache_pressure", "waiting_queue_pressure", "ttft_latency"]
+    assert got["bare"].reason_codes == ["missing_vllm_metrics"] and got["bare"].signals[0].actual == 0 and got["never"].reason_codes == ["no_runtime_snapshot"]
+    assert len(got["old"].reason_codes) == 7 and {s.status for s in got["old"].signals if s.code in ("ttft_latency", "e2e_latency")} == {"warning"}
+
+
+def test_processes_on_gpus(spark):
+    lines = spark.createDataFrame([("12, 100 MiB",), ("12, 50",), ("7, 3 MiB",), ("pid, used",)], "value string")
+    assert sorted(map(tuple, metrics.gpu_processes(lines).collect())) == [(7, 3.0), (12, 150.0)]
