@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findery.functions import table_functions
 from findery.functions import text as tx
 from findery.functions.shared import scratch
 from findery.functions.vectors import stand_in_embeddings
@@ -1198,15 +1199,30 @@ def chunks_by_size(read):
     return found.drop("start_char", "end_char", "page", "slide", "sheet", "cell_range", "block_seqs")
 
 
-@query(
-    """WITH l AS (SELECT doc_id, trim(line) AS t, k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE trim(line) <> '')
+_ONE_CHUNK_SQL = """WITH l AS (SELECT doc_id, trim(line) AS t, k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE trim(line) <> '')
 SELECT doc_id AS document_id, max(k)::BIGINT AS last_line, count(*) AS blocks, sum(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}]+')))::BIGINT AS tokens FROM l GROUP BY 1 HAVING tokens <= 1000 OR blocks = 1"""
-)
+
+
+def _one_chunk(chunks: DataFrame) -> DataFrame:
+    """Documents that are one chunk, with its last line, blocks and tokens."""
+    whole = chunks.groupBy("document_id").agg(F.max("end_line").alias("last_line"), F.count("*").alias("chunks"), F.max(F.size("block_seqs")).cast("long").alias("blocks"), F.max("token_count").alias("tokens"))
+    return whole.where("chunks = 1").drop("chunks")
+
+
+@query(_ONE_CHUNK_SQL)
 def chunk_anchors(read):
     """Documents that are one chunk, as they fit it or are one block, however long: it reaches from their first to their last line and names all their blocks."""
-    found = chunking.chunk_documents(read("documents"), [chunking.POLICIES["heading_1000_200"]], "lines", "doc_id")
-    whole = found.groupBy("document_id").agg(F.max("end_line").alias("last_line"), F.count("*").alias("chunks"), F.max(F.size("block_seqs")).cast("long").alias("blocks"), F.max("token_count").alias("tokens"))
-    return whole.where("chunks = 1").drop("chunks")
+    return _one_chunk(chunking.chunk_documents(read("documents"), [chunking.POLICIES["heading_1000_200"]], "lines", "doc_id"))
+
+
+@query(_ONE_CHUNK_SQL)
+def chunk_anchors_by_sql(read):
+    """``chunk_anchors`` from one SQL statement over the table functions."""
+    docs = read("documents")
+    spark = docs.sparkSession
+    table_functions.register(spark)
+    blocks = spark.sql("SELECT d.doc_id AS document_id, b.* FROM {docs} d, LATERAL text_blocks(d.text, 'lines') b", docs=docs)
+    return _one_chunk(spark.sql("SELECT * FROM block_chunks(TABLE(SELECT * FROM {blocks}) PARTITION BY document_id ORDER BY (block_seq), 'heading_1000_200')", blocks=blocks))
 
 
 @query()
