@@ -157,6 +157,8 @@ class Automaton:
         self.begin = self._closure({self._start})
         #: words that can start a match; a template never starts with a replaceable region
         self.anchors = {w for s in self.begin for w in self.on_word[s]}
+        #: of each of those the words that can come next, or None if any can or none must
+        self.second = {w: self._next_words(w) for w in self.anchors}
 
     def _state(self) -> int:
         for moves, empty in ((self.on_word, {}), (self.on_any, []), (self.free, [])):
@@ -201,6 +203,17 @@ class Automaton:
                     todo.append(s)
         return states
 
+    def _next_words(self, word: bytes) -> set[bytes] | None:
+        states = self._closure({s for x in self.begin for s in self.on_word[x].get(word, ())})
+        if any(self.on_any[s] or s in self.accepts for s in states):
+            return None
+        return {w for s in states for w in self.on_word[s]}
+
+    def goes_on(self, words: list[bytes], at: int) -> bool:
+        """Whether the word at a place and the next one can start a match: most places are ruled out here."""
+        wanted = self.second[words[at]]
+        return wanted is None or (at + 1 < len(words) and words[at + 1] in wanted)
+
     def match(self, words: list[bytes], at: int) -> dict[str, tuple[int, int]]:
         """By label: (literal words of the template, words matched) of the longest match from ``at`` on."""
         found: dict[str, tuple[int, int]] = {}
@@ -235,7 +248,7 @@ def _scanner():
                     places.append(k)
                     base.add(label)
                     longest = max(longest, len(phrase))
-            if words[k] in automaton.anchors and k not in denied:
+            if words[k] in automaton.anchors and k not in denied and automaton.goes_on(words, k):
                 for label, (_, matched) in automaton.match(words, k).items():
                     labels.add(label)
                     longest = max(longest, matched)
