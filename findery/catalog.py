@@ -1361,6 +1361,37 @@ def dashboard_counts(read):
     return answers_history.dashboard({"documents": read("documents"), "embeddings": read("embeddings"), "questions": read("benchmark"), "failures": read("events").where("event_type = 'error'")})
 
 
+_ALL_FAILURES_SQL = """
+WITH n AS (SELECT l_orderkey, count(*) AS n, list(l_linenumber ORDER BY l_shipdate DESC, l_linenumber DESC)[1] AS latest FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, o_custkey AS c, o_orderstatus AS st FROM orders),
+g AS (SELECT event_id AS k, ts::DATE::VARCHAR AS day, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'CRITICAL' ELSE 'ERROR' END ELSE 'INFO' END AS level,
+    CASE event_id % 4 WHEN 0 THEN 'embedding_provider_route_health_alert' WHEN 1 THEN 'embedding_provider_route_contract_alert' ELSE event_type END AS kind, event_id % 5 = 0 AS seen FROM events)
+SELECT 'pipeline' AS source, k::VARCHAR AS reference_id, 'Pipeline job #' || k AS title, CASE st WHEN 'P' THEN 'warning' ELSE 'error' END AS severity, CASE st WHEN 'P' THEN 'canceled' ELSE 'failed' END AS status, day, c AS document_id, least(coalesce(n, 0), 10) AS event_count, latest AS latest_event
+FROM o LEFT JOIN n ON l_orderkey = k WHERE st IN ('P', 'F')
+UNION ALL SELECT 'embedding', k::VARCHAR, 'Embedding job #' || k, 'error', 'failed', day, c, 0, NULL FROM o WHERE st = 'F'
+UNION ALL SELECT 'parsing', p_partkey::VARCHAR, p_name, 'warning', 'failed', '2024-01-05', d, 0, NULL FROM part LEFT JOIN (SELECT doc_id // 2 AS f, min(doc_id) AS d FROM documents GROUP BY 1) ON f = p_partkey WHERE p_size % 4 = 0
+UNION ALL SELECT 'app_log', k::VARCHAR, kind, lower(level), CASE WHEN seen THEN 'acknowledged' ELSE level END, day, NULL, 0, NULL FROM g WHERE level <> 'INFO' AND kind NOT LIKE 'embedding_%'
+UNION ALL SELECT 'provider_alert', k::VARCHAR, kind, lower(level), CASE WHEN seen THEN 'acknowledged' ELSE 'unacknowledged' END, day, NULL, 0, NULL FROM g WHERE kind LIKE 'embedding_%'
+"""
+
+
+@query(_ALL_FAILURES_SQL)
+def all_failures(read):
+    """Failures of five sources: orders as jobs, lines as their events, parts as files, events as logs."""
+    text, o, i = F.lit(None).cast("string"), read("orders"), F.col("event_id")
+    status = F.when(F.col("o_orderstatus") == "P", "canceled").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
+    day = F.col("o_orderdate")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), day.alias("finished_at"), day.alias("updated_at"), day.alias("queued_at"), day.alias("last_error_at"), day.alias("created_at"), text.alias("error_message"), F.col("o_custkey").alias("document_id"))
+    events = read("lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("event_id"), F.col("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("event_type"))
+    files_ = read("part").select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("original_file_name"), F.when(F.col("p_size") % 4 == 0, "failed").otherwise("succeeded").alias("parse_status"), text.alias("parse_error_message"), F.lit("2024-01-05").cast("timestamp").alias("updated_at"))
+    documents = read("documents").select(F.floor(F.col("doc_id") / 2).alias("file_id"), F.col("doc_id").alias("document_id"))
+    level = F.when(F.col("event_type") == "error", F.when(i % 3 == 0, "CRITICAL").otherwise("ERROR")).otherwise("INFO")
+    kind = F.when(i % 4 == 0, ops.ALERTS[0]).when(i % 4 == 1, ops.ALERTS[1]).otherwise(F.col("event_type"))
+    logged = read("events").select(i.alias("log_id"), level.alias("level"), kind.alias("event_type"), F.when(i % 5 == 0, F.col("ts")).alias("acknowledged_at"), text.alias("message"), F.col("ts").alias("occurred_at"))
+    found = ops.all_failures(jobs, events, jobs.where("status <> 'canceled'"), files_, documents, logged)
+    return found.select("source", "reference_id", "title", "severity", "status", F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), "document_id", F.size("events").cast("long").alias("event_count"), F.get("events", F.lit(0))["event_id"].alias("latest_event"))
+
+
 @query(
     """WITH j AS (SELECT l_orderkey AS chunk_id, l_returnflag AS profile, max(l_linenumber) AS job_id FROM lineitem GROUP BY ALL), e AS (SELECT DISTINCT l_orderkey AS chunk_id, l_returnflag AS profile FROM lineitem WHERE l_linestatus = 'F')
 SELECT o_orderkey AS chunk_id, j.profile AS profile, job_id, e.chunk_id IS NOT NULL AS is_embedded FROM orders LEFT JOIN j ON j.chunk_id = o_orderkey LEFT JOIN e ON e.chunk_id = j.chunk_id AND e.profile = j.profile"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITY = {"critical": 2, "warning": 1}
@@ -226,3 +228,41 @@ def failure_details(pipeline_jobs: DataFrame, pipeline_events: DataFrame, embedd
     embedding = shaped(embedding_jobs.where("status = 'failed'"), "embedding", "job_id", F.lit("error"), F.col("status"), "error_message", at, none)
     logged = shaped(error_logs.where(F.col("level").isin("ERROR", "CRITICAL")), "app_log", "log_id", F.lower("level"), F.when(F.col("acknowledged_by").isNull(), "unacknowledged").otherwise("acknowledged"), "message", F.col("occurred_at"), none)
     return pipeline.unionByName(embedding).unionByName(logged)
+
+
+# Log events of a provider that raise an alert, whatever their level.
+ALERTS = ("embedding_provider_route_health_alert", "embedding_provider_route_contract_alert")
+
+
+def all_failures(pipeline_jobs: DataFrame, pipeline_events: DataFrame, embedding_jobs: DataFrame, files: DataFrame, documents: DataFrame, logs: DataFrame) -> DataFrame:
+    """(source, reference_id, title, severity, status, message, occurred_at, document_id, events) of every failure of five sources.
+
+    Pipeline jobs that failed or were canceled (a warning) with their latest DETAIL_EVENTS events; failed embedding
+    jobs; files that could not be parsed (a warning) with their first document; error and critical logs, acknowledged
+    or by their level; alerts of providers, acknowledged or not.  Only the latest events of a job are ever gathered.
+    """
+    failed = pipeline_jobs.where(F.col("status").isin("failed", "canceled"))
+    latest = Window.partitionBy("job_id").orderBy(F.desc("created_at"), F.desc("event_id"))
+    kept = pipeline_events.join(failed.select("job_id"), "job_id", "left_semi").withColumn("place", F.row_number().over(latest)).where(F.col("place") <= DETAIL_EVENTS)
+    events = kept.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "created_at", "event_id", "event_type"))), lambda e: F.struct(e["created_at"].cast("timestamp").alias("created_at"), e["event_id"].cast("long").alias("event_id"), e["event_type"].alias("event_type"))).alias("events"))
+    first = documents.groupBy("file_id").agg(F.min("document_id").alias("document_id"))
+    nothing = F.lit(None).cast("long")
+    alert = F.col("event_type").isin(*ALERTS)
+    acknowledged = F.col("acknowledged_at").isNotNull()
+
+    def shaped(df: DataFrame, source: str, key: str, title: Column, severity: Column, status: Column, message: str, at: Column, document: Column = nothing, own: Column | None = None) -> DataFrame:
+        events = F.array().cast(EVENTS) if own is None else F.coalesce(own.cast(EVENTS), F.array().cast(EVENTS))
+        return df.select(
+            F.lit(source).alias("source"), F.col(key).cast("string").alias("reference_id"), title.alias("title"), severity.alias("severity"), status.alias("status"), F.col(message).alias("message"), at.cast("timestamp").alias("occurred_at"),
+            document.cast("long").alias("document_id"), events.alias("events"),
+        )
+
+    named = lambda kind: F.concat(F.lit(f"{kind} job #"), F.col("job_id").cast("string"))
+    parts = [
+        shaped(failed.join(events, "job_id", "left"), "pipeline", "job_id", named("Pipeline"), F.when(F.col("status") == "canceled", "warning").otherwise("error"), F.col("status"), "error_message", F.coalesce("finished_at", "updated_at", "queued_at"), F.col("document_id"), F.col("events")),
+        shaped(embedding_jobs.where("status = 'failed'"), "embedding", "job_id", named("Embedding"), F.lit("error"), F.col("status"), "error_message", F.coalesce("last_error_at", "finished_at", "updated_at", "created_at"), F.col("document_id")),
+        shaped(files.where("parse_status = 'failed'").join(first, "file_id", "left"), "parsing", "file_id", F.col("original_file_name"), F.lit("warning"), F.col("parse_status"), "parse_error_message", F.col("updated_at"), F.col("document_id")),
+        shaped(logs.where(F.col("level").isin("ERROR", "CRITICAL") & ~alert), "app_log", "log_id", F.col("event_type"), F.lower("level"), F.when(acknowledged, "acknowledged").otherwise(F.col("level")), "message", F.col("occurred_at")),
+        shaped(logs.where(alert), "provider_alert", "log_id", F.col("event_type"), F.lower("level"), F.when(acknowledged, "acknowledged").otherwise("unacknowledged"), "message", F.col("occurred_at")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -76,7 +76,7 @@ class Job:
 
 def _prepared(events: DataFrame) -> DataFrame:
     own = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("worker", "stage")]
-    return events.where("job_id IS NOT NULL AND at IS NOT NULL").select(F.col("job_id").cast("long").alias("job_id"), "at", F.unix_millis("at").alias("ms"), F.col("event_id").cast("long").alias("event_id"), "event_type", *own)
+    return events.where("job_id IS NOT NULL AND at IS NOT NULL").select(F.col("job_id").cast("long").alias("job_id"), "at", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"), F.col("event_id").cast("long").alias("event_id"), "event_type", *own)
 
 
 def job_table(events: DataFrame, as_of: Column) -> DataFrame:
@@ -84,7 +84,7 @@ def job_table(events: DataFrame, as_of: Column) -> DataFrame:
 
     Events of a job meet in one task in order, and a row at a time is held of them, however many there are.
     """
-    dealt = _prepared(events.where(F.col("at") <= as_of)).withColumn("now", F.unix_millis(as_of)).repartition("job_id").sortWithinPartitions("job_id", "ms", "event_id")
+    dealt = _prepared(events.where(F.col("at").cast("timestamp") <= as_of)).withColumn("now", F.unix_millis(as_of)).repartition("job_id").sortWithinPartitions("job_id", "ms", "event_id")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, job, now = None, Job(), 0

@@ -98,3 +98,23 @@ def test_readiness_of_runtimes(spark):
 def test_processes_on_gpus(spark):
     lines = spark.createDataFrame([("12, 100 MiB",), ("12, 50",), ("7, 3 MiB",), ("pid, used",)], "value string")
     assert sorted(map(tuple, metrics.gpu_processes(lines).collect())) == [(7, 3.0), (12, 150.0)]
+
+
+def test_failures_of_five_sources(spark):
+    at = lambda k: dt.datetime(2024, 1, 1, 0, k)
+    jobs_schema = "job_id long, status string, finished_at timestamp, updated_at timestamp, queued_at timestamp, last_error_at timestamp, created_at timestamp, error_message string, document_id long"
+    job = lambda i, s, last=None: (i, s, None, at(1), at(0), last, at(0), "why", 5)
+    pipeline = spark.createDataFrame([job(1, "failed"), job(2, "canceled"), job(3, "running")], jobs_schema)
+    embedding = spark.createDataFrame([job(1, "failed", at(9)), job(2, "canceled")], jobs_schema)
+    events = spark.createDataFrame([(1, k, "progress", at(k // 2)) for k in range(25)] + [(3, 99, "progress", at(1))], "job_id long, event_id long, event_type string, created_at timestamp")
+    files = spark.createDataFrame([(1, "a.md", "failed", "bad", at(3)), (2, "b.md", "succeeded", None, at(3)), (3, "c.md", "failed", None, at(3))], "file_id long, original_file_name string, parse_status string, parse_error_message string, updated_at timestamp")
+    documents = spark.createDataFrame([(1, 12), (1, 11), (2, 13)], "file_id long, document_id long")
+    logs = [(1, "ERROR", "crash", None), (2, "CRITICAL", "crash", at(1)), (3, "INFO", "note", None), (4, "INFO", ops.ALERTS[0], None), (5, "ERROR", ops.ALERTS[1], at(2))]
+    logs = spark.createDataFrame([(*x, "text", at(4)) for x in logs], "log_id long, level string, event_type string, acknowledged_at timestamp, message string, occurred_at timestamp")
+    got = {(r.source, r.reference_id): r for r in ops.all_failures(pipeline, events, embedding, files, documents, logs).collect()}
+    assert {k: (r.severity, r.status) for k, r in got.items()} == {
+        ("pipeline", "1"): ("error", "failed"), ("pipeline", "2"): ("warning", "canceled"), ("embedding", "1"): ("error", "failed"), ("parsing", "1"): ("warning", "failed"), ("parsing", "3"): ("warning", "failed"),
+        ("app_log", "1"): ("error", "ERROR"), ("app_log", "2"): ("critical", "acknowledged"), ("provider_alert", "4"): ("info", "unacknowledged"), ("provider_alert", "5"): ("error", "acknowledged"),
+    }
+    assert [e.event_id for e in got["pipeline", "1"].events] == list(range(24, 14, -1)) and got["pipeline", "2"].events == []
+    assert got["parsing", "1"].document_id == 11 and got["parsing", "3"].document_id is None and got["embedding", "1"].occurred_at == at(9) and got["pipeline", "1"].occurred_at == at(1)
