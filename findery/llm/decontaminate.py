@@ -313,7 +313,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows, with all their columns, in whose text no window stands."""
+    """The rows, with all their columns, in whose text no window stands.
+
+    Null, empty and very long texts are texts like any other: the first two hold no window and stay, the last are
+    read whole.  Repeated rows stay or go together, an empty table or benchmark takes nothing away, and columns
+    may have any names.
+    """
     small_batches(docs.sparkSession)
     items = _items(benchmark)
     if not _is_small(items):

@@ -212,6 +212,8 @@ def lay_out(docs: DataFrame, shard: Column, n_shards: int, out: str) -> Shards:
     text; the driver gets BUCKETS rows a shard, whatever the input, and packs buckets into parts.  A bucket
     larger than a part, as many equal rows make it, is spread over several by where its rows stand in the
     input.  Texts are shuffled once, each part by one task.  Columns named size, shard or slot are replaced.
+    Null doc_ids and texts and repeated rows are rows like any other; ``shard`` must not be null.  An empty
+    table gives shards without parts.  Other columns may have any names.
     """
     spark = docs.sparkSession
     docs = docs.drop("size", "shard", "slot")
@@ -246,7 +248,8 @@ def reshard(shards: Shards, n_new: int) -> Shards:
     A shard whose bytes go to k shards, itself perhaps among them, has its k largest parts cut into blocks
     if k is over one; these are rewritten, in one shuffle of their rows.  Every other part stays in its file, whichever shard it then
     belongs to.  Old parts that were cut are no longer in the manifest.  The driver gets a row for each part
-    and BLOCKS for each part that is cut.
+    and BLOCKS for each part that is cut.  All rows stay, whatever is null in them or however often they
+    are repeated; shards without rows stay without.
     """
     spark, part, out = shards.manifest.sparkSession, shards.part, shards.path
     held = {r.part: r for r in shards.manifest.collect()}
