@@ -71,14 +71,19 @@ def question_metrics(questions: DataFrame, results: DataFrame, targets: DataFram
     )
 
 
+def _mean(value: Column) -> Column:
+    """The mean of values of six digits, from their exact sum: a tie in the seventh digit does not depend on the order of rows."""
+    return F.round(F.sum(value.cast("decimal(18,6)")).cast("double") / F.count(value), 6)
+
+
 def metric_summary(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means over the questions that have a value, sums and rates; one row, or one for each value of ``by``."""
     return metrics.groupBy(*(by or [])).agg(
         F.count("*").alias("question_count"),
         F.count("recall_at_k").alias("evaluated_count"),
-        F.round(F.avg("recall_at_k"), 6).alias("mean_recall_at_k"),
-        F.round(F.avg("reciprocal_rank"), 6).alias("mean_reciprocal_rank"),
-        F.round(F.avg("ndcg"), 6).alias("mean_ndcg"),
+        _mean(F.col("recall_at_k")).alias("mean_recall_at_k"),
+        _mean(F.col("reciprocal_rank")).alias("mean_reciprocal_rank"),
+        _mean(F.col("ndcg")).alias("mean_ndcg"),
         F.sum("hidden_violation_count").alias("hidden_violation_count"),
         F.count("no_answer_success").alias("no_answer_count"),
         F.round(F.avg(F.col("no_answer_success").cast("double")), 6).alias("no_answer_success_rate"),

@@ -70,6 +70,15 @@ def test_profiles_without_results_stay(spark):
     assert {r.profile: (r.question_count, r.mean_recall_at_k) for r in found.collect()} == {"a": (2, 0.5), "b": (2, 0.0)}
 
 
+def test_a_tie_of_a_mean_is_rounded_alike_in_any_order(spark):
+    values = [0.471079, 0.100377, 0.920338, 0.731364]  # mean 0.5557895; as doubles, added from the last on, just below
+    for own in (values, values[::-1]):
+        rows = [(v, v, v, 0, True) for v in own]
+        metrics = spark.createDataFrame(rows, "recall_at_k double, reciprocal_rank double, ndcg double, hidden_violation_count long, no_answer_success boolean").coalesce(1)
+        got = evaluate.metric_summary(metrics).first()
+        assert (got.mean_recall_at_k, got.mean_reciprocal_rank, got.mean_ndcg) == (0.55579, 0.55579, 0.55579)
+
+
 def test_labels_of_metrics(spark):
     rows = {r'x{a="q\"uo,te",b="back\\slash",c="two\nlines",} 1': {"a": 'q"uo,te', "b": "back\\slash", "c": "two\nlines"}, "y 2": {}, 'z{ d="1" , e="" } 3': {"d": "1", "e": ""}}
     got = metrics.prometheus_samples(spark.createDataFrame([(k,) for k in rows], "value string")).collect()
