@@ -278,6 +278,17 @@ SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 BARE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
+@lru_cache(maxsize=2)
+def _plain_pattern(pattern: str) -> re.Pattern:
+    """The pattern for characters up to PLAIN_LIMIT, in Python's faster engine; a line end is a word of its own."""
+    plain = "".join(map(chr, range(ord(PLAIN_LIMIT) + 1)))
+    letters, digits = "".join(regex.findall(r"\p{L}", plain)), "".join(regex.findall(r"\p{N}", plain))
+    other = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{digits}]")
+    for kind, own in ((r"\p{L}", letters), (r"\p{N}", digits)):
+        other = other.replace(f"[{kind}]", kind).replace(kind, f"[{own}]")
+    return re.compile("\n|" + other)
+
+
 class Codec:
     """Encodes and decodes whole texts as the tokenizers library does with the same file."""
 
@@ -295,7 +306,11 @@ class Codec:
         self._agrees: dict[str, bool] = {}
         self._special = re.compile("|".join(map(re.escape, sorted(self.table.specials, key=len, reverse=True))) or r"(?!)")
         self._separators, self._space = re.compile("[\x1c-\x1f]"), re.compile(r"\s")
+        self._plain_words = _plain_pattern(self._words.pattern)
+        self._unplain = re.compile(rf"[^\x00-{PLAIN_LIMIT}]|\s")
+        self._stop = np.iinfo(self.dtype).max  # no id: stands for a line end between chunks
         self._chunks: dict[str, bytes] = {}
+        self._words_known: dict[str, bytes] = {}
         self._firsts: dict[str, bytes] = {}
         self._special_ids = {k: self._pack([v]) for k, v in self.table.specials.items()}
 
@@ -329,6 +344,34 @@ class Codec:
         ids = dict(zip(words, self._encode_words([self._raw(w) for w in words], self.dtype), strict=True))
         return {t: b"".join([ids[w] for w in ws]) for t, ws in cut.items()}
 
+    def _encode_chunks(self, chunks: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of chunks, each with ``lead`` before it; plain ones without white space are cut in one pass over all of them."""
+        if self.table.size > self._stop:
+            plain = []
+        elif self._unplain.search("".join(chunks)):
+            plain = [c for c in chunks if not self._unplain.search(c)]
+        else:
+            plain = chunks
+        out = {}
+        if len(plain) < len(chunks):
+            new = self._encode_all([lead + c for c in set(chunks).difference(plain)])
+            out = {c[len(lead) :]: ids for c, ids in new.items()}
+        if plain:
+            known = self._words_known
+            words = self._plain_words.findall(lead + f"\n{lead}".join(plain) + "\n")
+            unknown = set(words).difference(known)
+            if len(known) + len(unknown) > self._most // 2:
+                known.clear()
+                unknown = set(words)
+            unknown.discard("\n")
+            unknown = list(unknown)
+            known.update(zip(unknown, self._encode_words([self._raw(w) for w in unknown], self.dtype), strict=True))
+            known["\n"] = self._pack([self._stop])
+            flat, step = b"".join(map(known.__getitem__, words)), self.dtype.itemsize
+            ends = (np.flatnonzero(np.frombuffer(flat, self.dtype) == self._stop) * step).tolist()
+            out.update(zip(plain, [flat[a:b] for a, b in zip([0, *[e + step for e in ends[:-1]]], ends, strict=True)], strict=True))
+        return out
+
     def _pieces(self, text: str) -> list[str]:
         """The parts of a text between special tokens, and these, in turn."""
         return self._special.split(text) if "<" in text else [text]
@@ -354,10 +397,9 @@ class Codec:
             known.clear()
             unknown = chunks
         lead = "" if self.bare else " "
-        new = self._encode_all([lead + c for c in unknown if c])
-        n = len(lead)
-        mixed = {c[n:]: ids for c, ids in new.items() if self._space.search(c, n)}
-        known.update((c[n:], ids) for c, ids in new.items() if c[n:] not in mixed)
+        new = self._encode_chunks([c for c in unknown if c], lead)
+        mixed = {c: ids for c, ids in new.items() if self._space.search(c)} if self._space.search("".join(new)) else {}
+        known.update(new if not mixed else ((c, ids) for c, ids in new.items() if c not in mixed))
         if not self.bare:
             self._firsts = self._encode_all({row[0] for _, rows in split for row in rows if row[0]})
         joined = [[self._joined(row, mixed) for row in rows] for _, rows in split]

@@ -46,6 +46,19 @@ def test_a_full_cache_changes_nothing():
     assert bpe.Codec(BYTE, cache=50).encode_batch(texts) == bpe.codec(BYTE).encode_batch(texts)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_word_is_merged_once_whatever_stands_around_it(path):
+    own, merged = bpe.Codec(path, 2, False), []
+    encode = own._encode_words
+    own._encode_words = lambda words, dtype: merged.extend(words) or encode(words, dtype)
+    texts = ["a thanedble oder, thanedble. oder!", "a (thanedble) oder;oder 12thanedble's", "", None, "a thanedble\x85oder \u4e2d\u6587 oder\u2009thanedble \x1foder"]
+    ids = [x for t in texts[:4] for x in own.encode_batch([t])]
+    plain = [w for w in merged if w.strip(b" \xff").isalpha() and (path == WORD or w[:1] == b" ")]  # a text's first word has no space before it
+    assert plain and len(plain) == len(set(plain))
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u2").tolist() for x in [*ids, *own.encode_batch(texts[4:])]] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_compatible_pairs_are_those_that_merging_keeps():
     table, r = bpe.codec(BYTE).table, random.Random(1)
     tokens = [table.bytes_of[i] for i in range(256, 50_000) if table.bytes_of[i] in table._greedy]
