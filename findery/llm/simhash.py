@@ -28,7 +28,11 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
         return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[: len(words) - size + 1].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes; 0 if there are none."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         part = hashes[k : k + (1 << 15)]
@@ -54,6 +58,13 @@ def _masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def ball(fp: Column, distance: int = 2) -> Column:
+    """All values within half of ``distance`` bits of a fingerprint: two within the distance share one of them."""
+    if distance not in (0, 2, 4):
+        raise ValueError("distance is 0, 2 or 4 bits: balls of radius 0, 1 or 2")
+    return F.transform(F.lit(_masks(distance // 2)), lambda m: fp.bitwiseXOR(m))
+
+
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """(a, b) links that join all of the distinct fingerprints ``fp`` differing in at most ``distance`` (0, 2 or 4) bits.
 
@@ -63,10 +74,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     linked with the bucket's least one, never with all others.  Pairs are deduplicated and verified by
     their differing bits.
     """
-    if distance not in (0, 2, 4):
-        raise ValueError("distance is 0, 2 or 4 bits: balls of radius 0, 1 or 2")
-    ball = F.transform(F.lit(_masks(distance // 2)), lambda m: F.col("fp").bitwiseXOR(m))
-    balls = distinct.select("fp", F.explode(ball).alias("value"))
+    balls = distinct.select("fp", F.explode(ball(F.col("fp"), distance)).alias("value"))
     least = F.min("fp").over(Window.partitionBy("value"))
     pairs = balls.select("fp", least.alias("a")).where("a <> fp").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance).select("a", F.col("fp").alias("b"))

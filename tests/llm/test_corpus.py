@@ -143,6 +143,45 @@ def test_shingle_groups_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()} == dict(enumerate(group))
 
 
+def test_similar_texts_that_share_no_band_are_joined(spark):
+    texts = []
+    for seed in (31156, 107544, 147820):  # of 250,000 such pairs, of a similarity of exactly 0.8, those without a band in common
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(54)]
+        texts += [" ".join(w[:49]), " ".join(w[:44] + w[49:])]
+        one, other = (shingles.bands(shingles.shingles(shingles.word_hashes(t.encode()))) for t in texts[-2:])
+        assert not (one == other).any()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in shingles.near_duplicates(df).orderBy("doc_id").collect()] == [0, 0, 2, 2, 4, 4]
+
+
+@pytest.mark.parametrize("heavy", [shingles.HEAVY, 2])
+def test_shingle_groups_do_not_depend_on_bands(spark, monkeypatch, heavy):
+    monkeypatch.setattr(shingles, "bands", lambda own: [])
+    monkeypatch.setattr(shingles, "HEAVY", heavy)
+    monkeypatch.setattr(shingles, "COUNTED", 40)
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()} == dict(enumerate(brute_similar_groups(texts)[0]))
+
+
+def test_balls_of_the_simhash_of_shingles_join_close_copies(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "bands", lambda own: [])
+    monkeypatch.setattr(shingles, "_unjoined", lambda *a: spark.createDataFrame([], "value long, k long, n long, root long"))
+    r = random.Random(4)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(base[:k] + ["edited"] * (k < 400) + base[k + 1 :]) for k in (400, 0, 399, 200)] + [" ".join(base[::-1])]
+    sims = []
+    for t in texts:
+        own = [int(h) for h in shingles.shingles(shingles.word_hashes(t.encode()))]
+        sims.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
+    close = [(sims[0] ^ x).bit_count() <= 2 for x in sims]
+    assert any(close[1:]) and not close[4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    assert all(got[k] == 0 for k, x in enumerate(close) if x) and got[4] == 4
+
+
 def test_shingle_groups_of_odd_rows(odd, empty):
     rows = odd.orderBy(F.col("doc_id").asc_nulls_last()).collect()
     group, _ = brute_similar_groups([r.text for r in rows])
