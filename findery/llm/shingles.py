@@ -28,7 +28,7 @@ BANDS, ROWS = 28, 5
 #: Texts on which common shingles are counted, in how many of them a common one is, and how many of these are kept at most.
 COUNTED, COMMON, MOST_COMMON = 5_000, 2, 100_000
 #: Texts that meet in a shingle are compared in pairs if no more have it; others are first put in order by exact counts.
-HEAVY = 32
+HEAVY = 256
 #: Rounds in which the leaders of buckets are compared with the others.
 LEADS = 2
 #: So many keys (a few MB) are broadcast to find their texts.
