@@ -35,6 +35,10 @@ PLAIN_LIMIT = "ɏ"
 WORD_END = b"\xff"
 #: Texts whose unknown words are encoded together.
 GROUP = 512
+#: Longer words (bytes) are proposed one by one; the others together, so many bytes at a time.
+LONG, TOGETHER = 256, 1 << 17
+#: Stands between words that are proposed together; no token has it.
+BORDER = 256
 NO_RANK = np.int64(1) << 40
 NO_CODE = 1 << 60
 
@@ -130,6 +134,26 @@ class MergeTable:
         self._lengths = {
             b: tuple(sorted(n | {1} if b[:1] in self._greedy else n, reverse=True)) for b, n in lengths.items()
         }
+        self._grow_trie()
+
+    def _grow_trie(self) -> None:
+        """The tokens that may be proposed as a trie in arrays: one and two bytes by table, longer ones by a hash of (node, byte)."""
+        nodes: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for token, i in self._greedy.items():
+            node = 0
+            for b in token:
+                node = nodes.setdefault(node * (BORDER + 1) + b, len(nodes) + 1)
+            ends[node] = i
+        self._ends = np.full(len(nodes) + 1, -1, np.int32)
+        self._ends[list(ends)] = list(ends.values())
+        self._ones, self._twos = np.full(BORDER + 1, -1, np.int32), np.full((BORDER + 1) ** 2, -1, np.int32)
+        for a in range(BORDER):
+            if one := nodes.get(a):
+                self._ones[a] = ends.get(one, -1)
+                for b in range(BORDER):
+                    self._twos[a * (BORDER + 1) + b] = nodes.get(one * (BORDER + 1) + b, -1)
+        self._steps = PairHash(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64), max(10, (2 * len(nodes)).bit_length()))
 
     def _reachable(self, base: list[int]) -> dict[bytes, int]:
         """Tokens that exact merging of their own bytes gives back; only these may be proposed."""
@@ -190,7 +214,7 @@ class MergeTable:
                 heapq.heappush(heap, (m, h))
         return [i for i in ids if i >= 0]
 
-    def _propose(self, word: bytes) -> list[int] | None:
+    def _propose_long(self, word: bytes) -> list[int] | None:
         i, n, out, get, lengths = 0, len(word), [], self._greedy.get, self._lengths.get
         while i < n:
             for length in lengths(word[i : i + 2]) or lengths(word[i : i + 1], ()):
@@ -202,6 +226,57 @@ class MergeTable:
                 return None
         return out
 
+    def _propose_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token at every byte of some words, then the tokens from each word's start on."""
+        sizes = np.array(list(map(len, words)), np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        symbols, inside = np.full(ends[-1] + 1, BORDER, np.int64), np.ones(ends[-1] + 1, bool)
+        inside[ends] = False
+        symbols[inside] = np.frombuffer(b"".join(words), np.uint8)
+        longest = self._ones[symbols]
+        steps = (longest >= 0).astype(np.int64)
+        node = self._twos[symbols[:-1] * (BORDER + 1) + symbols[1:]]
+        at, length = np.flatnonzero(node >= 0), 2
+        node = node[at].astype(np.int64)
+        while len(at):
+            token = self._ends[node]
+            hit = token >= 0
+            longest[at[hit]], steps[at[hit]] = token[hit], length
+            node = self._steps(node * (BORDER + 1) + symbols[at + length])
+            on = node != NO_CODE
+            at, node, length = at[on], node[on], length + 1
+        taken, here = np.zeros(len(symbols), bool), starts
+        while len(here := here[inside[here]]):
+            taken[here] = True
+            here = here[steps[here] > 0]
+            here = here + steps[here]
+        counts = np.add.reduceat(taken, starts, dtype=np.int64)
+        stuck = np.add.reduceat(taken & (steps == 0), starts, dtype=np.int64) > 0
+        if stuck.any():
+            taken &= ~np.repeat(stuck, sizes + 1)
+            counts[stuck] = 0
+        return longest[taken].astype(np.int64), counts
+
+    def _propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each word has): greedy longest match; none for a word in which a byte has no token."""
+        found, own, n = [], [], 0
+        for w in words:
+            if len(w) > LONG or n + len(w) > TOGETHER:
+                if own:
+                    found.append(self._propose_together(own))
+                own, n = [], 0
+            if len(w) > LONG:
+                ids = np.array(self._propose_long(w) or [], np.int64)
+                found.append((ids, np.array([len(ids)])))
+            else:
+                own.append(w)
+                n += len(w) + 1
+        if own:
+            found.append(self._propose_together(own))
+        flat, sizes = zip(*found, strict=True) if found else ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def _merge_alike(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Merge words of up to ``width`` symbols all at once: (rows of ids, how many of each row count)."""
         sizes = np.array(list(map(len, words)), np.int64) - self.word_end
@@ -257,9 +332,7 @@ class MergeTable:
 
     def encode_words(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
         """Packed ids of words (pre-tokens, each with its WORD_END where the vocabulary has word ends)."""
-        proposed = [self._propose(w) or [] for w in words]
-        sizes = np.array(list(map(len, proposed)), np.int64)
-        flat = np.array([t for x in proposed for t in x], np.int64)
+        flat, sizes = self._propose(words)
         owner = np.repeat(np.arange(len(words)), sizes)
         sound = sizes > 0
         if len(flat) > 1:
@@ -299,7 +372,10 @@ class Codec:
 
         self.table, self.dtype = MergeTable(path), np.dtype(f"<u{width}")
         self._encode_words = self.table.encode_words if speculate else self.table.merge_words
-        self._library = Tokenizer.from_file(path)
+        # only asked how it cuts and composes texts, so it gets no tokens to hold
+        spec = json.load(open(path, encoding="utf-8"))
+        spec["model"] |= {"vocab": {}, "merges": [], "unk_token": None}
+        self._library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None}))
         self.bare = self.table.word_end
         self._words = regex.compile(BARE_PATTERN if self.bare else SPACED_PATTERN)
         self._exotic = re.compile(f"[^\x00-{PLAIN_LIMIT}]")
@@ -344,18 +420,18 @@ class Codec:
         ids = dict(zip(words, self._encode_words([self._raw(w) for w in words], self.dtype), strict=True))
         return {t: b"".join([ids[w] for w in ws]) for t, ws in cut.items()}
 
-    def _encode_chunks(self, chunks: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of chunks, each with ``lead`` before it; plain ones without white space are cut in one pass over all of them."""
+    def _encode_chunks(self, chunks: list[str], lead: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of chunks, each with ``lead`` before it: of plain ones without white space, cut in one pass over all of them, and of the others."""
         if self.table.size > self._stop:
             plain = []
         elif self._unplain.search("".join(chunks)):
             plain = [c for c in chunks if not self._unplain.search(c)]
         else:
             plain = chunks
-        out = {}
+        out, other = {}, {}
         if len(plain) < len(chunks):
             new = self._encode_all([lead + c for c in set(chunks).difference(plain)])
-            out = {c[len(lead) :]: ids for c, ids in new.items()}
+            other = {c[len(lead) :]: ids for c, ids in new.items()}
         if plain:
             known = self._words_known
             words = self._plain_words.findall(lead + f"\n{lead}".join(plain) + "\n")
@@ -370,7 +446,7 @@ class Codec:
             flat, step = b"".join(map(known.__getitem__, words)), self.dtype.itemsize
             ends = (np.flatnonzero(np.frombuffer(flat, self.dtype) == self._stop) * step).tolist()
             out.update(zip(plain, [flat[a:b] for a, b in zip([0, *[e + step for e in ends[:-1]]], ends, strict=True)], strict=True))
-        return out
+        return out, other
 
     def _pieces(self, text: str) -> list[str]:
         """The parts of a text between special tokens, and these, in turn."""
@@ -397,12 +473,21 @@ class Codec:
             known.clear()
             unknown = chunks
         lead = "" if self.bare else " "
-        new = self._encode_chunks([c for c in unknown if c], lead)
-        mixed = {c: ids for c, ids in new.items() if self._space.search(c)} if self._space.search("".join(new)) else {}
-        known.update(new if not mixed else ((c, ids) for c, ids in new.items() if c not in mixed))
+        plain, other = self._encode_chunks([c for c in unknown if c], lead)
+        known.update(plain)
+        known.update(other)
+        # chunks with white space hardly ever come again: they are known for these texts only
+        mixed = {c for c in other if self._space.search(c)}
+        for c in () if self.bare else [c for c in mixed if c[0].isspace() or c[-1].isspace()]:
+            del known[c]
+            mixed.remove(c)
+        if self.bare:
+            known[""] = b""
         if not self.bare:
             self._firsts = self._encode_all({row[0] for _, rows in split for row in rows if row[0]})
-        joined = [[self._joined(row, mixed) for row in rows] for _, rows in split]
+        joined = [[self._joined(row) for row in rows] for _, rows in split]
+        for c in mixed:
+            del known[c]
         whole = self._encode_all({" ".join(row) for (_, rows), done in zip(split, joined, strict=True) for row, x in zip(rows, done, strict=True) if x is None})
         out = []
         for (specials, rows), done in zip(split, joined, strict=True):
@@ -412,29 +497,23 @@ class Codec:
             out.append(b"".join(parts))
         return out
 
-    def _joined(self, row: list[str], mixed: dict[str, bytes]) -> bytes | None:
+    def _joined(self, row: list[str]) -> bytes | None:
         """Ids of chunks that single spaces separate; None if a run of white space reaches over such a space."""
         known = self._chunks
         if self.bare:
-            try:
-                return b"".join(map(known.__getitem__, row))
-            except KeyError:
-                return b"".join([x if (x := known.get(c)) is not None else mixed.get(c, b"") for c in row])
+            return b"".join(map(known.__getitem__, row))
         first = row[0]
         if first and (first[-1].isspace() or first[0].isspace()):
             return None
-        lead = self._firsts[first] if first else b""
         try:
-            return lead + b"".join(map(known.__getitem__, row[1:]))
-        except KeyError:
-            parts = []
-            for c in row[1:]:
-                if (x := known.get(c)) is None:
-                    if not c or c[0].isspace() or c[-1].isspace():
-                        return None
-                    x = mixed[c]
-                parts.append(x)
-            return lead + b"".join(parts)
+            return (self._firsts[first] if first else b"") + b"".join(map(known.__getitem__, row[1:]))
+        except KeyError:  # an empty chunk, or one with white space at an end
+            return None
+
+    def forget(self) -> None:
+        """Give up what texts so far have left: a worker that goes on to other stages needs its memory."""
+        self._chunks, self._words_known, self._firsts = {}, {}, {}
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; byte sequences that are not UTF-8 become U+FFFD."""
@@ -498,6 +577,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *kinds])
+        c.forget()
 
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
 

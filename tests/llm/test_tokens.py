@@ -46,6 +46,30 @@ def test_a_full_cache_changes_nothing():
     assert bpe.Codec(BYTE, cache=50).encode_batch(texts) == bpe.codec(BYTE).encode_batch(texts)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_are_proposed_together_as_one_by_one(path, monkeypatch):
+    r, table = random.Random(2), bpe.MergeTable(path)
+    tokens, end = sorted(table._greedy), bpe.WORD_END if table.word_end else b""
+    words = [b"".join(r.choice(tokens).replace(bpe.WORD_END, b"") for _ in range(r.randint(0, 5))) + end for _ in range(3000)]
+    words += [bytes(r.randrange(256) for _ in range(r.randint(1, 20))) for _ in range(300)] + [b"a" * n for n in (1, 255, 256, 257, 400)] + [b""]
+    monkeypatch.setattr(bpe, "TOGETHER", 3000)
+    ids, sizes = table._propose(words)
+    ends = np.cumsum(sizes)
+    assert [ids[a:b].tolist() for a, b in zip(ends - sizes, ends, strict=True)] == [table._propose_long(w) or [] for w in words]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_with_white_space_are_not_kept(path):
+    own, library = bpe.Codec(path), Tokenizer.from_file(path)
+    texts = ["oder.\nDie oder", "oder.\nDie  a\tb", "a \tb oder\n c", "\x85oder\x85 oder\u2009die ", None, "oder.\nDie \n"]
+    for _ in range(2):
+        ids = own.encode_batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert not any(bpe.re.search(r"\s", c) for c in own._chunks)
+    own.forget()
+    assert not own._chunks and own.encode_batch(texts) == ids
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_a_word_is_merged_once_whatever_stands_around_it(path):
     own, merged = bpe.Codec(path, 2, False), []
