@@ -33,8 +33,8 @@ HEAVY = 256
 LEADS = 2
 #: So many keys (a few MB) are broadcast to find their texts.
 FEW = 200_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
+#: Words whose hashes a worker remembers: workers outlive a stage, so what they hold is kept from all later ones.
+REMEMBERED = 50_000
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _known: dict[bytes, int] = {}
 
@@ -46,6 +46,12 @@ def _hashed(word: bytes) -> int:
     return h
 
 
+def forget() -> None:
+    """Give up remembered words and Arrow's free memory: a worker that goes on to other stages needs it."""
+    _known.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     """A 64-bit hash of each word, A-Z as a-z."""
     get = _known.get
@@ -112,6 +118,7 @@ def _first_of_key(rows: DataFrame) -> DataFrame:
             new = [i for i, k in enumerate(batch.column(0).to_pylist()) if not (k in seen or seen.add(k))]
             sets = [shingles(word_hashes(batch.column(1)[i].as_py())).tobytes() for i in new]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(new, pa.int64())), pa.array(sets, pa.binary())], names=["k", "own"])
+        forget()
 
     return rows.mapInArrow(run, "k long, own binary")
 
@@ -188,6 +195,7 @@ def _places(rows: DataFrame, chosen: Callable[[np.ndarray], np.ndarray]) -> Data
                     held, n = [], 0
         if held:
             yield flat(held)
+        forget()
 
     def flat(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["value", "k"])

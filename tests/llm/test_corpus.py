@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -155,6 +156,17 @@ def test_similar_texts_that_share_no_band_are_joined(spark):
     assert [r.component_id for r in shingles.near_duplicates(df).orderBy("doc_id").collect()] == [0, 0, 2, 2, 4, 4]
 
 
+@pytest.mark.parametrize("step", [shingles._first_of_key, lambda rows: shingles._places(rows, lambda own: own)])
+def test_a_worker_gives_up_the_words_of_a_stage(step):
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 1], pa.int64()), pa.array([b"a b c d e f", b"g h", b"a b c d e f"])], names=["k", "text"])
+    made = pa.Table.from_batches(step(Rows())([batch]))
+    assert made.num_rows in (2, 3) and not shingles._known
+
+
 @pytest.mark.parametrize("heavy", [shingles.HEAVY, 2])
 def test_shingle_groups_do_not_depend_on_bands(spark, monkeypatch, heavy):
     monkeypatch.setattr(shingles, "bands", lambda own: [])
