@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.operators.permission import EVERYTHING, grant_key
+from findery.functions.shared import scratch, written
+from findery.operators.permission import Grants, owned, personal_key
 from findery.sources.metrics import json_number
 
 
@@ -36,16 +37,18 @@ def summary_readiness(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     return have.join(done, "document_id", "left").agg(F.count("*").alias("document_count"), F.count_if("done").alias("summarized_count"))
 
 
-def permission_audit(results: DataFrame, documents: DataFrame, granted: DataFrame) -> DataFrame:
+def permission_audit(results: DataFrame, documents: DataFrame, granted: Grants) -> DataFrame:
     """(user_id, question_id, rank, chunk_id, document_id, is_visible) of stored results against what each user may see.
 
     ``documents``: a row for each chunk with its document_id, scope and owners; ``granted`` as permission.grants gives it.
+    Each pair of a user and an owner in the results is tried once, against the grants that name the owner.
     """
-    may = granted.select("user_id", "grant").distinct()
-    everything = may.where(F.col("grant") == EVERYTHING).select("user_id", F.lit(True).alias("all"))
-    own = documents.select("chunk_id", "document_id", grant_key(F.col("access_scope"), F.col("owner_user_id"), F.col("owner_unit_id")).alias("grant"))
-    rows = results.join(own, "chunk_id").join(may.withColumn("may", F.lit(True)), ["user_id", "grant"], "left").join(everything, "user_id", "left")
-    return rows.select("user_id", "question_id", "rank", "chunk_id", "document_id", F.coalesce("may", "all", F.lit(False)).alias("is_visible"))
+    owners = written(owned(documents).distinct(), scratch(results.sparkSession, "owners"))
+    rows = results.join(owned(documents, "chunk_id", "document_id"), "chunk_id").drop("user", "unit")
+    tried = rows.select("user_id", "key").distinct().join(granted.requests.select("user_id", "profile", "own"), "user_id").join(granted.naming(owners), "key")
+    tried = tried.select("user_id", "key", "profile", "own", F.explode("grants").alias("grant")).join(granted.side(granted.profiles.withColumn("named", F.lit(True))), ["profile", "grant"], "left")
+    may = tried.where(F.col("named") | F.col("own") & (F.col("grant") == personal_key("user_id"))).select("user_id", "key", F.lit(True).alias("may")).distinct()
+    return rows.join(may, ["user_id", "key"], "left").select("user_id", "question_id", "rank", "chunk_id", "document_id", F.coalesce("may", F.lit(False)).alias("is_visible"))
 
 
 def count_violations(runs: DataFrame, total: str, parts: list[str]) -> DataFrame:
