@@ -127,7 +127,7 @@ def one_nation(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["permission_audit", "permission_matrix", "scope_explanation"])
+@pytest.mark.parametrize("name", ["permission_audit", "permission_matrix", "scope_explanation", "visible_documents"])
 def test_managers_do_not_meet_members(spark, one_nation, name):
     """400 managers of 2,000 people are 800,000 pairs."""
     assert 2_000 <= most_rows(spark, lambda: catalog.QUERIES[name](spark, one_nation).write.format("noop").mode("overwrite").save()) <= 50_000
