@@ -14,6 +14,7 @@ bucket of the term), ``totals`` and ``removed`` (batch).  A chunk_id stands once
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,9 +45,9 @@ def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _put(df: DataFrame, path: str, table: str, batch: int) -> None:
-    """Replace a batch's part of a table; rows of a bucket meet in few files, large buckets are split."""
-    own = df if table not in _BUCKETED else df.withColumn("bucket", _bucket(F.col("chunk_id" if table == "forward" else "term"))).hint("rebalance", "bucket")
+def _put(df: DataFrame, path: str, table: str, batch: int, last: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Replace a batch's part of a table; rows of a bucket meet in few files, large buckets are split; ``last`` is done there."""
+    own = df if table not in _BUCKETED else last(df.withColumn("bucket", _bucket(F.col("chunk_id" if table == "forward" else "term"))).hint("rebalance", "bucket"))
     own.write.mode("overwrite").partitionBy(*(["bucket"] if table in _BUCKETED else [])).parquet(f"{path}/{table}/batch={batch}")
 
 
@@ -89,9 +90,12 @@ def apply_batch(spark: SparkSession, path: str, batch: int, chunks: DataFrame |
     new = empty if chunks is None else chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("chunk_id"), F.col(text).alias("text"))
     ranges = F.lit(max(1, -(-new.count() // SPAN)))
     place = F.shiftleft(F.lit(batch).cast("long"), 40) + F.pmod(F.xxhash64("chunk_id", F.lit("range")), ranges)
-    cut = new.select("chunk_id", place.alias("range"), F.coalesce(tokenizer(tokens)(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    forward = cut.select("range", "chunk_id", F.size("tokens").cast("long").alias("length"), F.array_distinct("tokens").alias("terms"))
-    _put(forward, path, "forward", batch)
+    placed = new.select("chunk_id", place.alias("range"), "text")
+    tokenized = lambda df, *kept: df.select(*kept, "chunk_id", "range", F.coalesce(tokenizer(tokens)(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    impact = lambda p: p["tf"] / (p["tf"] + K1 * (1 - B + B * p["length"] / 256.0))
+    ordered = F.sort_array(F.transform("postings", lambda p: F.struct(impact(p).alias("impact"), p["tf"].alias("tf"), p["length"].alias("length"), p["chunk_id"].alias("chunk_id"))), asc=False)
+    by_impact = F.when(F.size("postings") == 1, F.col("postings")).otherwise(F.transform(ordered, lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["tf"].alias("tf"), p["length"].alias("length")))).alias("postings")
+    _put(placed, path, "forward", batch, lambda df: tokenized(df, "bucket").select("range", "chunk_id", F.size("tokens").cast("long").alias("length"), F.array_distinct("tokens").alias("terms"), "bucket"))
 
     own = table(spark, path, "forward", [batch])
     ids = own.select("chunk_id")
@@ -103,12 +107,11 @@ def apply_batch(spark: SparkSession, path: str, batch: int, chunks: DataFrame |
     old = written(old.select("range", "chunk_id", "length", "terms"), scratch(spark, "old"))
     _put(old.select("range", "chunk_id"), path, "removed", batch)
 
-    counted = cut.select("range", "chunk_id", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term")).repartition("range", "term")
+    # texts meet by range, so that words are counted and gathered where they are cut; explode alone would also cut them before, to leave out those without words
+    counted = tokenized(placed.repartition("range")).select("range", "chunk_id", F.size("tokens").cast("long").alias("length"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
     counted = counted.groupBy("range", "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / 256.0))
-    postings = F.transform(F.sort_array(F.collect_list(F.struct(impact.alias("impact"), "tf", "length", "chunk_id")), asc=False), lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["tf"].alias("tf"), p["length"].alias("length")))
-    blocks = counted.groupBy("range", "term").agg(F.count("*").alias("n"), postings.alias("postings"))  # a range's chunks at most
-    _put(blocks.select("range", "term", "n", _front(F.col("postings")).alias("front"), "postings"), path, "blocks", batch)
+    blocks = counted.groupBy("range", "term").agg(F.collect_list(F.struct("chunk_id", "tf", "length")).alias("postings"))  # a range's chunks at most
+    _put(blocks, path, "blocks", batch, lambda df: df.select("range", "term", F.size("postings").cast("long").alias("n"), by_impact, "bucket").select("range", "term", "n", _front(F.col("postings")).alias("front"), "postings", "bucket"))
 
     change = own.select(F.explode("terms").alias("term"), F.lit(1).alias("by")).union(old.select(F.explode("terms"), F.lit(-1)))
     _put(change.groupBy("term").agg(F.sum("by").alias("delta")).where("delta <> 0"), path, "frequencies", batch)
@@ -120,8 +123,9 @@ def _front(postings: Column) -> Column:
     """The pairs (tf, length) that no posting beats in both: the best of them is the block's greatest score at any mean length."""
     pairs = F.array_sort(F.transform(postings, lambda p: F.struct((-p["tf"]).alias("tf"), p["length"].alias("length"))))
     none = F.array().cast("array<struct<tf:long,length:long>>")
+    one = F.array(F.struct(postings[0]["tf"].alias("tf"), postings[0]["length"].alias("length")))
     shorter = lambda acc, p: F.when((F.size(acc) == 0) | (p["length"] < F.try_element_at(acc, F.lit(-1))["length"]), F.concat(acc, F.array(F.struct((-p["tf"]).alias("tf"), p["length"].alias("length"))))).otherwise(acc)
-    return F.aggregate(pairs, none, shorter)
+    return F.when(F.size(postings) == 1, one).otherwise(F.aggregate(pairs, none, shorter))
 
 
 def corpus_totals(spark: SparkSession, path: str) -> tuple[int, float]:
@@ -188,43 +192,66 @@ def search(queries: DataFrame, path: str, k: int, candidates: DataFrame | None =
     side = F.broadcast if few else (lambda df: df)
     buckets = _term_buckets(terms)
     n, mean = corpus_totals(spark, path)
-    known = statistics(spark, path, terms.select("term").distinct())
+    known = statistics(spark, path, side(terms.select("term").distinct()))
     idf = F.log(1 + (F.lit(n) - F.col("document_frequency") + 0.5) / (F.col("document_frequency") + 0.5))
     weights = written(terms.join(known, "term").select("query_id", "term", (idf * (K1 + 1) * F.col("query_frequency")).alias("w")), scratch(spark, "weights"))
     part = lambda p: p["tf"] / (p["tf"] + K1 * (1 - B + B * p["length"] / F.lit(mean or 1.0)))
 
-    blocks = table(spark, path, "blocks", batches).where(F.col("bucket").isin(buckets))
     greatest = F.array_max(F.transform("front", part))
-    heads = blocks.select("range", "term", "n", greatest.alias("most")).join(side(weights), "term").select("query_id", "range", "term", "n", "w", (F.col("w") * F.col("most")).alias("bound"))
+    asked = side(weights.select("term").distinct())
+    gone = table(spark, path, "removed", batches).select("range", "chunk_id")
+    gone_in = gone.groupBy("range").agg(F.collect_set("chunk_id").alias("gone"))  # a range's chunks at most
+    gone_in = F.broadcast(gone_in) if gone.count() <= BROADCAST_TERMS else gone_in
+    blocks = table(spark, path, "blocks", batches).where(F.col("bucket").isin(buckets)).join(asked, "term", "left_semi").join(gone_in, "range", "left")
+    left = F.when(F.col("gone").isNull(), F.col("postings")).otherwise(F.filter("postings", lambda p: ~F.array_contains("gone", p["chunk_id"])))
+    blocks = written(blocks.select("range", "term", "n", greatest.alias("most"), left.alias("postings")), scratch(spark, "blocks"))  # of the terms asked for alone
+    heads = blocks.select("range", "term", "n", "most").join(side(weights), "term").select("query_id", "range", "term", "n", "w", (F.col("w") * F.col("most")).alias("bound"))
     heads = written(heads, scratch(spark, "heads"))
-    gone = table(spark, path, "removed", batches).select(F.col("range").alias("r"), F.col("chunk_id").alias("c"))
-    no_gone = gone.limit(1).count() == 0
-
-    def matches(wanted: DataFrame) -> DataFrame:
-        """(query_id, range, chunk_id, length, part) of every live posting in the blocks of (query_id, range, term, w)."""
-        found = wanted.select("query_id", "range", "term", "w").join(blocks.select("range", "term", "postings"), ["range", "term"])
-        found = found.select("query_id", "range", "w", F.explode("postings").alias("p")).select("query_id", "range", F.col("p.chunk_id").alias("chunk_id"), F.col("p.length").alias("length"), (F.col("w") * part(F.col("p"))).alias("part"))
-        found = found if no_gone else found.join(gone, (F.col("range") == F.col("r")) & (F.col("chunk_id") == F.col("c")), "left_anti")
+
+    def exploded(found: DataFrame, *kept: str) -> DataFrame:
+        """(query_id, range, chunk_id, length, part, kept...) of every live posting of blocks with query_id and w."""
+        found = found.select("query_id", "range", "w", *kept, F.explode("postings").alias("p"))
+        found = found.select("query_id", "range", F.col("p.chunk_id").alias("chunk_id"), F.col("p.length").alias("length"), (F.col("w") * part(F.col("p"))).alias("part"), *kept)
         return found if candidates is None else found.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
 
+    def matches(wanted: DataFrame, *kept: str) -> DataFrame:
+        """``exploded`` of the blocks of (query_id, range, term, w, kept...)."""
+        return exploded(wanted.select("query_id", "range", "term", "w", *kept).join(blocks.select("range", "term", "postings"), ["range", "term"]), *kept)
+
     by_range = heads.groupBy("query_id", "range").agg(F.sum("bound").alias("whole"))
     best = Window.partitionBy("query_id").orderBy(F.desc("whole"), "range")
     first = by_range.withColumn("at", F.row_number().over(best)).where(F.col("at") <= FIRST_RANGES + -(-k // SPAN)).select("query_id", "range")
-    seeds = written(heads.join(first, ["query_id", "range"], "left_semi"), scratch(spark, "seeds"))
-    scored = matches(seeds).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    first = written(first, scratch(spark, "first"))
+    small = F.broadcast if first.count() <= BROADCAST_TERMS else (lambda df: df)
+    seeds = written(heads.join(small(first), ["query_id", "range"], "left_semi"), scratch(spark, "seeds"))
+    small = F.broadcast if seeds.count() <= BROADCAST_TERMS else (lambda df: df)
+    scored = matches(small(seeds)).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
     floor = written(scored.withColumn("at", F.row_number().over(kth)).where(F.col("at") == k).select("query_id", (F.col("score") - SLACK).alias("floor")), scratch(spark, "floor"))
 
-    alive = by_range.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("whole") >= F.col("floor"))).select("query_id", "range", "floor")
     weakest = Window.partitionBy("query_id", "range").orderBy("bound", "term")
-    ranked = heads.join(alive, ["query_id", "range"]).withColumn("so_far", F.sum("bound").over(weakest.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = written(ranked.withColumn("aside", F.coalesce(F.col("so_far") < F.col("floor"), F.lit(False))), scratch(spark, "ranked"))
-    main = ranked.where("NOT aside")
-    rest = ranked.groupBy("query_id", "range").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("aside"), F.col("bound"))), F.lit(0.0)).alias("rest"))
-    found = matches(main).groupBy("query_id", "range", "chunk_id", "length").agg(F.sum("part").alias("part"), F.count("*").alias("terms"))
-    open_ = found.join(rest, ["query_id", "range"]).where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor")))
-    open_ = written(open_.select("query_id", "range", "chunk_id", "length", "part", "terms"), scratch(spark, "open"))
-    later = ranked.where("aside").join(open_.select("query_id", "range").distinct(), ["query_id", "range"], "left_semi")
+    together = Window.partitionBy("query_id", "range")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """Heads of ranges that can reach the floor: which terms are left aside, and the bounds of those together as ``rest``."""
+        alive = rows.join(floor, "query_id", "left").withColumn("whole", F.sum("bound").over(together)).where(F.col("floor").isNull() | (F.col("whole") >= F.col("floor")))
+        aside = F.coalesce(F.sum("bound").over(weakest.rowsBetween(Window.unboundedPreceding, 0)) < F.col("floor"), F.lit(False))
+        return alive.withColumn("aside", aside).withColumn("rest", F.coalesce(F.sum(F.when(F.col("aside"), F.col("bound"))).over(together), F.lit(0.0))).drop("whole")
+
+    def reaching(rows: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Chunks that can reach the floor by what is not left aside, with their parts so far."""
+        found = matches(join(rows.where("NOT aside")), "floor", "rest").groupBy("query_id", "range", "chunk_id", "length").agg(F.sum("part").alias("part"), F.count("*").alias("terms"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        return found.where(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).drop("floor", "rest")
+
+    # where over a quarter of the chunks of the first ranges stay open, to leave terms aside saves no work: all blocks are scored, range by range
+    if reaching(ranked(seeds), small).count() * 4 > scored.count():
+        every = exploded(blocks.repartition("range").join(side(weights), "term")).groupBy("range", "query_id", "chunk_id")
+        scores = every.agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched_term_count"), F.first("length").alias("document_length")).drop("range")
+        return Search(top_k(scores, k), heads.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum("n").alias("postings_read")))
+    kept = written(ranked(heads), scratch(spark, "ranked"))
+    main = kept.where("NOT aside")
+    open_ = written(reaching(kept, lambda df: df), scratch(spark, "open"))
+    later = kept.where("aside").join(open_.select("query_id", "range").distinct(), ["query_id", "range"], "left_semi")
     more = matches(later).join(open_.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     both = open_.select("query_id", "chunk_id", "length", "part", "terms").unionByName(more.select("query_id", "chunk_id", "length", "part", F.lit(1).cast("long").alias("terms")))
     scores = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.sum("terms").alias("matched_term_count"), F.first("length").alias("document_length"))

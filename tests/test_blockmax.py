@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,57 @@ def test_an_empty_index(spark):
     assert blockmax.search(queries, path, 3).rows.count() == 0
     blockmax.apply_batch(spark, path, 0, spark.createDataFrame([(1, None), (None, "w1")], "chunk_id long, text string"))
     assert blockmax.search(queries, path, 3).rows.count() == 0 and blockmax.corpus_totals(spark, path) == (1, 0.0)
+
+
+def shuffled_rows(spark, run):
+    """Rows that all queries together wrote to shuffles while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    wait = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
+    seq = lambda found: [found.apply(k) for k in range(found.size())]
+    wait()
+    before = max([e.executionId() for e in seq(store.executionsList())], default=-1)
+    run()
+    wait()
+    total = 0
+    for e in seq(store.executionsList()):
+        if e.executionId() > before:
+            wanted = {m.accumulatorId() for node in seq(store.planGraph(e.executionId()).allNodes()) for m in seq(node.metrics()) if m.name() == "shuffle records written"}
+            shown = re.findall(r"(\d+) -> ([\d,]+)$", store.executionMetrics(e.executionId()).mkString("\n"), re.M)
+            total += sum(int(n.replace(",", "")) for k, n in shown if int(k) in wanted)
+    return total
+
+
+def test_words_are_counted_where_texts_meet(spark):
+    """300,000 words of 60 kinds in 1,000 texts of about 8 ranges: texts and blocks are shuffled, words are not."""
+    r, path = random.Random(2), scratch(spark, "index")
+    texts = {i: " ".join(r.choices(WORDS, k=300)) for i in range(1000)}
+    docs = frame(spark, texts)
+    assert shuffled_rows(spark, lambda: blockmax.apply_batch(spark, path, 0, docs)) < 30_000
+    assert figures(blockmax.statistics(spark, path)) == figures(keyword.text_statistics(docs))
+
+
+def test_blocks_of_other_terms_are_not_shuffled(spark):
+    """50,000 terms that no query has."""
+    path = scratch(spark, "index")
+    texts = {i: f"w{i % 7} w{i % 11} " + " ".join(f"other{i}x{k}" for k in range(25)) for i in range(2000)}
+    blockmax.apply_batch(spark, path, 0, frame(spark, texts))
+    queries = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "query_id long, query_text string")
+    got, limit = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")  # as where the terms' postings are too many to be broadcast
+    try:
+        assert shuffled_rows(spark, lambda: got.extend(rows(blockmax.search(queries, path, 10).rows))) < 20_000
+    finally:
+        spark.conf.unset(limit)
+    assert got == rows(keyword.bm25_topk(queries, frame(spark, texts), 10))
+
+
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_replaced_chunks_and_candidates_on_both_ways(spark, kept, few, monkeypatch):
+    """Queries whose weak terms are left aside and those that score all blocks, with small tables broadcast or not."""
+    path, alive = kept
+    monkeypatch.setattr(blockmax, "BROADCAST_TERMS", few)
+    docs, some = frame(spark, alive), frame(spark, alive).where("chunk_id % 2 = 0").select("chunk_id")
+    for text in ("w59 w0", " ".join(WORDS)):
+        queries = spark.createDataFrame([(1, text)], "query_id long, query_text string")
+        for k in (1, 50):
+            assert rows(blockmax.search(queries, path, k, some).rows) == rows(keyword.bm25_topk(queries, docs, k, candidates=some))
